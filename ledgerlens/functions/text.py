@@ -21,7 +21,12 @@ WORD = r"[\p{L}\p{N}_]"
 # The noise extraction leaves in chunks.
 SENTINELS = ("<s>", "</s>")
 GLYPH_CODE = r"/g\p{Nd}+"
-PAGE_OF_PAGES = rf"(?<!{WORD})\p{{Nd}}+[{WS}]+of[{WS}]+\p{{Nd}}+(?!{WORD})"
+# The check before the number comes after its first digit, so that only digits pay for it.
+PAGE_OF_PAGES = (
+    rf"\p{{Nd}}(?<!{WORD}\p{{Nd}})\p{{Nd}}*[{WS}]+of[{WS}]+\p{{Nd}}+(?!{WORD})"
+)
+# Runs of white space other than the single spaces that stay as they are.
+UNEVEN_SPACE = f"[{WS}&&[^ ]][{WS}]*| [{WS}]+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -57,7 +62,7 @@ def clean_text(col: Column) -> Column:
         col = F.replace(col, F.lit(sentinel), F.lit(""))
     col = F.regexp_replace(col, GLYPH_CODE, "")
     col = F.regexp_replace(col, PAGE_OF_PAGES, "")
-    return strip(F.regexp_replace(col, f"[{WS}]+", " "))
+    return strip(F.regexp_replace(col, UNEVEN_SPACE, " "))
 
 
 def windows(word_array: Column, max_tokens: int) -> Column:

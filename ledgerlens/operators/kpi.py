@@ -29,12 +29,30 @@ def in_quarter(month: str, quarter: str) -> Column:
     return F.col(month).isin(months_of_quarter(quarter))
 
 
+def holds_in_order(low: Column, pattern: str) -> Column:
+    """``low LIKE '%a%b%'`` without backtracking.
+
+    Each part is looked for after the first occurrence of the one before it,
+    so a long text is read once per part. The regex that LIKE compiles to
+    starts again from every occurrence of the first part. Other pattern forms
+    use LIKE itself.
+    """
+    parts = pattern.split("%")
+    if parts[0] or parts[-1] or not all(parts[1:-1]) or "_" in pattern or "\\" in pattern:
+        return low.like(pattern)
+    condition, start = F.lit(True), F.lit(1)
+    for part in parts[1:-1]:
+        at = F.position(F.lit(part), low, start)
+        condition, start = condition & (at > 0), at + len(part)
+    return condition
+
+
 def like_topic(text: Column, required: str, any_of: tuple[str, ...] = ()) -> Column:
     """Case-folded LIKE: the required pattern and, if given, one of the others."""
     low = F.lower(text)
-    condition = low.like(required)
+    condition = holds_in_order(low, required)
     if any_of:
-        condition &= functools.reduce(operator.or_, [low.like(p) for p in any_of])
+        condition &= functools.reduce(operator.or_, [holds_in_order(low, p) for p in any_of])
     return condition
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import terms
@@ -16,23 +16,34 @@ K1 = 1.2
 B = 0.75
 
 
-def _bm25_scorer(mean_length: float, k1: float, b: float):
+# Stands for "any document" among the terms: its frequency is the number of
+# documents, its length their total length. No real term is empty.
+_ANY = ""
+
+
+def _bm25_scorer(k1: float, b: float):
     def prepare(queries: pa.Table):
-        """Query columns: key, terms, their inverse document frequencies."""
+        """Query columns: key, and per term its text, its document frequency, and the length sum."""
         lists = queries.column(1).combine_chunks()
         flat_terms = lists.flatten()
+        query_no = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        df = queries.column(2).combine_chunks().flatten().to_numpy()
+        real = pc.not_equal(flat_terms, _ANY)
+        chosen = real.to_numpy(zero_copy_only=False)
+        any_at = int(np.argmin(chosen))
+        n_docs = df[any_at]
+        mean_length = queries.column(3).combine_chunks().flatten()[any_at].as_py() / n_docs
+        flat_terms, query_no, df = flat_terms.filter(real), query_no[chosen], df[chosen]
+        idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
         vocabulary = flat_terms.unique()
         term_no = pc.index_in(flat_terms, value_set=vocabulary).to_numpy()
-        query_no = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        idf = queries.column(2).combine_chunks().flatten().to_numpy()
         order = np.argsort(term_no, kind="stable")
         query_no, idf = query_no[order], idf[order]
         bounds = np.searchsorted(term_no[order], np.arange(len(vocabulary) + 1))
 
         def score(rows: pa.Table) -> np.ndarray:
             docs = rows.column(1).combine_chunks()
-            offsets = docs.offsets.to_numpy()
-            lengths = np.diff(offsets)
+            lengths = np.diff(docs.offsets.to_numpy())
             known = pc.index_in(docs.flatten(), value_set=vocabulary)
             doc_no = np.repeat(np.arange(len(docs)), lengths)
             hit = known.is_valid().to_numpy(zero_copy_only=False)
@@ -73,31 +84,37 @@ def bm25_topk(
     """
     docs = corpus.select(corpus_key, terms(F.col(corpus_text)).alias("_terms"))
     wanted = queries.select(
-        query_key, F.explode(F.array_distinct(terms(F.col(query_text)))).alias("_term")
+        query_key, F.explode(_distinct_and_any(terms(F.col(query_text)))).alias("_term")
     )
-    n_docs, mean_length = docs.agg(
-        F.count(F.lit(1)), F.coalesce(F.avg(F.size("_terms")), F.lit(0.0))
-    ).first()
     n_queries, n_pairs, n_bytes = wanted.agg(
         F.count_distinct(query_key),
         F.count(F.lit(1)),
         F.coalesce(F.sum(F.octet_length("_term")), F.lit(0)),
     ).first()
-    size = QuerySize(n_queries, n_bytes + 16 * n_pairs)
+    size = QuerySize(n_queries, n_bytes + 32 * n_pairs)
 
-    # Document frequencies of the query terms. A small vocabulary filters the
+    # Document frequencies of the query terms, and with them the number and
+    # the length of the documents, in one pass. A small vocabulary filters the
     # terms where the documents are read; a large one is joined to counts that
     # are already summed per term, so a frequent term is one row.
-    vocabulary = wanted.select("_term").distinct()
-    occurrences = docs.select(F.explode(F.array_distinct("_terms")).alias("_term"))
+    occurrences = docs.select(
+        F.explode(_distinct_and_any(F.col("_terms"))).alias("_term"),
+        F.size("_terms").alias("_length"),
+    )
     if size.bytes <= limits.broadcast_bytes:
+        vocabulary = wanted.select("_term").distinct()
         occurrences = occurrences.join(F.broadcast(vocabulary), "_term", "left_semi")
-    frequency = occurrences.groupBy("_term").agg(F.count(F.lit(1)).alias("_df"))
-    idf = F.log(1 + (n_docs - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    frequency = occurrences.groupBy("_term").agg(
+        F.count(F.lit(1)).alias("_df"), F.sum("_length").alias("_lengths")
+    )
     weighted = (
         wanted.join(frequency, "_term")
         .groupBy(query_key)
-        .agg(F.collect_list(F.struct("_term", idf.alias("_idf"))).alias("_list"))
-        .select(query_key, "_list._term", "_list._idf")
+        .agg(F.collect_list(F.struct("_term", "_df", "_lengths")).alias("_list"))
+        .select(query_key, "_list._term", "_list._df", "_list._lengths")
     )
-    return blocked_topk(weighted, docs, _bm25_scorer(mean_length, k1, b), k, size, limits)
+    return blocked_topk(weighted, docs, _bm25_scorer(k1, b), k, size, limits)
+
+
+def _distinct_and_any(words: Column) -> Column:
+    return F.array_append(F.array_distinct(words), _ANY)

@@ -474,7 +474,7 @@ def text_strip_sql_fence(spark, d):
 def t1_sync_chunks(spark, d):
     target, checkpoint = new_path(spark, "chunks"), new_path(spark, "sync")
     schema = table(spark, d, "documents").schema
-    sync.sync_chunks(spark, d, schema, target, checkpoint, "documents.parquet")
+    sync.sync_chunks(spark, d, schema, target, checkpoint, files="documents.parquet")
     chunks = spark.read.parquet(target)
     return chunks.select("doc_id", "source", "lang", "chunk_ord", "chunk_text")
 

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from ledgerlens.functions.text import clean_text
 from ledgerlens.operators.chunking import MAX_TOKENS, chunk_fixed
+from ledgerlens.session import spread
 
 
 def _source(
@@ -30,25 +31,33 @@ def sync_chunks(
     schema: StructType,
     target: str,
     checkpoint: str,
+    key: str = "doc_id",
     files: str = "*.parquet",
     max_tokens: int = MAX_TOKENS,
     per_batch: int | None = None,
-) -> int:
-    """Chunk and clean the documents of files not seen before; returns the batches run."""
-    documents = _source(spark, directory, schema, files, per_batch)
-    chunks = chunk_fixed(documents, max_tokens=max_tokens).withColumn(
-        "chunk_text", clean_text(F.col("chunk_text"))
-    )
+) -> None:
+    """Chunk and clean the documents of files not seen before, then stop.
+
+    A batch writes one folder of its own; run again after a failure, it
+    replaces that folder.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        chunks = chunk_fixed(spread(batch, key), max_tokens=max_tokens).withColumn(
+            "chunk_text", clean_text(F.col("chunk_text"))
+        )
+        chunks.where(F.col("chunk_text") != "").write.mode("overwrite").parquet(
+            f"{target}/batch_id={batch_id}"
+        )
+
     query = (
-        chunks.where(F.col("chunk_text") != "")
-        .writeStream.format("parquet")
-        .option("path", target)
+        _source(spark, directory, schema, files, per_batch)
+        .writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return len(query.recentProgress)
 
 
 def upsert_chunks(
