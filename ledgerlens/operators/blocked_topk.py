@@ -57,47 +57,58 @@ class _Best:
     def __init__(self, k: int, n_queries: int):
         self.k = k
         self.floor = np.full(n_queries, -np.inf)
-        self.query = np.empty(0, np.int64)
-        self.score = np.empty(0, np.float64)
-        self.id = None
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+        self.room = max(k * n_queries, 100_000)
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
         scores = np.round(scores, SCORE_DIGITS)
         take = min(self.k, len(ids))
         kth = np.partition(scores, len(ids) - take, axis=0)[len(ids) - take]
         row, query = np.nonzero((scores >= np.maximum(kth, self.floor)) & (scores > -np.inf))
-        held = ids[row] if self.id is None else np.concatenate([self.id, ids[row]])
-        query = np.concatenate([self.query, query])
-        score = np.concatenate([self.score, scores[row, query[len(self.query) :]]])
-        order = np.lexsort((held, -score, query))
-        held, query, score = held[order], query[order], score[order]
-        starts = np.searchsorted(query, query, side="left")
-        keep = np.arange(len(query)) - starts < self.k
-        self.id, self.query, self.score = held[keep], query[keep], score[keep]
-        full, at = np.unique(self.query, return_index=True)
-        last = np.append(at[1:], len(self.query)) - 1
-        enough = last - at + 1 == self.k
-        self.floor[full[enough]] = self.score[last[enough]]
+        self.kept.append((query, scores[row, query], ids[row]))
+        self.waiting += len(row)
+        if self.waiting > self.room:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Rank what is kept, drop what cannot win, and raise the floors."""
+        if not self.kept:
+            return None
+        query, score, ids = (np.concatenate(parts) for parts in zip(*self.kept))
+        order = np.lexsort((ids, -score, query))
+        query, score, ids = query[order], score[order], ids[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query, side="left")
+        keep = place < self.k
+        last = place == self.k - 1
+        self.floor[query[last]] = score[last]
+        self.kept = [(query[keep], score[keep], ids[keep])]
+        self.waiting = 0
+        return self.kept[0]
 
 
 def _scan(
     queries: pa.Table, batches: Iterator[pa.Table], scorer: Scorer, k: int, schema: pa.Schema, limits: Limits
-) -> pa.Table:
-    score = scorer(queries)
-    query_ids = queries.column(0)
-    best = _Best(k, queries.num_rows)
-    step = max(1, limits.cells_per_step // max(1, queries.num_rows))
+) -> Iterator[pa.Table]:
+    """Score all rows against all queries, a block of queries at a time, and give the best."""
+    blocks = []
+    for start in range(0, queries.num_rows, limits.queries_per_block):
+        block = queries.slice(start, limits.queries_per_block).combine_chunks()
+        blocks.append((block.column(0), scorer(block), _Best(k, block.num_rows)))
     for rows in batches:
-        for start in range(0, rows.num_rows, step):
-            part = rows.slice(start, step)
-            ids = part.column(0).to_numpy()
-            best.add(ids, score(part))
-    if best.id is None:
-        return schema.empty_table()
-    return pa.table(
-        [query_ids.take(pa.array(best.query)), pa.array(best.id), pa.array(best.score)],
-        names=schema.names,
-    ).cast(schema)
+        for query_ids, score, best in blocks:
+            step = max(1, limits.cells_per_step // len(query_ids))
+            for start in range(0, rows.num_rows, step):
+                part = rows.slice(start, step)
+                best.add(part.column(0).to_numpy(), score(part))
+    for query_ids, _, best in blocks:
+        settled = best.settle()
+        if settled is not None:
+            query, score, ids = settled
+            yield pa.table(
+                [query_ids.take(pa.array(query)), pa.array(ids), pa.array(score)],
+                names=schema.names,
+            ).cast(schema)
 
 
 def blocked_topk(
@@ -121,8 +132,8 @@ def blocked_topk(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tables = (pa.Table.from_batches([b]) for b in batches if b.num_rows)
-            if shared.value.num_rows:
-                yield from _scan(shared.value, tables, scorer, k, arrow, limits).to_batches()
+            for best in _scan(shared.value, tables, scorer, k, arrow, limits):
+                yield from best.to_batches()
 
         kept = corpus.mapInArrow(run, out)
     else:
@@ -134,7 +145,7 @@ def blocked_topk(
         def meet(q: pa.Table, c: pa.Table) -> pa.Table:
             if not q.num_rows or not c.num_rows:
                 return arrow.empty_table()
-            return _scan(q, iter([c]), scorer, k, arrow, limits)
+            return pa.concat_tables([arrow.empty_table(), *_scan(q, iter([c]), scorer, k, arrow, limits)])
 
         kept = (
             left.groupBy("_qb", "_cb")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.routing import mentions_any
-from ledgerlens.operators.kpi import like_topic
+from ledgerlens.operators.kpi import any_topic, topic_matches
 from ledgerlens.operators.ranking import top_per_group
 
 HITS = 3
@@ -49,24 +49,28 @@ TOPIC_RULES = (
 )
 
 
+def _asked(question: Column, rules: tuple[TopicRule, ...]) -> list[Column]:
+    """Per rule, whether the question asks for its topic."""
+    mentioned = [mentions_any(question, r.triggers) for r in rules]
+    first = functools.reduce(
+        operator.or_, [m for r, m in zip(rules, mentioned) if not r.last_resort]
+    )
+    return [m & ~first if r.last_resort else m for r, m in zip(rules, mentioned)]
+
+
 def question_topics(question: Column, rules: tuple[TopicRule, ...] = TOPIC_RULES) -> Column:
-    """Array of the topics a question asks for."""
-    first = [r for r in rules if not r.last_resort]
-    asked = functools.reduce(operator.or_, [mentions_any(question, r.triggers) for r in first])
-    topics = [
-        F.when(
-            mentions_any(question, r.triggers) & (~asked if r.last_resort else F.lit(True)),
-            F.lit(r.topic),
-        )
-        for r in rules
-    ]
-    return F.array_compact(F.array(*topics))
+    """The topics a question asks for, comma-separated; empty if none."""
+    return F.concat_ws(
+        ",", *[F.when(asked, F.lit(r.topic)) for r, asked in zip(rules, _asked(question, rules))]
+    )
 
 
-def text_topics(text: Column, rules: tuple[TopicRule, ...] = TOPIC_RULES) -> Column:
-    """Array of the topics a text matches."""
+def text_topics(low: Column, rules: tuple[TopicRule, ...] = TOPIC_RULES) -> Column:
+    """Array of the topics a lower-cased text matches."""
     return F.array_compact(
-        F.array(*[F.when(like_topic(text, r.required, r.any_of), F.lit(r.topic)) for r in rules])
+        F.array(
+            *[F.when(topic_matches(low, r.required, r.any_of), F.lit(r.topic)) for r in rules]
+        )
     )
 
 
@@ -78,7 +82,12 @@ def first_hits_per_topic(
     limit: int = HITS,
 ) -> DataFrame:
     """The first matching chunks of every topic: at most ``limit`` rows per rule, in one scan."""
-    hits = chunks.withColumn("topic", F.explode(text_topics(F.col(text), rules)))
+    # The folded text is a column of its own so that all rules share it.
+    hits = (
+        chunks.withColumn("_low", F.lower(text))
+        .withColumn("topic", F.explode(text_topics(F.col("_low"), rules)))
+        .drop("_low")
+    )
     return top_per_group(hits, "topic", [F.asc(c) for c in order], limit).drop("rank")
 
 
@@ -90,9 +99,16 @@ def keyword_search(
     rules: tuple[TopicRule, ...] = TOPIC_RULES,
     limit: int = HITS,
 ) -> DataFrame:
-    """The first chunks, in ``order``, that match any topic of one question."""
-    asked = F.arrays_overlap(
-        question_topics(F.lit(question), rules), text_topics(F.col(text), rules)
+    """The first chunks, in ``order``, that match any topic of one question.
+
+    Whether the question asks for a topic is folded at planning, so the scan
+    tests the patterns of its own topics only.
+    """
+    asked = any_topic(
+        [
+            wanted & topic_matches(F.lower(text), r.required, r.any_of)
+            for r, wanted in zip(rules, _asked(F.lit(question), rules))
+        ]
     )
     return chunks.where(asked).orderBy(*order).limit(limit)
 
@@ -118,7 +134,7 @@ def keyword_batch(
     """
     hits = first_hits_per_topic(chunks, order, text, rules, limit)
     asked = questions.select(
-        query_key, F.concat_ws(",", question_topics(F.col(question), rules)).alias("_topics")
+        query_key, question_topics(F.col(question), rules).alias("_topics")
     ).where(F.col("_topics") != "")
     per_set = (
         asked.select("_topics")

@@ -49,7 +49,11 @@ def holds_in_order(low: Column, pattern: str) -> Column:
 
 def like_topic(text: Column, required: str, any_of: tuple[str, ...] = ()) -> Column:
     """Case-folded LIKE: the required pattern and, if given, one of the others."""
-    low = F.lower(text)
+    return topic_matches(F.lower(text), required, any_of)
+
+
+def topic_matches(low: Column, required: str, any_of: tuple[str, ...] = ()) -> Column:
+    """:func:`like_topic` on a text that is in lower case already."""
     condition = holds_in_order(low, required)
     if any_of:
         condition &= functools.reduce(operator.or_, [holds_in_order(low, p) for p in any_of])

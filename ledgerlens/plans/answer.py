@@ -10,6 +10,7 @@ from ledgerlens.operators import assembly, kpi
 from ledgerlens.operators.keyword_search import keyword_batch
 from ledgerlens.operators.vector_search import vector_topk
 from ledgerlens.plans import standins
+from ledgerlens.session import materialise
 
 NEIGHBOURS = 5
 
@@ -88,7 +89,7 @@ def keyword_hits(questions: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def answer_questions(questions: DataFrame, corpus: DataFrame, blocks: DataFrame) -> DataFrame:
     """(conv_id, route, context) for questions (conv_id, question, embedding)."""
-    asked = routed(questions)
+    asked = materialise(routed(questions), "questions")  # four branches read it
     metrics = (
         asked.where("needs_sql")
         .withColumn("kpi", kpi_key(F.col("question")))

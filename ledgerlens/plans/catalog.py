@@ -14,7 +14,7 @@ from ledgerlens.operators.lexical_search import bm25_topk
 from ledgerlens.operators.vector_search import vector_topk
 from ledgerlens.plans import answer, ingest, standins
 from ledgerlens.schemas import KPI_TABLES
-from ledgerlens.session import new_path, spread
+from ledgerlens.session import materialise, new_path, spread, tune
 from ledgerlens.sources import chunk_store, files, pages
 from ledgerlens.sources.tables import table
 from ledgerlens.streaming import sync
@@ -26,8 +26,8 @@ BANK, BRANCH_NAME, MONTH, QUARTER = "NATION_15", "Supplier#000000000", "1996-05"
 KEYWORD_QUESTION = "Which CTR, suspicious transaction and KYC rules bind a branch?"
 
 
-def query(run: Query) -> Query:
-    QUERIES[run.__name__] = run
+def query(run: Query, name: str | None = None) -> Query:
+    QUERIES[name or run.__name__] = lambda spark, d: run(tune(spark), d)
     return run
 
 
@@ -369,7 +369,7 @@ def v5_hybrid_topk(spark, d):
 
 
 def _asked(spark, d):
-    return answer.routed(standins.embedded_questions(spark, d))
+    return materialise(answer.routed(standins.embedded_questions(spark, d)), "questions")
 
 
 @query
@@ -417,9 +417,9 @@ def _flag(name, test):
     return run
 
 
-QUERIES["q2_needs_sql"] = _flag("needs_sql", routing.needs_sql)
-QUERIES["q3_needs_docs"] = _flag("needs_docs", routing.needs_docs)
-QUERIES["q4_keyword_gate"] = _flag("keyword_gate", routing.keyword_gate)
+query(_flag("needs_sql", routing.needs_sql), "q2_needs_sql")
+query(_flag("needs_docs", routing.needs_docs), "q3_needs_docs")
+query(_flag("keyword_gate", routing.keyword_gate), "q4_keyword_gate")
 
 
 @query

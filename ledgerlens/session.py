@@ -8,11 +8,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Runtime settings the plans count on. A key that holds a large part of a join's
+# rows is split even where that costs one more shuffle.
+RUNTIME_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings to any session, local or cluster."""
+    for key, value in RUNTIME_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "ledgerlens") -> SparkSession:
     """A local session for tests and the benchmark.
 
-    On a cluster, pass your own session: nothing in the package depends on
-    the values set here except UTC for timestamps with a time zone.
+    On a cluster, pass your own session through :func:`tune`.
     """
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -25,7 +41,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return tune(spark)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -50,6 +66,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once under the shared folder and read it back.
+
+    For results that several branches of a plan need: it is computed once,
+    losing an executor does not lose it, and Spark knows its size.
+    """
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition only when the scan gives fewer tasks than there are cores.
 

@@ -90,19 +90,6 @@ def test_chunking_pages_equals_chunking_the_document(spark, size, segment):
         assert assembled.get(d, []) == expected
 
 
-def test_one_document_with_most_pages(spark):
-    pages = spark.range(30_000).select(
-        F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).alias("doc_id"),
-        F.col("id").alias("page_no"),
-        F.concat(F.col("id").cast("string"), F.lit(" x")).alias("text"),
-    )
-    out = chunk_pages(pages, "doc_id", "page_no", "text", 100)
-    hot = out.where("doc_id = -1")
-    # 20,000 pages; each 'x' runs into the next page's number, so n + 1 words.
-    assert hot.count() == 201
-    assert hot.agg(F.sum(text.token_count(F.col("chunk_text")))).first()[0] == 20_001
-
-
 @pytest.mark.parametrize(
     "raw",
     [

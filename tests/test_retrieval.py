@@ -46,7 +46,7 @@ def test_every_vector_is_its_own_nearest(spark, data, limits):
 @pytest.mark.parametrize("limits", [Limits(), BLOCKS])
 def test_copies_go_by_key_and_unusable_vectors_are_left_out(spark, limits):
     copies = [(i, [1.0, 0.0]) for i in range(400)]
-    others = [(1000 + i, [1.0, float(i)]) for i in range(1, 200)]
+    others = [(1000 + i, [10.0, float(i)]) for i in range(1, 200)]
     unusable = [(5000, [0.0, 0.0]), (5001, None)]
     corpus = spark.createDataFrame(copies + others + unusable, "doc_id long, embedding array<float>")
     queries = spark.createDataFrame(

@@ -43,7 +43,7 @@ def test_flags_routes_and_topics(asked):
         routing.route(q),
     )
     for qid, sql, docs, gate, topics, route in out.collect():
-        assert (sql, docs, gate, topics) == QUESTIONS[qid][1:], QUESTIONS[qid][0]
+        assert (sql, docs, gate, topics) == (*QUESTIONS[qid][1:4], ",".join(QUESTIONS[qid][4]))
         expected = {(1, 1): "both", (1, 0): "sql", (0, 1): "docs", (0, 0): "default"}
         assert route == expected[(sql, docs)]
 
