@@ -8,12 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def month_label(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM")
+def month_number(ts: Column) -> Column:
+    """202505 for May 2025: a cheap grouping key; labels are made from it after grouping."""
+    return F.year(ts) * 100 + F.month(ts)
 
 
-def quarter_label(ts: Column) -> Column:
-    return F.concat(F.date_format(ts, "yyyy"), F.lit("-Q"), F.quarter(ts).cast("string"))
+def month_label(number: Column) -> Column:
+    """202505 -> '2025-05'."""
+    digits = number.cast("string")
+    return F.concat(F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 2))
 
 
 def quarter_of_month(month: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.routing import mentions_any
-from ledgerlens.operators.kpi import any_topic, topic_matches
+from ledgerlens.operators.kpi import any_topic, folded, topic_matches
 from ledgerlens.operators.ranking import top_per_group
 
 HITS = 3
@@ -104,13 +104,14 @@ def keyword_search(
     Whether the question asks for a topic is folded at planning, so the scan
     tests the patterns of its own topics only.
     """
-    asked = any_topic(
-        [
-            wanted & topic_matches(F.lower(text), r.required, r.any_of)
-            for r, wanted in zip(rules, _asked(F.lit(question), rules))
-        ]
+    wanted = _asked(F.lit(question), rules)
+    matches = folded(
+        F.col(text),
+        lambda low: any_topic(
+            [w & topic_matches(low, r.required, r.any_of) for r, w in zip(rules, wanted)]
+        ),
     )
-    return chunks.where(asked).orderBy(*order).limit(limit)
+    return chunks.where(matches).orderBy(*order).limit(limit)
 
 
 def keyword_batch(

@@ -200,20 +200,25 @@ def f2_in_quarter(spark, d):
 
 @query
 def f3_case_folded_like(spark, d):
-    return standins.corpus(spark, d).where(kpi.like_topic(F.col("text"), "%the%license%")).select(
-        "doc_id", "source_file"
-    )
+    wanted = kpi.folded(F.col("text"), lambda low: kpi.holds_in_order(low, "%the%license%"))
+    return standins.corpus(spark, d).where(wanted).select("doc_id", "source_file")
 
 
 @query
 def f4_topic_predicates(spark, d):
-    low = F.col("text")
-    wanted = kpi.any_topic(
-        [
-            kpi.like_topic(low, "%cash transaction%", ("%branch%prepare%", "%monthly%ctr%")),
-            kpi.like_topic(low, "%suspicious transaction%", ("%report%bfiu%", "%submit%sar%")),
-            kpi.like_topic(low, "%know your customer%"),
-        ]
+    wanted = kpi.folded(
+        F.col("text"),
+        lambda low: kpi.any_topic(
+            [
+                kpi.topic_matches(
+                    low, "%cash transaction%", ("%branch%prepare%", "%monthly%ctr%")
+                ),
+                kpi.topic_matches(
+                    low, "%suspicious transaction%", ("%report%bfiu%", "%submit%sar%")
+                ),
+                kpi.topic_matches(low, "%know your customer%"),
+            ]
+        ),
     )
     return standins.domain_corpus(spark, d).where(wanted).select("doc_id", "source_file")
 

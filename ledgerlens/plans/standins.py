@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.calendar import in_months, month_label, quarter_label
+from ledgerlens.functions.calendar import in_months, month_label, month_number, quarter_of_month
 from ledgerlens.session import spread
 from ledgerlens.sources.tables import table
 
@@ -40,7 +40,9 @@ def branches(
 def _line_facts(
     spark: SparkSession, sf_dir: str, columns: list[str], keys: DataFrame | None, months: list[str] | None
 ) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", *columns)
+    lines = spread(
+        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", *columns), "l_orderkey"
+    )
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"
     )
@@ -48,7 +50,7 @@ def _line_facts(
         lines = lines.join(keys.select("l_suppkey"), "l_suppkey", "left_semi")
     if months is not None:
         orders = orders.where(in_months(F.col("o_orderdate"), months))
-    return lines.join(orders, "l_orderkey").withColumn("month", month_label(F.col("o_orderdate")))
+    return lines.join(orders, "l_orderkey").withColumn("_month", month_number(F.col("o_orderdate")))
 
 
 def _restricted(bank_name: str | None, branch: str | None) -> bool:
@@ -71,13 +73,13 @@ def str_filing(
     # One row per order and supplier first. The join has already placed the
     # lines by order, so this needs no shuffle of its own, and the orders of a
     # month are then counted without a distinct.
-    per_order = facts.groupBy("l_orderkey", "l_suppkey", "month").agg(
+    per_order = facts.groupBy("l_orderkey", "l_suppkey", "_month").agg(
         F.sum(F.when(days >= 0, days)).alias("_days"),
         F.count_if(days >= 0).alias("_dated"),
         F.count_if(days > SLA_DAYS).alias("_late"),
     )
     return (
-        per_order.groupBy("l_suppkey", "month")
+        per_order.groupBy("l_suppkey", "_month")
         .agg(
             F.count(F.lit(1)).alias("str_filed_count"),
             (F.sum("_days").cast("double") / F.nullif(F.sum("_dated"), F.lit(0))).alias(
@@ -86,6 +88,7 @@ def str_filing(
             F.sum("_late").alias("str_sla_breaches"),
         )
         .join(names, "l_suppkey")
+        .withColumn("month", month_label(F.col("_month")))
         .select(
             "bank_name", "branch", "month", "str_filed_count", "avg_str_filing_days", "str_sla_breaches"
         )
@@ -109,13 +112,14 @@ def ctr_reporting(
         months,
     )
     return (
-        facts.groupBy("l_suppkey", "month")
+        facts.groupBy("l_suppkey", "_month")
         .agg(
             F.count_if(F.col("l_linestatus") == "F").alias("ctrs_filed"),
             F.count_if(F.col("l_returnflag") == "R").alias("ctrs_unreported"),
             F.count_if(F.col("l_extendedprice") > CTR_AMOUNT).alias("txns_above_threshold"),
         )
         .join(names, "l_suppkey")
+        .withColumn("month", month_label(F.col("_month")))
         .select(
             "bank_name", "branch", "month", "ctrs_filed", "ctrs_unreported", "txns_above_threshold"
         )
@@ -125,7 +129,9 @@ def ctr_reporting(
 def kyc_edd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders closed and open, and customers in debt, per nation, segment and month."""
     orders = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("c_custkey"), "o_orderstatus", month_label(F.col("o_orderdate")).alias("month")
+        F.col("o_custkey").alias("c_custkey"),
+        "o_orderstatus",
+        month_number(F.col("o_orderdate")).alias("_month"),
     )
     customers = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_acctbal", F.col("c_mktsegment").alias("branch")
@@ -134,41 +140,50 @@ def kyc_edd(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("bank_name")
     )
     # One row per customer and month before the join: a customer with very many orders is one row.
-    per_customer = orders.groupBy("c_custkey", "month").agg(
+    per_customer = orders.groupBy("c_custkey", "_month").agg(
         F.count_if(F.col("o_orderstatus") == "F").alias("_done"),
         F.count_if(F.col("o_orderstatus").isin("O", "P")).alias("_open"),
     )
     return (
         per_customer.join(customers, "c_custkey")
-        .groupBy("c_nationkey", "branch", "month")
+        .groupBy("c_nationkey", "branch", "_month")
         .agg(
             F.sum("_done").alias("edd_completed"),
             F.sum("_open").alias("edd_pending"),
             F.count_if(F.col("c_acctbal") < 0).alias("high_risk_customers"),
         )
         .join(nation, "c_nationkey")
+        .withColumn("month", month_label(F.col("_month")))
         .select(
             "bank_name", "branch", "month", "edd_completed", "edd_pending", "high_risk_customers"
         )
     )
 
 
-def _event_keys() -> tuple[Column, Column]:
-    user = F.col("user_id")
-    return (
-        F.concat(F.lit("bank_"), (user % 5).cast("string")).alias("bank_name"),
-        F.concat(F.lit("branch_"), (user % 25).cast("string")).alias("branch"),
+def _group_names(events: DataFrame) -> DataFrame:
+    """bank_name and branch from the user group."""
+    return events.withColumns(
+        {
+            "bank_name": F.concat(F.lit("bank_"), (F.col("_group") % 5).cast("string")),
+            "branch": F.concat(F.lit("branch_"), F.col("_group").cast("string")),
+            "month": month_label(F.col("_month")),
+        }
     )
 
 
 def sanctions_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events, error events, and events above the value, per user group and month."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
-    return events.groupBy(*_event_keys(), month_label(F.col("ts")).alias("month")).agg(
+    grouped = events.groupBy(
+        (F.col("user_id") % 25).alias("_group"), month_number(F.col("ts")).alias("_month")
+    ).agg(
         F.count(F.lit(1)).alias("transactions_screened"),
         F.count_if(F.col("event_type") == "error").alias("sanctions_hits_flagged"),
         F.count_if(F.col("value") > SCREENING_VALUE).alias("sla_breaches"),
     )
+    return _group_names(grouped).select(
+        "bank_name", "branch", "month", "transactions_screened", "sanctions_hits_flagged", "sla_breaches"
+    )
 
 
 def training_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,13 +191,22 @@ def training_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
     trained = (F.col("event_type") == "signup") & (F.col("value") > TRAINING_VALUE)
     # One row per user and quarter first; the counts then need no distinct.
-    users = events.groupBy("user_id", quarter_label(F.col("ts")).alias("quarter")).agg(
+    # The first month of the quarter stands for it.
+    first_month = F.year("ts") * 100 + F.quarter("ts") * 3 - 2
+    users = events.groupBy("user_id", first_month.alias("_month")).agg(
         F.bool_or(F.coalesce(trained, F.lit(False))).alias("_trained")
     )
-    return users.groupBy(*_event_keys(), "quarter").agg(
+    grouped = users.groupBy((F.col("user_id") % 25).alias("_group"), "_month").agg(
         F.count(F.lit(1)).alias("staff_total"),
         F.count_if("_trained").alias("staff_trained_aml_cft"),
     )
+    return _group_names(grouped).select(
+        "bank_name",
+        "branch",
+        quarter_of_month(F.col("month")).alias("quarter"),
+        "staff_total",
+        "staff_trained_aml_cft",
+    )
 
 
 def monthly_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
