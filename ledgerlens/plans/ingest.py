@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens.operators.chunking import MAX_TOKENS, chunk_fixed
-from ledgerlens.sources.chunk_store import scan_chunks, with_chunk_id, write_chunks
-from ledgerlens.sources.files import load_csv
 from ledgerlens.schemas import KPI_TABLES
+from ledgerlens.sources.chunk_store import scan_chunks, with_chunk_id, write_chunks
+from ledgerlens.sources.files import discover_files, load_csv, with_table_names
 
 
 def ingest_documents(
@@ -31,3 +32,20 @@ def ingest_kpi_csv(spark: SparkSession, csv_path: str, name: str, target: str) -
     """Load one KPI CSV with its declared schema; returns the rows loaded, 0 if unreadable."""
     _, rows = load_csv(spark, csv_path, KPI_TABLES[name], target)
     return rows
+
+
+def ingest_csv_folder(spark: SparkSession, directory: str, target: str) -> dict[str, int | None]:
+    """Load every CSV of a flat folder as a table; rows per table, None for a file that failed.
+
+    Only file names come to the driver. A file that cannot be read does not
+    stop the others. Known tables get their declared schema.
+    """
+    listed = with_table_names(discover_files(spark, directory).where(F.col("file_type") == "CSV"))
+    loaded: dict[str, int | None] = {}
+    for row in listed.orderBy("file_name").toLocalIterator():
+        path = f"{directory.rstrip('/')}/{row.file_name}"
+        table, rows = load_csv(
+            spark, path, KPI_TABLES.get(row.table_name), f"{target}/{row.table_name}"
+        )
+        loaded[row.table_name] = rows if table else None
+    return loaded

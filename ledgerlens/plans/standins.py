@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.calendar import in_months, month_label, month_number, quarter_of_month
-from ledgerlens.session import spread
+from ledgerlens.session import materialise, spread
 from ledgerlens.sources.tables import table
 
 # Stand-in limits, chosen so that about a tenth of the rows passes.
@@ -41,7 +41,9 @@ def _line_facts(
     spark: SparkSession, sf_dir: str, columns: list[str], keys: DataFrame | None, months: list[str] | None
 ) -> DataFrame:
     lines = spread(
-        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", *columns), "l_orderkey"
+        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", *columns),
+        "l_orderkey",
+        "l_suppkey",
     )
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"
@@ -53,48 +55,75 @@ def _line_facts(
     return lines.join(orders, "l_orderkey").withColumn("_month", month_number(F.col("o_orderdate")))
 
 
-def _restricted(bank_name: str | None, branch: str | None) -> bool:
-    return bank_name is not None or branch is not None
+_STR_COLUMNS = ["l_shipdate"]
+_CTR_COLUMNS = ["l_linestatus", "l_returnflag", "l_extendedprice"]
+_STR_MEASURES = ["str_filed_count", "avg_str_filing_days", "str_sla_breaches"]
+_CTR_MEASURES = ["ctrs_filed", "ctrs_unreported", "txns_above_threshold"]
 
 
-def str_filing(
+def _line_kpis(
     spark: SparkSession,
     sf_dir: str,
-    bank_name: str | None = None,
-    branch: str | None = None,
-    months: list[str] | None = None,
+    columns: list[str],
+    measures: list[str],
+    bank_name: str | None,
+    branch: str | None,
+    months: list[str] | None,
 ) -> DataFrame:
-    """Orders filed, mean days from order to shipment, and shipments later than the limit."""
+    """The chosen measures of order lines per bank, branch and month, in one pass."""
     names = branches(spark, sf_dir, bank_name, branch)
-    facts = _line_facts(
-        spark, sf_dir, ["l_shipdate"], names if _restricted(bank_name, branch) else None, months
-    )
-    days = F.datediff("l_shipdate", "o_orderdate")
+    restricted = bank_name is not None or branch is not None
+    facts = _line_facts(spark, sf_dir, columns, names if restricted else None, months)
+    per_order, total = [], []
+    if "l_shipdate" in columns:
+        days = F.datediff("l_shipdate", "o_orderdate")
+        per_order += [
+            F.sum(F.when(days >= 0, days)).alias("_days"),
+            F.count_if(days >= 0).alias("_dated"),
+            F.count_if(days > SLA_DAYS).alias("_late"),
+        ]
+        mean = F.sum("_days").cast("double") / F.nullif(F.sum("_dated"), F.lit(0))
+        total += [
+            F.count(F.lit(1)).alias("str_filed_count"),
+            mean.alias("avg_str_filing_days"),
+            F.sum("_late").alias("str_sla_breaches"),
+        ]
+    if "l_linestatus" in columns:
+        per_order += [
+            F.count_if(F.col("l_linestatus") == "F").alias("_filed"),
+            F.count_if(F.col("l_returnflag") == "R").alias("_unreported"),
+            F.count_if(F.col("l_extendedprice") > CTR_AMOUNT).alias("_above"),
+        ]
+        total += [
+            F.sum("_filed").alias("ctrs_filed"),
+            F.sum("_unreported").alias("ctrs_unreported"),
+            F.sum("_above").alias("txns_above_threshold"),
+        ]
     # One row per order and supplier first. The join has already placed the
     # lines by order, so this needs no shuffle of its own, and the orders of a
     # month are then counted without a distinct.
-    per_order = facts.groupBy("l_orderkey", "l_suppkey", "_month").agg(
-        F.sum(F.when(days >= 0, days)).alias("_days"),
-        F.count_if(days >= 0).alias("_dated"),
-        F.count_if(days > SLA_DAYS).alias("_late"),
-    )
     return (
-        per_order.groupBy("l_suppkey", "_month")
-        .agg(
-            F.count(F.lit(1)).alias("str_filed_count"),
-            (F.sum("_days").cast("double") / F.nullif(F.sum("_dated"), F.lit(0))).alias(
-                "avg_str_filing_days"
-            ),
-            F.sum("_late").alias("str_sla_breaches"),
-        )
+        facts.groupBy("l_orderkey", "l_suppkey", "_month")
+        .agg(*per_order)
+        .groupBy("l_suppkey", "_month")
+        .agg(*total)
         .join(names, "l_suppkey")
         .withColumn("month", month_label(F.col("_month")))
-        .select(
-            "bank_name", "branch", "month", "str_filed_count", "avg_str_filing_days", "str_sla_breaches"
-        )
+        .select("bank_name", "branch", "month", *measures)
     )
 
 
+def str_filing(
+    spark: SparkSession,
+    sf_dir: str,
+    bank_name: str | None = None,
+    branch: str | None = None,
+    months: list[str] | None = None,
+) -> DataFrame:
+    """Orders filed, mean days from order to shipment, and shipments later than the limit."""
+    return _line_kpis(spark, sf_dir, _STR_COLUMNS, _STR_MEASURES, bank_name, branch, months)
+
+
 def ctr_reporting(
     spark: SparkSession,
     sf_dir: str,
@@ -103,27 +132,7 @@ def ctr_reporting(
     months: list[str] | None = None,
 ) -> DataFrame:
     """Lines filed, lines returned, and lines above the amount."""
-    names = branches(spark, sf_dir, bank_name, branch)
-    facts = _line_facts(
-        spark,
-        sf_dir,
-        ["l_linestatus", "l_returnflag", "l_extendedprice"],
-        names if _restricted(bank_name, branch) else None,
-        months,
-    )
-    return (
-        facts.groupBy("l_suppkey", "_month")
-        .agg(
-            F.count_if(F.col("l_linestatus") == "F").alias("ctrs_filed"),
-            F.count_if(F.col("l_returnflag") == "R").alias("ctrs_unreported"),
-            F.count_if(F.col("l_extendedprice") > CTR_AMOUNT).alias("txns_above_threshold"),
-        )
-        .join(names, "l_suppkey")
-        .withColumn("month", month_label(F.col("_month")))
-        .select(
-            "bank_name", "branch", "month", "ctrs_filed", "ctrs_unreported", "txns_above_threshold"
-        )
-    )
+    return _line_kpis(spark, sf_dir, _CTR_COLUMNS, _CTR_MEASURES, bank_name, branch, months)
 
 
 def kyc_edd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,9 +219,17 @@ def training_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monthly_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The four monthly tables. Both line tables come from one pass over the lines."""
+    lines = materialise(
+        _line_kpis(
+            spark, sf_dir, _STR_COLUMNS + _CTR_COLUMNS, _STR_MEASURES + _CTR_MEASURES, None, None, None
+        ),
+        "line_kpis",
+    )
+    keys = ["bank_name", "branch", "month"]
     return {
-        "str_filing_kpi": str_filing(spark, sf_dir),
-        "ctr_reporting_kpi": ctr_reporting(spark, sf_dir),
+        "str_filing_kpi": lines.select(*keys, *_STR_MEASURES),
+        "ctr_reporting_kpi": lines.select(*keys, *_CTR_MEASURES),
         "kyc_edd_kpi": kyc_edd(spark, sf_dir),
         "sanctions_screening_kpi": sanctions_screening(spark, sf_dir),
     }

@@ -36,12 +36,14 @@ def discover_files(
     return files.withColumn("file_type", kind).where(F.col("file_type").isNotNull())
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: StructType | None) -> DataFrame:
+    """A header CSV; without a declared schema every column is text."""
+    reader = spark.read.option("header", True)
+    return (reader.schema(schema) if schema else reader).csv(path)
 
 
 def load_csv(
-    spark: SparkSession, path: str, schema: StructType, target: str
+    spark: SparkSession, path: str, schema: StructType | None, target: str
 ) -> tuple[str | None, int]:
     """Load a header CSV as a Parquet table, replacing what was there.
 

@@ -8,33 +8,30 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.text import WS, words
 
 
-def _joined(order: str, text: str) -> Column:
-    pages = F.array_sort(F.collect_list(F.struct(order, text)))
-    return F.array_join(F.transform(pages, lambda p: p.getField(text)), "")
-
-
 def assemble_documents(
-    pages: DataFrame, key: str, page_no: str, text: str, pages_per_segment: int = 256
+    pages: DataFrame, key: str, page_no: str, text: str, pages_per_part: int = 4096
 ) -> DataFrame:
-    """One row per document: its page texts in page order, nothing in between.
+    """(key, part, text): the page texts of a document in page order, nothing in between.
 
-    Pages are first joined in segments of bounded size and then the segments
-    are joined, so no task holds all pages of a long document as separate
-    rows. Documents without any text are dropped. ``(key, page_no)`` is
-    unique. Use :func:`chunk_pages` when only chunks are wanted.
+    A document of up to ``pages_per_part`` pages is one row, part 0. A longer
+    one comes in several, which joined in order are its text: no task ever
+    holds more pages than that, even if one document has most of them all.
+    Parts without text are dropped. ``(key, page_no)`` is unique. To cut
+    long documents into chunks, use :func:`chunk_pages`, which sees no parts.
     """
-    segments = (
+    in_order = F.array_sort(F.collect_list(F.struct(page_no, "_text")))
+    joined = F.array_join(F.transform(in_order, lambda p: p.getField("_text")), "")
+    return (
         pages.select(
             key,
             page_no,
-            F.coalesce(text, F.lit("")).alias(text),
-            F.floor(F.col(page_no) / pages_per_segment).alias("_segment"),
+            F.coalesce(text, F.lit("")).alias("_text"),
+            F.floor(F.col(page_no) / pages_per_part).alias("part"),
         )
-        .groupBy(key, "_segment")
-        .agg(_joined(page_no, text).alias(text))
+        .where(F.col("_text") != "")
+        .groupBy(key, "part")
+        .agg(joined.alias(text))
     )
-    documents = segments.groupBy(key).agg(_joined("_segment", text).alias(text))
-    return documents.where(F.col(text) != "")
 
 
 def chunk_pages(

@@ -394,7 +394,7 @@ CHUNK_COLUMNS = "source_file, file_type, chunk_ord, chunk_text, n_tokens"
 DOC_KEYS = "doc_id, source_file, file_type"
 
 ORACLES: dict[str, str] = {
-    "s2_scan_documents": with_(JOINED_PAGES) + "SELECT conv_id, text FROM pages_joined WHERE text <> ''",
+    "s2_scan_documents": with_(JOINED_PAGES) + "SELECT conv_id, CAST(0 AS BIGINT) AS part, text FROM pages_joined WHERE text <> ''",
     "s2_chunk_pages": with_(JOINED_PAGES, windows("pages_joined", "conv_id", "text", 50))
     + "SELECT conv_id, chunk_ord, chunk_text FROM chunks",
     "s3_load_csv": with_(LINES, CTR) + "SELECT * FROM ctr_kpi",

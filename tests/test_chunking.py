@@ -82,12 +82,16 @@ def test_chunking_pages_equals_chunking_the_document(spark, size, segment):
     pages = spark.createDataFrame(rows, "doc_id long, page_no long, text string")
     got = chunks_of(chunk_pages(pages, "doc_id", "page_no", "text", size, segment))
     assembled = chunks_of(
-        chunk_fixed(assemble_documents(pages, "doc_id", "page_no", "text", 3), max_tokens=size)
+        chunk_fixed(assemble_documents(pages, "doc_id", "page_no", "text"), max_tokens=size)
     )
+    parts = {}
+    for r in assemble_documents(pages, "doc_id", "page_no", "text", 3).orderBy("doc_id", "part").collect():
+        parts[r.doc_id] = parts.get(r.doc_id, "") + r.text
     for d in range(25):
         expected = brute.page_windows([(p, t) for k, p, t in rows if k == d], size)
         assert got.get(d, []) == expected
         assert assembled.get(d, []) == expected
+        assert parts.get(d, "") == "".join(t or "" for k, _, t in rows if k == d)
 
 
 @pytest.mark.parametrize(

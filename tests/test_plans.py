@@ -68,9 +68,10 @@ def test_distinct_orders_need_no_extra_shuffle(spark, data):
         text = plan(standins.str_filing(spark, data))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    # lines, orders, groups, joined groups (same key: none), suppliers, nations, their join
     assert "Expand" not in text
-    assert text.count("hashpartitioning(l_orderkey") == 2 - text.count("hashpartitioning(o_orderkey")
+    # Lines and orders are placed by order once; grouping per order reuses that.
+    by_order = re.findall(r"Exchange hashpartitioning\(l_orderkey#[^)]*\), ENSURE_REQUIREMENTS", text)
+    assert len(by_order) == 2
 
 
 def test_text_work_uses_all_cores_on_one_file(spark, data):

@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -51,10 +53,27 @@ def test_reloading_gives_the_same_ids(spark):
     assert summary[:] == ("PDF", 2, 1, 1)
 
 
-def test_scratch_folder_comes_from_the_session(spark):
-    assert new_path(spark, "x").startswith(spark.sparkContext.getCheckpointDir())
-    spark.conf.set("spark.checkpoint.dir", "/shared/place")
-    try:
-        assert new_path(spark, "x").startswith("/shared/place/x-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def session_like(setting, master):
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, _: setting), sparkContext=context)
+
+
+def test_scratch_folder_comes_from_the_session():
+    cluster = session_like("/shared/place/", "yarn")
+    assert new_path(cluster, "x").startswith("/shared/place/x-")
+    assert new_path(cluster, "x") != new_path(cluster, "x")
+    with pytest.raises(ValueError):
+        new_path(session_like(None, "yarn"), "x")
+
+
+def test_csv_folder(spark, tmp_path):
+    (tmp_path / "kyc-edd kpi.csv").write_text(
+        "bank_name,branch,month,edd_completed,edd_pending,high_risk_customers\nB,X,2025-03,1,2,3\n"
+    )
+    (tmp_path / "other.csv").write_text("a,b\n1,2\n3,4\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "note.txt").write_text("a\n")
+    target = new_path(spark, "tables")
+    loaded = ingest.ingest_csv_folder(spark, str(tmp_path), target)
+    assert loaded["kyc_edd_kpi"] == 1 and loaded["other"] == 2 and "note" not in loaded
+    assert spark.read.parquet(f"{target}/kyc_edd_kpi").schema == KPI_TABLES["kyc_edd_kpi"]
