@@ -34,6 +34,7 @@ class Limits:
     broadcast_bytes: int = 64 << 20
     queries_per_block: int = 2048
     rows_per_block: int = 65536
+    elements_per_block: int = 8_000_000
     cells_per_step: int = 4_000_000
 
 
@@ -117,6 +118,7 @@ def blocked_topk(
     """(query key, corpus key, score, rank) of the best ``k`` corpus rows per query.
 
     The first column of each input is its unique key; corpus keys are numbers.
+    The second corpus column is an array, the vector or the terms.
     """
     spark = queries.sparkSession
     query_key, corpus_key = queries.columns[0], corpus.columns[0]
@@ -138,7 +140,13 @@ def blocked_topk(
         kept = corpus.mapInArrow(run, out)
     else:
         n_query_blocks = -(-size.count // limits.queries_per_block)
-        n_row_blocks = -(-max(1, corpus.count()) // limits.rows_per_block)
+        # Rows hold a vector or a list of terms; long ones fill a block sooner.
+        rows, elements = corpus.agg(
+            F.count(F.lit(1)), F.coalesce(F.sum(F.size(corpus.columns[1])), F.lit(0))
+        ).first()
+        n_row_blocks = max(
+            1, -(-rows // limits.rows_per_block), -(-elements // limits.elements_per_block)
+        )
         left = _blocks(queries, "_qb", n_query_blocks, "_cb", n_row_blocks)
         right = _blocks(corpus, "_cb", n_row_blocks, "_qb", n_query_blocks)
 

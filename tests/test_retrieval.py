@@ -11,14 +11,18 @@ from ledgerlens.operators.vector_search import vector_topk
 from ledgerlens.sources.tables import table
 
 # The second plan: nothing is broadcast, and blocks are tiny.
-BLOCKS = Limits(broadcast_bytes=0, queries_per_block=7, rows_per_block=40, cells_per_step=60)
+BLOCKS = Limits(
+    broadcast_bytes=0, queries_per_block=70, rows_per_block=60, elements_per_block=9000, cells_per_step=800
+)
+# The first plan with several query blocks.
+STEPS = Limits(queries_per_block=9, cells_per_step=50)
 
 
 def listed(df, query="query_id", doc="doc_id"):
     return sorted((r[query], r["rank"], r[doc], r["score"]) for r in df.collect())
 
 
-@pytest.mark.parametrize("limits", [Limits(), BLOCKS])
+@pytest.mark.parametrize("limits", [Limits(), STEPS, BLOCKS])
 def test_vectors_against_numpy(spark, data, limits):
     vectors = table(spark, data, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     queries = vectors.withColumnRenamed("doc_id", "query_id")
@@ -36,14 +40,14 @@ def test_vectors_against_numpy(spark, data, limits):
     assert np.allclose([g[3] for g in got], [e[3] for e in sorted(expected)], atol=2e-6)
 
 
-@pytest.mark.parametrize("limits", [Limits(), BLOCKS])
+@pytest.mark.parametrize("limits", [Limits(), STEPS, BLOCKS])
 def test_every_vector_is_its_own_nearest(spark, data, limits):
     vectors = table(spark, data, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     out = vector_topk(vectors.withColumnRenamed("doc_id", "query_id"), vectors, 1, limits=limits)
     assert out.where("query_id <> doc_id OR score <> 1.0").count() == 0
 
 
-@pytest.mark.parametrize("limits", [Limits(), BLOCKS])
+@pytest.mark.parametrize("limits", [Limits(), STEPS, BLOCKS])
 def test_copies_go_by_key_and_unusable_vectors_are_left_out(spark, limits):
     copies = [(i, [1.0, 0.0]) for i in range(400)]
     others = [(1000 + i, [10.0, float(i)]) for i in range(1, 200)]
@@ -56,7 +60,7 @@ def test_copies_go_by_key_and_unusable_vectors_are_left_out(spark, limits):
     assert [(q, d) for q, _, d, _ in got] == [(1, 0), (1, 1), (1, 2), (2, 1199), (2, 1198), (2, 1197)]
 
 
-@pytest.mark.parametrize("limits", [Limits(), BLOCKS])
+@pytest.mark.parametrize("limits", [Limits(), STEPS, BLOCKS])
 def test_bm25_against_brute_force(spark, limits):
     docs = {
         1: "the cat sat on the mat",
