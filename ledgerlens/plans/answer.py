@@ -71,24 +71,32 @@ def routed(questions: DataFrame) -> DataFrame:
     )
 
 
-def document_hits(questions: DataFrame, corpus: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+def document_hits(
+    questions: DataFrame, vectors: DataFrame, corpus: DataFrame, k: int = NEIGHBOURS
+) -> DataFrame:
     """Vector hits of the questions that use documents, with text and metadata.
 
     Texts join the winners only; the ranking sees keys and vectors.
     """
     wanting = questions.where(F.col("needs_docs") | ~F.col("needs_sql"))
-    winners = vector_topk(wanting, corpus, k, query_key="conv_id")
-    return winners.join(corpus.drop("embedding"), "doc_id")
+    winners = vector_topk(wanting, vectors, k, query_key="conv_id")
+    return winners.join(corpus, "doc_id")
 
 
 def keyword_hits(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     """Keyword hits of the document questions that pass the gate."""
     gated = questions.where(F.col("needs_docs") & routing.keyword_gate(F.col("question")))
-    return keyword_batch(gated, corpus.drop("embedding"), ["doc_id"], "conv_id", text="text")
+    return keyword_batch(gated, corpus, ["doc_id"], "conv_id", text="text")
 
 
-def answer_questions(questions: DataFrame, corpus: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(conv_id, route, context) for questions (conv_id, question, embedding)."""
+def answer_questions(
+    questions: DataFrame, vectors: DataFrame, corpus: DataFrame, blocks: DataFrame
+) -> DataFrame:
+    """(conv_id, route, context) for questions (conv_id, question, embedding).
+
+    ``vectors`` has (doc_id, embedding), ``corpus`` the texts with their
+    metadata, ``blocks`` the rendered KPI results.
+    """
     asked = materialise(routed(questions), "questions")  # four branches read it
     metrics = (
         asked.where("needs_sql")
@@ -100,6 +108,6 @@ def answer_questions(questions: DataFrame, corpus: DataFrame, blocks: DataFrame)
         asked.select("conv_id", "route", "needs_sql", "needs_docs"),
         "conv_id",
         metrics,
-        assembly.citation_blocks(document_hits(asked, corpus), "conv_id"),
+        assembly.citation_blocks(document_hits(asked, vectors, corpus), "conv_id"),
         assembly.keyword_blocks(keyword_hits(asked, corpus), "conv_id", text="text"),
     ).select("conv_id", "route", "context")

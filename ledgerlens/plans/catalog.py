@@ -367,9 +367,9 @@ def v4_bm25_topk(spark, d):
 
 @query
 def v5_hybrid_topk(spark, d):
-    items, corpus = standins.embedded_items(spark, d), standins.embedded_corpus(spark, d)
-    dense = vector_topk(items, corpus, k=20)
-    lexical = bm25_topk(items, corpus, k=20)
+    items = standins.embedded_items(spark, d)
+    dense = vector_topk(items, standins.corpus_vectors(spark, d), k=20)
+    lexical = bm25_topk(items, standins.domain_corpus(spark, d), k=20)
     return fusion.reciprocal_rank_fusion([dense, lexical])
 
 
@@ -377,12 +377,18 @@ def _asked(spark, d):
     return materialise(answer.routed(standins.embedded_questions(spark, d)), "questions")
 
 
+def _document_hits(spark, d, asked):
+    return answer.document_hits(
+        asked, standins.corpus_vectors(spark, d), standins.domain_corpus(spark, d)
+    )
+
+
 @query
 def v6_concat_retrieval(spark, d):
-    asked, corpus = _asked(spark, d), standins.embedded_corpus(spark, d)
+    asked = _asked(spark, d)
     return fusion.concat_retrieval(
-        answer.document_hits(asked, corpus),
-        answer.keyword_hits(asked, corpus),
+        _document_hits(spark, d, asked),
+        answer.keyword_hits(asked, standins.domain_corpus(spark, d)),
         "conv_id",
         "doc_id",
         "source_file",
@@ -437,8 +443,7 @@ def q5_route(spark, d):
 
 @query
 def q6_citation_block(spark, d):
-    asked, corpus = _asked(spark, d), standins.embedded_corpus(spark, d)
-    return assembly.citation_blocks(answer.document_hits(asked, corpus), "conv_id")
+    return assembly.citation_blocks(_document_hits(spark, d, _asked(spark, d)), "conv_id")
 
 
 @query
@@ -451,16 +456,17 @@ def q7_result_block(spark, d):
 def q8_assemble_context(spark, d):
     return answer.answer_questions(
         standins.embedded_questions(spark, d),
-        standins.embedded_corpus(spark, d),
+        standins.corpus_vectors(spark, d),
+        standins.domain_corpus(spark, d),
         answer.kpi_blocks(spark, d),
     )
 
 
 @query
 def q9_cited_sources(spark, d):
-    asked, corpus = _asked(spark, d), standins.embedded_corpus(spark, d)
+    asked = _asked(spark, d)
     return assembly.cited_sources(
-        asked.select("conv_id", "route"), answer.document_hits(asked, corpus), "conv_id"
+        asked.select("conv_id", "route"), _document_hits(spark, d, asked), "conv_id"
     )
 
 

@@ -285,10 +285,10 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.withColumn("question", substitute(F.col("question"), QUESTION_VOCABULARY))
 
 
-def embedded_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the vector of the same number."""
+def corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, embedding): the vectors whose number is a document's. Texts are not touched."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return domain_corpus(spark, sf_dir).join(vectors, "doc_id")
+    return vectors.join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_semi")
 
 
 def embedded_questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -290,7 +290,7 @@ ASKING = """asking AS (
 VECTOR_HITS = f"""{dense('asking', 'conv_id', 'embedded', 'doc_id', 5)},
 vector_hits AS (SELECT dense.*, source_file, file_type, text FROM dense JOIN embedded USING (doc_id))"""
 KEYWORD_HITS = f"""keyword_hits AS ({ranked(f'''
-  SELECT conv_id, doc_id, source_file, file_type, text FROM routed, embedded
+  SELECT conv_id, doc_id, source_file, file_type, text FROM routed, domain
   WHERE needs_docs AND gate AND {topic_pairs('question', 'text')}''', 'conv_id', 'doc_id', 3)})"""
 EVIDENCE = [CORPUS, DOMAIN, TURNS, QUESTIONS, EMBEDDED, ROUTED, ASKING]
 
@@ -518,7 +518,7 @@ ORDER BY doc_id, chunk_ord LIMIT 3""",
         DOMAIN,
         EMBEDDED,
         ITEMS,
-        bm25("items", "query_id", "embedded", 20),
+        bm25("items", "query_id", "domain", 20),
         dense("items", "query_id", "embedded", "doc_id", 20),
     )
     + ranked(

@@ -6,15 +6,15 @@ from ledgerlens.operators.keyword_search import TOPIC_RULES, keyword_batch, keyw
 
 # (question, needs_sql, needs_docs, gate, topics)
 QUESTIONS = [
-    ("What was the STR breach count of the Dhaka branch in March?", True, False, True, ["str"]),
-    ("What are the AML regulations for CTR filing?", False, True, True, ["ctr"]),
-    ("Which branches have staff training below 95%?", True, False, False, []),
-    ("Which branch had the most unreported CTRs?", True, False, True, ["ctr"]),
-    ("Show all CTR data of one branch in Q2", False, False, True, ["ctr"]),
-    ("Cash Transaction Report requirements", False, True, True, ["ctr"]),
+    ("How large was one branch's STR breach count in March?", True, False, True, ["str"]),
+    ("CTR filing: what are the rules?", False, True, True, ["ctr"]),
+    ("Name the branches with the least trained staff", True, False, False, []),
+    ("The highest number of unreported CTRs, and where", True, False, True, ["ctr"]),
+    ("List the CTR figures of one branch for spring", False, False, True, ["ctr"]),
+    ("Requirements for a Cash Transaction Report", False, True, True, ["ctr"]),
     ("Duties of the AML/CFT unit", False, True, False, ["aml"]),
-    ("KYC requirements for risky customers", False, True, False, ["kyc"]),
-    ("KYC completion rates, and explain the KYC requirements", True, True, False, ["kyc"]),
+    ("Guideline on KYC for risky customers", False, True, False, ["kyc"]),
+    ("Total KYC backlog, and explain the policy", True, True, False, ["kyc"]),
     ("AML rule on suspicious transactions and KYC", False, True, True, ["str", "kyc"]),
     # Substrings count, inside longer words too.
     ("Corporate strategy", True, False, True, ["str"]),
