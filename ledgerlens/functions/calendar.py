@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import operator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,15 +36,19 @@ def months_of_quarter(quarter: str) -> list[str]:
 
 def in_months(ts: Column, months: list[str]) -> Column:
     """Rows of the given months, as ranges on the raw timestamp so that the scan can prune."""
-    starts = [dt.datetime.strptime(m, "%Y-%m") for m in sorted(months)]
-    keep = None
-    for start in starts:
+    spans: list[list[dt.datetime]] = []
+    for month in sorted(set(months)):
+        start = dt.datetime.strptime(month, "%Y-%m")
         end = (start + dt.timedelta(days=32)).replace(day=1)
-        one = (ts >= F.lit(start.isoformat(" ")).cast("timestamp_ntz")) & (
-            ts < F.lit(end.isoformat(" ")).cast("timestamp_ntz")
-        )
-        keep = one if keep is None else keep | one
-    return keep
+        if spans and spans[-1][1] == start:
+            spans[-1][1] = end
+        else:
+            spans.append([start, end])
+
+    def at(moment: dt.datetime) -> Column:
+        return F.lit(moment.isoformat(" ")).cast("timestamp_ntz")
+
+    return functools.reduce(operator.or_, [(ts >= at(a)) & (ts < at(b)) for a, b in spans])
 
 
 def ratio(numerator: Column, denominator: Column, digits: int = 6) -> Column:

@@ -117,8 +117,9 @@ def chunk_pages(
     last = F.floor((F.col("_start") + F.col("_n") - 1) / size)
     shares = (
         placed.where(F.col("_n") > 0)
-        .withColumn("_shares", _page_shares(first, last, max_tokens))
-        .select(key, page_no, F.explode("_shares").alias("_share"))
+        # Exploding the expression, not a column of it: for a column Spark would
+        # add a filter on its size, and compute the shares twice.
+        .select(key, page_no, F.explode(_page_shares(first, last, max_tokens)).alias("_share"))
         .select(key, page_no, "_share.chunk_ord", "_share.glued", "_share.piece")
     )
     # At most max_tokens pages meet in a window, plus pages that only continue a word.
