@@ -48,11 +48,10 @@ def keyword_blocks(
     )
 
 
-def _cell(df: DataFrame, column: str) -> Column:
+def _cell(column: str, kind: str) -> Column:
     """Fractions in fixed notation, as engines print doubles differently."""
-    if dict(df.dtypes)[column] == "double":
-        return shown(F.col(column).cast("decimal(18,2)"))
-    return shown(F.col(column))
+    value = F.col(column)
+    return shown(value.cast("decimal(18,2)") if kind == "double" else value)
 
 
 def result_block(
@@ -63,7 +62,7 @@ def result_block(
     header = " | ".join(columns)
     rule = "-+-".join("-" * max(len(c), 3) for c in columns)
     capped = row_cap(df, order, limit, shown_rows)
-    line = F.concat_ws(" | ", *[_cell(df, c) for c in columns])
+    line = F.concat_ws(" | ", *[_cell(c, kind) for c, kind in df.dtypes])
     total = F.coalesce(F.max("total_rows"), F.lit(0))
     lines = _in_rank_order("row_no", line, "\n")
     note = F.when(

@@ -36,18 +36,18 @@ def kpi_key(question: Column) -> Column:
 def kpi_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(kpi, block): one rendered result per catalogue query."""
     quarter = "1996-Q2"
-    ctr = standins.ctr_reporting(spark, sf_dir, months=kpi.months_of_quarter(quarter))
+    tables = standins.monthly_tables(spark, sf_dir)
     results = {
         "ctr_unreported": (
-            kpi.most_unreported_ctrs(ctr, quarter),
+            kpi.most_unreported_ctrs(tables["ctr_reporting_kpi"], quarter),
             [F.desc("total_unreported_ctrs"), F.asc("bank_name"), F.asc("branch")],
         ),
         "str_breaches": (
-            kpi.most_str_breaches(standins.str_filing(spark, sf_dir), rows=10),
+            kpi.most_str_breaches(tables["str_filing_kpi"], rows=10),
             [F.desc("total_breaches"), F.asc("bank_name"), F.asc("branch")],
         ),
         "edd_rate": (
-            kpi.edd_completion_rate(standins.kyc_edd(spark, sf_dir)),
+            kpi.edd_completion_rate(tables["kyc_edd_kpi"]),
             [F.asc("bank_name")],
         ),
     }

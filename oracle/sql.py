@@ -123,81 +123,103 @@ def rate(a: str, b: str, digits: int = 6) -> str:
     return f"round(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), {digits})"
 
 
-def packed(size: int, hard: bool) -> str:
-    """Greedy packing of paragraphs, by pointers from each chunk's first paragraph to the next.
+PARAGRAPH = "chr(10) || chr(10)"
+DOUBLED = """doubled AS (
+  SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents
+)"""
+
+
+def level(k: int, separator: str, visible: bool, size: int, hard: bool) -> str:
+    """CTEs from ``level_{k}`` to ``level_{k+1}``: one separator's greedy packing.
 
-    ``n0`` is what the first paragraph brings into its chunk: everything, or
-    after a hard cut only its last window.
+    Pointers lead from the first piece of a chunk to the first piece of the
+    next: the one at which the running word count passes the bound. ``fresh``
+    tells a piece kept as it is from one that was stripped when it did not
+    fit. A hard cut leaves the last window of a piece as the first of a chunk.
     """
-    n0 = f"CASE WHEN n > {size} THEN (n - 1) % {size} + 1 ELSE n END" if hard else "n"
+    spaced = f"CAST(p = '' OR regexp_matches(p, '[{WS}]$') AS INTEGER)" if visible else "0"
+    kept = f"CASE WHEN n > {size} THEN (n - 1) % {size} + 1 ELSE n END" if hard else "n"
     full = f"CASE WHEN n > {size} THEN (n - 1) // {size} ELSE 0 END" if hard else "0"
-    first = (
-        f"CASE WHEN n > {size} THEN array_to_string({words('p')}[n - n0 + 1 : n], ' ') "
-        f"WHEN i = 0 THEN p ELSE {strip('p')} END"
-    )
-    if not hard:
-        first = f"CASE WHEN i = 0 THEN p ELSE {strip('p')} END"
-    # Pieces of a packed chunk that is still too long: word windows.
-    return f"""WITH RECURSIVE doubled AS (
-  SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents
+    stripped = strip("p")
+    opening = f"CASE WHEN fresh THEN p ELSE {stripped} END"
+    if hard:
+        rest = f"array_to_string({words('p')}[n - kept + 1 : n], ' ')"
+        opening = f"CASE WHEN n > {size} THEN {rest} ELSE {opening} END"
+    return f"""sized_{k} AS (
+  SELECT row_number() OVER (ORDER BY doc_id, path) AS rid, doc_id, path, text,
+         len({words('text')}) AS total FROM level_{k}
 ),
-sized AS (SELECT doc_id, text, len({words('text')}) AS total FROM doubled),
-paragraphs AS (
-  SELECT doc_id, i, list[i + 1] AS p, len({words('list[i + 1]')}) AS n, len(list) AS many
-  FROM (SELECT doc_id, list, unnest(range(0, len(list))) AS i
-        FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS list
-              FROM sized WHERE total > {size}))
+listed_{k} AS (
+  SELECT rid, i, list[i + 1] AS p, len(list) AS many
+  FROM (SELECT rid, list, unnest(range(0, len(list))) AS i
+        FROM (SELECT rid, string_split(text, {separator}) AS list FROM sized_{k} WHERE total > {size}))
 ),
-summed AS (
-  SELECT *, {n0} AS n0, {full} AS full_windows,
-         sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS cum
-  FROM paragraphs
+counted_{k} AS (SELECT *, len({words('p')}) AS n, {spaced} AS spaced FROM listed_{k}),
+pieces_{k} AS (
+  SELECT *, {kept} AS kept, {full} AS cuts, {stripped} = '' AS blank,
+         sum(n + before) OVER (PARTITION BY rid ORDER BY i) AS cum
+  FROM (SELECT *, coalesce(lag(spaced) OVER (PARTITION BY rid ORDER BY i), 0) AS before FROM counted_{k})
 ),
-steps AS (SELECT doc_id, cum, min(i) AS i FROM summed GROUP BY doc_id, cum),
-next_start AS (
-  SELECT s.doc_id, s.i, s.full_windows, coalesce(e.i, s.many) AS e
-  FROM summed s ASOF LEFT JOIN steps e
-    ON s.doc_id = e.doc_id AND e.cum > s.cum + {size} - s.n0
-),
-starts AS (
-  SELECT doc_id, 0 AS i FROM sized WHERE total > {size}
-  UNION ALL
-  SELECT s.doc_id, CASE WHEN n.e <= s.i THEN s.i + 1 ELSE n.e END
-  FROM starts s JOIN next_start n ON n.doc_id = s.doc_id AND n.i = s.i
-  WHERE CASE WHEN n.e <= s.i THEN s.i + 1 ELSE n.e END
-        < (SELECT max(many) FROM paragraphs p WHERE p.doc_id = s.doc_id)
+rises_{k} AS (SELECT rid, cum, min(i) AS i FROM pieces_{k} GROUP BY rid, cum),
+ends_{k} AS (
+  SELECT s.*, greatest(s.i + 1, coalesce(e.i, s.many)) AS e
+  FROM (SELECT *, {size} - kept + cum + spaced - CASE WHEN fresh THEN spaced ELSE 0 END AS bound
+        FROM pieces_{k}, (VALUES (true), (false)) f(fresh)) s
+  ASOF LEFT JOIN rises_{k} e ON s.rid = e.rid AND e.cum > s.bound
 ),
-bounds AS (
-  SELECT s.doc_id, s.i, CASE WHEN n.e <= s.i THEN s.i + 1 ELSE n.e END AS e
-  FROM starts s JOIN next_start n ON n.doc_id = s.doc_id AND n.i = s.i
+moves_{k} AS (
+  SELECT rid, i, fresh, many,
+         CASE WHEN fresh THEN p = '' ELSE blank END AS nothing,
+         CASE WHEN (fresh AND p = '') OR (NOT fresh AND blank) THEN i + 1 ELSE e END AS next_i,
+         (fresh AND p = '') OR (NOT fresh AND blank) AS next_fresh
+  FROM ends_{k}
 ),
-bodies AS (
-  SELECT b.doc_id, b.i AS a, 1 AS kind, 0 AS w,
-         {strip("string_agg(CASE WHEN s.i = b.i THEN " + first.replace(' i = 0', ' s.i = 0') + " ELSE s.p END, chr(10) || chr(10) ORDER BY s.i)")} AS body
-  FROM bounds b JOIN summed s ON s.doc_id = b.doc_id AND s.i >= b.i AND s.i < b.e
-  GROUP BY b.doc_id, b.i
+starts_{k} AS (
+  SELECT rid, CAST(0 AS BIGINT) AS i, true AS fresh FROM sized_{k} WHERE total > {size}
+  UNION ALL
+  SELECT s.rid, CAST(m.next_i AS BIGINT), m.next_fresh
+  FROM starts_{k} s JOIN moves_{k} m ON m.rid = s.rid AND m.i = s.i AND m.fresh = s.fresh
+  WHERE m.next_i < m.many
 ),
-cuts AS (
-  SELECT s.doc_id, s.i AS a, 0 AS kind, k AS w,
-         array_to_string({words('s.p')}[k * {size} + 1 : (k + 1) * {size}], ' ') AS body
-  FROM (SELECT *, unnest(range(0, full_windows)) AS k FROM summed) s
+spans_{k} AS (
+  SELECT s.rid, s.i, s.fresh, m.next_i AS e
+  FROM starts_{k} s JOIN moves_{k} m ON m.rid = s.rid AND m.i = s.i AND m.fresh = s.fresh
+  WHERE NOT m.nothing
 ),
-short AS (
-  SELECT doc_id, 0 AS a, 1 AS kind, 0 AS w, {strip('text')} AS body FROM sized WHERE total <= {size}
+bodies_{k} AS (
+  SELECT rid, origin AS i, 1 AS kind, 0 AS cut_no, {strip(f"string_agg(CASE WHEN i = origin THEN {opening} ELSE p END, {separator} ORDER BY i)")} AS text
+  FROM (SELECT b.i AS origin, b.fresh, p.* FROM spans_{k} b
+        JOIN pieces_{k} p ON p.rid = b.rid AND p.i >= b.i AND p.i < b.e)
+  GROUP BY rid, origin
 ),
-level AS (
-  SELECT * FROM bodies UNION ALL SELECT * FROM cuts UNION ALL SELECT * FROM short
+cut_{k} AS (
+  SELECT rid, i, 0 AS kind, cut_no, array_to_string({words('p')}[cut_no * {size} + 1 : (cut_no + 1) * {size}], ' ') AS text
+  FROM (SELECT *, unnest(range(0, cuts)) AS cut_no FROM pieces_{k})
 ),
-final AS (
-  SELECT doc_id, a, kind, w, 0 AS v, body FROM level WHERE len({words('body')}) <= {size}
+level_{k + 1} AS (
+  SELECT doc_id, list_concat(path, [i, kind, cut_no]) AS path, o.text
+  FROM (SELECT * FROM bodies_{k} UNION ALL SELECT * FROM cut_{k}) o JOIN sized_{k} USING (rid)
   UNION ALL
-  SELECT doc_id, a, kind, w, v, array_to_string(ws[v + 1 : v + {size}], ' ')
-  FROM (SELECT doc_id, a, kind, w, ws, unnest(range(0, len(ws), {size})) AS v
-        FROM (SELECT *, {words('body')} AS ws FROM level) WHERE len(ws) > {size})
+  SELECT doc_id, list_concat(path, [0, 1, 0]), {strip('text')} FROM sized_{k} WHERE total <= {size}
+)"""
+
+
+def packed(size: int, separators: list[tuple[str, bool]], hard: bool = False) -> str:
+    """Greedy packing by each separator in turn, then word windows."""
+    levels = [level(k, sep, visible, size, hard) for k, (sep, visible) in enumerate(separators)]
+    return f"""WITH RECURSIVE {DOUBLED},
+level_0 AS (SELECT doc_id, CAST([] AS BIGINT[]) AS path, text FROM doubled),
+{", ".join(levels)},
+final AS (
+  SELECT doc_id, path, v, array_to_string(w[v + 1 : v + {size}], ' ') AS body, len(w) AS n, text
+  FROM (SELECT doc_id, path, text, w, unnest(range(0, len(w), {size})) AS v
+        FROM (SELECT *, {words('text')} AS w FROM level_{len(levels)}))
 )
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a, kind, w, v) - 1 AS BIGINT) AS chunk_ord,
-       body AS chunk_text, CAST(len({words('body')}) AS BIGINT) AS n_tokens
-FROM final WHERE body <> ''
+SELECT doc_id,
+       CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path, v) - 1 AS BIGINT) AS chunk_ord,
+       CASE WHEN n <= {size} THEN text ELSE body END AS chunk_text,
+       CAST(len({words('body')}) AS BIGINT) AS n_tokens
+FROM final
 """
 
 
@@ -414,8 +436,12 @@ FROM blanked LEFT JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id
 GROUP BY file_type""",
     "c1_chunk_fixed": with_(CORPUS, windows("corpus", DOC_KEYS, "text", 500))
     + f"SELECT {DOC_KEYS}, chunk_ord, chunk_text, n_tokens FROM chunks",
-    "c2_chunk_greedy": packed(60, hard=True),
-    "c2_chunk_progressive": packed(60, hard=False),
+    "c2_chunk_greedy": packed(60, [(PARAGRAPH, False)], hard=True),
+    "c2_chunk_progressive": packed(60, [(PARAGRAPH, False)]),
+    "c2_chunk_all_separators": packed(
+        60,
+        [(PARAGRAPH, False), ("chr(10)", False), ("'. '", True), ("', '", True), ("' '", False)],
+    ),
     "c3_rows_to_text": with_(LINES, STR, ROW_TEXT) + "SELECT * FROM row_texts",
     "c3_row_chunks": with_(
         LINES, STR, ROW_TEXT, windows("row_texts", 'bank_name, branch, "month"', "row_text", 8)

@@ -6,8 +6,8 @@ from ledgerlens.plans.catalog import QUERIES
 from oracle.check import connect, differences
 from oracle.sql import ORACLES
 
-# Queries without SQL, each with its own test.
-WITHOUT_SQL = {"s1_discover_files", "c2_chunk_all_separators"}
+# A listing of files; tested in test_sources.
+WITHOUT_SQL = {"s1_discover_files"}
 
 
 @pytest.fixture(scope="module")
