@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.text import clean_text, excerpt, shown
+from ledgerlens.functions.text import clean_text, shown
 from ledgerlens.operators.ranking import row_cap
 
 # The layout of a context.
@@ -38,13 +38,11 @@ def citation_blocks(
 
 
 def keyword_blocks(
-    hits: DataFrame, query_key: str, text: str = "chunk_text", rank: str = "rank"
+    hits: DataFrame, query_key: str, text: str = "excerpt", rank: str = "rank"
 ) -> DataFrame:
-    """(query_key, keyword_context): cleaned excerpts of the keyword hits."""
+    """(query_key, keyword_context): the cited excerpts of the keyword hits in rank order."""
     return hits.groupBy(query_key).agg(
-        _in_rank_order(
-            rank, citation(excerpt(clean_text(F.col(text)))), BLOCK_SEPARATOR
-        ).alias("keyword_context")
+        _in_rank_order(rank, citation(F.col(text)), BLOCK_SEPARATOR).alias("keyword_context")
     )
 
 

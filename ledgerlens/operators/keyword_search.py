@@ -116,24 +116,23 @@ def keyword_search(
 
 def keyword_batch(
     questions: DataFrame,
-    chunks: DataFrame,
+    hits: DataFrame,
     order: list[str],
     query_key: str,
     question: str = "question",
-    text: str = "chunk_text",
     rules: tuple[TopicRule, ...] = TOPIC_RULES,
     limit: int = HITS,
 ) -> DataFrame:
-    """:func:`keyword_search` for every question, with one scan of the chunks.
+    """:func:`keyword_search` for every question, from :func:`first_hits_per_topic`.
 
     A question's answer depends only on the set of topics it asks for, and
-    the first hits of a set are among the first hits of its topics. So the
-    hits of each topic are found once, combined for the topic sets that occur
-    (at most two to the number of rules), and handed to the questions by a
-    join that shuffles neither questions nor chunks. Both broadcast tables
-    are bounded by the rules, however large the inputs are.
+    the first hits of a set are among the first hits of its topics. So one
+    scan of the chunks finds the hits of each topic; they are combined for the
+    topic sets that occur (at most two to the number of rules) and handed to
+    the questions by a join that shuffles neither questions nor chunks. Both
+    broadcast tables have a few rows per rule, however large the inputs are;
+    cut ``hits`` to the columns wanted when texts are long.
     """
-    hits = first_hits_per_topic(chunks, order, text, rules, limit)
     asked = questions.select(
         query_key, question_topics(F.col(question), rules).alias("_topics")
     ).where(F.col("_topics") != "")

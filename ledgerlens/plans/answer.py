@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import routing
+from ledgerlens.functions.text import clean_text, excerpt
 from ledgerlens.operators import assembly, kpi
-from ledgerlens.operators.keyword_search import keyword_batch
+from ledgerlens.operators.keyword_search import first_hits_per_topic, keyword_batch
 from ledgerlens.operators.vector_search import vector_topk
 from ledgerlens.plans import standins
 from ledgerlens.session import materialise
@@ -84,9 +85,14 @@ def document_hits(
 
 
 def keyword_hits(questions: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Keyword hits of the document questions that pass the gate."""
+    """Keyword hits, as excerpts, of the document questions that pass the gate.
+
+    Whole texts are matched; only the excerpts of the few hits are broadcast.
+    """
     gated = questions.where(F.col("needs_docs") & routing.keyword_gate(F.col("question")))
-    return keyword_batch(gated, corpus, ["doc_id"], "conv_id", text="text")
+    hits = first_hits_per_topic(corpus, ["doc_id"], "text")
+    shown = hits.withColumn("excerpt", excerpt(clean_text(F.col("text")))).drop("text")
+    return keyword_batch(gated, shown, ["doc_id"], "conv_id")
 
 
 def answer_questions(
@@ -109,5 +115,5 @@ def answer_questions(
         "conv_id",
         metrics,
         assembly.citation_blocks(document_hits(asked, vectors, corpus), "conv_id"),
-        assembly.keyword_blocks(keyword_hits(asked, corpus), "conv_id", text="text"),
+        assembly.keyword_blocks(keyword_hits(asked, corpus), "conv_id"),
     ).select("conv_id", "route", "context")

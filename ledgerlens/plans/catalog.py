@@ -355,8 +355,10 @@ def v2_keyword_search(spark, d):
 
 @query
 def v3_keyword_batch(spark, d):
+    order = ["doc_id", "chunk_ord"]
+    hits = keyword_search.first_hits_per_topic(_domain_chunks(spark, d), order)
     return keyword_search.keyword_batch(
-        standins.questions(spark, d), _domain_chunks(spark, d), ["doc_id", "chunk_ord"], "conv_id"
+        standins.questions(spark, d), hits, order, "conv_id"
     ).select("conv_id", "rank", "doc_id", "chunk_ord", "chunk_text")
 
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import text
 from ledgerlens.operators import assembly, kpi
 from ledgerlens.operators.ranking import row_cap, top_per_group
 
@@ -19,7 +20,8 @@ def test_citation_blocks(spark):
 
 def test_keyword_blocks_cut_after_cleaning(spark):
     hits = spark.createDataFrame([(1, 1, "f", "PDF", "<s>" + "x" * 600)], HITS)
-    got = assembly.keyword_blocks(hits, "qid", text="text").first().keyword_context
+    hits = hits.withColumn("excerpt", text.excerpt(text.clean_text(F.col("text"))))
+    got = assembly.keyword_blocks(hits, "qid").first().keyword_context
     assert got == "[PDF: f]\n" + "x" * 500 + "..."
 
 

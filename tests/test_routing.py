@@ -2,7 +2,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import routing
-from ledgerlens.operators.keyword_search import TOPIC_RULES, keyword_batch, keyword_search, question_topics
+from ledgerlens.operators.keyword_search import (
+    TOPIC_RULES,
+    first_hits_per_topic,
+    keyword_batch,
+    keyword_search,
+    question_topics,
+)
 
 # (question, needs_sql, needs_docs, gate, topics)
 QUESTIONS = [
@@ -98,7 +104,7 @@ def brute_hits(question):
 def test_keyword_search_and_batch_agree_with_brute_force(spark, asked):
     chunks = spark.createDataFrame(CHUNKS, "id long, chunk_text string")
     batch = {}
-    for r in keyword_batch(asked, chunks, ["id"], "qid").collect():
+    for r in keyword_batch(asked, first_hits_per_topic(chunks, ["id"]), ["id"], "qid").collect():
         batch.setdefault(r.qid, []).append((r["rank"], r.id))
     for qid, (question, *_rest) in enumerate(QUESTIONS):
         expected = brute_hits(question)
