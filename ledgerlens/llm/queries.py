@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import table
 from ledgerlens.llm.line_dedup import frequent_line_dedup
+from ledgerlens.llm.simhash import simhash_components
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash_components(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +42,7 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op10_line_dedup": op10_line_dedup,
 }
 
