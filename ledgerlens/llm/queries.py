@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import table
 from ledgerlens.llm.line_dedup import frequent_line_dedup
 from ledgerlens.llm.simhash import simhash_components
+from ledgerlens.llm.url_filter import Rule, canonical_url, judge_urls
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,26 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# The rules of the contract.
+URL_RULES = (
+    Rule("block", "net", "/"),
+    Rule("allow", "example.net", "/en/"),
+    Rule("block", "example.com", "/de/"),
+    Rule("allow", "org", "/fr/"),
+)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: canonical URLs that stand for two pages or more, as left by a crawler running in circles."""
+    pages = table(spark, sf_dir, "pages")
+    repeated = (
+        pages.groupBy(canonical_url(F.col("url")).alias("_page"))
+        .agg(F.count(F.lit(1)).alias("_pages"), F.min("url").alias("url"))
+        .where("_pages >= 2")
+    )
+    return judge_urls(pages, repeated.select("url"), URL_RULES)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = frequent_line_dedup(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -41,11 +62,47 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+OP6_SQL = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), parts AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+         list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1), '&'),
+                               lambda p: p <> '' AND NOT starts_with(p, 'utm_') AND NOT starts_with(p, 'ref='))) AS query
+  FROM cut
+), canonical AS (
+  SELECT page_id, host, path,
+         CASE WHEN host = '' THEN '' ELSE host || rtrim(path, '/') ||
+           CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END END AS page
+  FROM parts
+), repeated AS (
+  SELECT page FROM canonical WHERE page <> '' GROUP BY page HAVING count(*) >= 2
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/'
+  END AS rule FROM canonical
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
+            WHEN rule IS NOT NULL THEN 'block'
+            WHEN page IN (SELECT page FROM repeated) THEN 'block' ELSE 'allow' END AS verdict,
+       rule IS NULL AND page IN (SELECT page FROM repeated) AS listed
+FROM ruled
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op6_url_filter": op6_url_filter,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_url_filter": OP6_SQL,
     "op10_line_dedup": OP10_SQL,
 }
