@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import table
 from ledgerlens.llm.line_dedup import frequent_line_dedup
+from ledgerlens.llm.quality import BASE, fit_quality, judge_quality
 from ledgerlens.llm.simhash import simhash_components
 from ledgerlens.llm.url_filter import Rule, canonical_url, judge_urls
 
@@ -18,6 +19,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return judge_quality(docs, model).select("doc_id", *BASE, "base_failed", "kept", "anomaly")
+
+
 # The rules of the contract.
 URL_RULES = (
     Rule("block", "net", "/"),
@@ -98,6 +105,7 @@ FROM ruled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
     "op6_url_filter": op6_url_filter,
     "op10_line_dedup": op10_line_dedup,
 }
