@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import table
+from ledgerlens.llm.common import Scratch, table
 from ledgerlens.llm.line_dedup import frequent_line_dedup
 from ledgerlens.llm.quality import BASE, fit_quality, judge_quality
 from ledgerlens.llm.simhash import simhash_components
 from ledgerlens.llm.url_filter import Rule, canonical_url, judge_urls
+from ledgerlens.llm.warc import mark_revisits, read_archives, write_archives
+from ledgerlens.session import new_path
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +47,15 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, repeated.select("url"), URL_RULES)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, folder = Scratch(spark, "warc"), new_path(spark, "archives")
+    files, _ = scratch.save(write_archives(mark_revisits(table(spark, sf_dir, "pages"), min_bytes=0), folder))
+    records = read_archives(spark, files, folder)
+    found, _ = scratch.save(records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    scratch.drop(folder)
+    return found
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = frequent_line_dedup(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -107,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op6_url_filter": op6_url_filter,
+    "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
 }
 
