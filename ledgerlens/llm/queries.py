@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import Scratch, table
 from ledgerlens.llm.line_dedup import frequent_line_dedup
 from ledgerlens.llm.quality import BASE, fit_quality, judge_quality
+from ledgerlens.llm.reshard import even_capacities, reshard
 from ledgerlens.llm.simhash import simhash_components
 from ledgerlens.llm.url_filter import Rule, canonical_url, judge_urls
 from ledgerlens.llm.warc import mark_revisits, read_archives, write_archives
@@ -27,6 +28,28 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(docs, model).select("doc_id", *BASE, "base_failed", "kept", "anomaly")
 
 
+def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From six shards by source, one of which holds a third of all rows, to eight of equal bytes."""
+    old = F.pmod(F.xxhash64("source"), F.lit(6))
+    done = reshard(table(spark, sf_dir, "documents"), old, 6, lambda total: even_capacities(total, 8))
+    folder = new_path(spark, "shards")
+    done.write(folder)
+    fields = "doc_id bigint, text string, size bigint, old_shard int, slot bigint, shard int"
+    written = spark.read.schema(fields).parquet(folder) if done.affected else done.placed
+    if 0 < len(done.affected) < 8:
+        # Shards that nothing enters or leaves stay as they are.
+        written = written.unionByName(done.placed.where(~F.col("shard").isin(done.affected)))
+    return written.select(*_shard_columns())
+
+
+def _shard_columns() -> list:
+    text = F.coalesce("text", F.lit(""))
+    return [
+        F.col("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("bytes").alias("law"), F.col("shard"), F.col("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("old_shard"),
+    ]
+
+
 # The rules of the contract.
 URL_RULES = (
     Rule("block", "net", "/"),
@@ -117,6 +140,7 @@ FROM ruled
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
+    "op4_reshard": op4_reshard,
     "op6_url_filter": op6_url_filter,
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
