@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.ann import nearest
 from ledgerlens.llm.common import Scratch, table
 from ledgerlens.llm.line_dedup import frequent_line_dedup
 from ledgerlens.llm.quality import BASE, fit_quality, judge_quality
@@ -28,6 +29,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(docs, model).select("doc_id", *BASE, "base_failed", "kept", "anomaly")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
+
+
 def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From six shards by source, one of which holds a third of all rows, to eight of equal bytes."""
     old = F.pmod(F.xxhash64("source"), F.lit(6))
@@ -140,6 +145,7 @@ FROM ruled
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
+    "op3_nearest": op3_nearest,
     "op4_reshard": op4_reshard,
     "op6_url_filter": op6_url_filter,
     "op9_warc": op9_warc,
