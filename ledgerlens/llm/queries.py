@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.ann import nearest
 from ledgerlens.llm.common import Scratch, table
 from ledgerlens.llm.line_dedup import frequent_line_dedup
+from ledgerlens.llm.packing import pack_documents
 from ledgerlens.llm.quality import BASE, fit_quality, judge_quality
 from ledgerlens.llm.reshard import even_capacities, reshard
 from ledgerlens.llm.simhash import simhash_components
@@ -75,6 +76,20 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, repeated.select("url"), URL_RULES)
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, folder = Scratch(spark, "warc"), new_path(spark, "archives")
     files, _ = scratch.save(write_archives(mark_revisits(table(spark, sf_dir, "pages"), min_bytes=0), folder))
@@ -148,6 +163,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_nearest": op3_nearest,
     "op4_reshard": op4_reshard,
     "op6_url_filter": op6_url_filter,
+    "op7_packing": op7_packing,
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
 }
