@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import heapq
 import os
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,14 +148,15 @@ class ChunkTokens:
         return self.ids[np.repeat(begin - ends + size, size) + np.arange(ends[-1])]
 
 
-_TOKENS: dict[str, ChunkTokens] = {}
-
-
 def _tokens(path: str) -> ChunkTokens:
-    """One per worker process: tasks of a worker share what it has seen."""
-    if path not in _TOKENS:
-        _TOKENS[path] = ChunkTokens(path)
-    return _TOKENS[path]
+    """One per worker process, so that tasks of a worker share what it has seen.
+
+    Functions travel to tasks by value and bring fresh globals along; what is to stay lives in a module of its own.
+    """
+    state = sys.modules.setdefault("_ledgerlens_worker", types.ModuleType("_ledgerlens_worker")).__dict__
+    if path not in state:
+        state[path] = ChunkTokens(path)
+    return state[path]
 
 
 def _slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.Array, list[str | None]]]:

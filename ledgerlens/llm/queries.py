@@ -14,6 +14,7 @@ from ledgerlens.llm.packing import pack_documents
 from ledgerlens.llm.quality import BASE, fit_quality, judge_quality
 from ledgerlens.llm.reshard import even_capacities, reshard
 from ledgerlens.llm.simhash import simhash_components
+from ledgerlens.llm.suffix_dedup import suffix_dedup
 from ledgerlens.llm.url_filter import Rule, canonical_url, judge_urls
 from ledgerlens.llm.warc import mark_revisits, read_archives, write_archives
 from ledgerlens.session import new_path
@@ -56,6 +57,11 @@ def _shard_columns() -> list:
     ]
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 # The rules of the contract.
 URL_RULES = (
     Rule("block", "net", "/"),
@@ -162,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_nearest": op3_nearest,
     "op4_reshard": op4_reshard,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_packing": op7_packing,
     "op9_warc": op9_warc,
