@@ -1,16 +1,12 @@
 """Exact top-k of many queries over a large corpus without forming the pairs.
 
 A scorer turns a block of corpus rows and a block of queries into a score
-matrix inside a task; only the best ``k`` of a task leave it. Two plans give
-the same rows:
+matrix inside a task; only the best ``k`` of a task leave it. The corpus is
+read in place, without a shuffle or a copy. Queries are broadcast, in parts of
+bounded size: the corpus is scanned once per part, and most inputs have one.
 
-* the queries fit the bound: they are broadcast once and the corpus is read
-  in place, without a shuffle;
-* they do not: queries and corpus rows are hashed into blocks and every pair
-  of blocks meets in one task. Blocks have a bounded size whatever the data,
-  as they are cut by the hash of a unique key.
-
-The last step ranks the few rows that all tasks kept.
+The last step ranks the few rows that all tasks kept. The same scan also tells
+the scores and the exact ranks of given pairs, which a fusion of lists needs.
 """
 
 from __future__ import annotations
@@ -29,12 +25,10 @@ from ledgerlens.operators.ranking import top_per_group
 
 @dataclass(frozen=True)
 class Limits:
-    """Sizes that decide the plan and bound the memory of a task."""
+    """Sizes that bound a broadcast and the memory of a task."""
 
     broadcast_bytes: int = 64 << 20
     queries_per_block: int = 2048
-    rows_per_block: int = 65536
-    elements_per_block: int = 8_000_000
     cells_per_step: int = 4_000_000
 
 
@@ -52,6 +46,11 @@ Scorer = Callable[[pa.Table], Callable[[pa.Table], np.ndarray]]
 SCORE_DIGITS = 6
 
 
+def rounded(scores: np.ndarray) -> np.ndarray:
+    scores = np.round(scores, SCORE_DIGITS)
+    return np.where(np.isnan(scores), -np.inf, scores)
+
+
 class _Best:
     """The best k rows per query seen so far, by rounded score and then id."""
 
@@ -63,7 +62,8 @@ class _Best:
         self.room = max(k * n_queries, 100_000)
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        scores = np.round(scores, SCORE_DIGITS)
+        # A score that is no number is no match; left in, it would crowd out those that are.
+        scores = rounded(scores)
         take = min(self.k, len(ids))
         kth = np.partition(scores, len(ids) - take, axis=0)[len(ids) - take]
         row, query = np.nonzero((scores >= np.maximum(kth, self.floor)) & (scores > -np.inf))
@@ -88,19 +88,25 @@ class _Best:
         return self.kept[0]
 
 
+def _blocks(queries: pa.Table, limits: Limits) -> Iterator[pa.Table]:
+    for start in range(0, queries.num_rows, limits.queries_per_block):
+        yield queries.slice(start, limits.queries_per_block).combine_chunks()
+
+
+def _steps(rows: pa.Table, n_queries: int, limits: Limits) -> Iterator[pa.Table]:
+    step = max(1, limits.cells_per_step // n_queries)
+    for start in range(0, rows.num_rows, step):
+        yield rows.slice(start, step)
+
+
 def _scan(
     queries: pa.Table, batches: Iterator[pa.Table], scorer: Scorer, k: int, schema: pa.Schema, limits: Limits
 ) -> Iterator[pa.Table]:
     """Score all rows against all queries, a block of queries at a time, and give the best."""
-    blocks = []
-    for start in range(0, queries.num_rows, limits.queries_per_block):
-        block = queries.slice(start, limits.queries_per_block).combine_chunks()
-        blocks.append((block.column(0), scorer(block), _Best(k, block.num_rows)))
+    blocks = [(b.column(0), scorer(b), _Best(k, b.num_rows)) for b in _blocks(queries, limits)]
     for rows in batches:
         for query_ids, score, best in blocks:
-            step = max(1, limits.cells_per_step // len(query_ids))
-            for start in range(0, rows.num_rows, step):
-                part = rows.slice(start, step)
+            for part in _steps(rows, len(query_ids), limits):
                 best.add(part.column(0).to_numpy(), score(part))
     for query_ids, _, best in blocks:
         settled = best.settle()
@@ -112,6 +118,35 @@ def _scan(
             ).cast(schema)
 
 
+def _over_parts(queries: DataFrame, corpus: DataFrame, size: QuerySize, limits: Limits, work, fields: T.StructType) -> DataFrame:
+    """``work(queries, corpus batches)`` in every task of the corpus, for each part of the queries in turn.
+
+    Parts are cut by the hash of the query key; each is collected and
+    broadcast by itself, at most ``broadcast_bytes`` at a time.
+    """
+    n = max(1, -(-size.bytes // max(limits.broadcast_bytes, 1)))
+    n = min(n, max(1, size.count))
+    out = None
+    for i in range(n):
+        part = queries if n == 1 else queries.where(F.pmod(F.xxhash64(queries.columns[0]), F.lit(n)) == i)
+        shared = queries.sparkSession.sparkContext.broadcast(part.toArrow())
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            tables = (pa.Table.from_batches([b]) for b in batches if b.num_rows)
+            if shared.value.num_rows:
+                for found in work(shared.value, tables):
+                    yield from found.to_batches()
+
+        one = corpus.mapInArrow(run, fields)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _fields(queries: DataFrame, corpus: DataFrame, name: str, kind: T.DataType) -> tuple[T.StructType, pa.Schema]:
+    fields = T.StructType([queries.schema[0], corpus.schema[0], T.StructField(name, kind)])
+    return fields, pa.schema([(f.name, _arrow_type(f.dataType)) for f in fields])
+
+
 def blocked_topk(
     queries: DataFrame, corpus: DataFrame, scorer: Scorer, k: int, size: QuerySize, limits: Limits = Limits()
 ) -> DataFrame:
@@ -120,55 +155,96 @@ def blocked_topk(
     The first column of each input is its unique key; corpus keys are numbers.
     The second corpus column is an array, the vector or the terms.
     """
-    spark = queries.sparkSession
-    query_key, corpus_key = queries.columns[0], corpus.columns[0]
-    out = T.StructType(
-        [queries.schema[0], corpus.schema[0], T.StructField("score", T.DoubleType())]
-    )
-    arrow = pa.schema(
-        [(f.name, _arrow_type(f.dataType)) for f in out.fields]
-    )
+    fields, arrow = _fields(queries, corpus, "score", T.DoubleType())
 
-    if size.bytes <= limits.broadcast_bytes:
-        shared = spark.sparkContext.broadcast(queries.toArrow())
+    def best(part: pa.Table, tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
+        return _scan(part, tables, scorer, k, arrow, limits)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables = (pa.Table.from_batches([b]) for b in batches if b.num_rows)
-            for best in _scan(shared.value, tables, scorer, k, arrow, limits):
-                yield from best.to_batches()
-
-        kept = corpus.mapInArrow(run, out)
-    else:
-        n_query_blocks = -(-size.count // limits.queries_per_block)
-        # Rows hold a vector or a list of terms; long ones fill a block sooner.
-        rows, elements = corpus.agg(
-            F.count(F.lit(1)), F.coalesce(F.sum(F.size(corpus.columns[1])), F.lit(0))
-        ).first()
-        n_row_blocks = max(
-            1, -(-rows // limits.rows_per_block), -(-elements // limits.elements_per_block)
-        )
-        left = _blocks(queries, "_qb", n_query_blocks, "_cb", n_row_blocks)
-        right = _blocks(corpus, "_cb", n_row_blocks, "_qb", n_query_blocks)
-
-        def meet(q: pa.Table, c: pa.Table) -> pa.Table:
-            if not q.num_rows or not c.num_rows:
-                return arrow.empty_table()
-            return pa.concat_tables([arrow.empty_table(), *_scan(q, iter([c]), scorer, k, arrow, limits)])
-
-        kept = (
-            left.groupBy("_qb", "_cb")
-            .cogroup(right.groupBy("_qb", "_cb"))
-            .applyInArrow(meet, out)
-        )
-    return top_per_group(kept, query_key, [F.desc("score"), F.asc(corpus_key)], k)
-
-
-def _blocks(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-    """Rows hashed into own blocks, one copy per block of the other side."""
-    # Both sides must give both block numbers the same type, or equal numbers hash apart.
-    return df.withColumn(
-        own, F.pmod(F.xxhash64(df.columns[0]), F.lit(n_own)).cast("int")
-    ).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+    kept = _over_parts(queries, corpus, size, limits, best, fields)
+    return top_per_group(kept, queries.columns[0], [F.desc("score"), F.asc(corpus.columns[0])], k)
+
+
+def _with_lists(queries: DataFrame, pairs: DataFrame, *columns: str) -> tuple[DataFrame, int]:
+    """Queries that have pairs, with the pairs' columns as arrays at the end, and a pair's size."""
+    key = queries.columns[0]
+    lists = pairs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_pairs"))
+    return queries.join(lists, key).select(*queries.columns, *(f"_pairs.{c}" for c in columns)), 16 * len(columns)
+
+
+def blocked_scores(
+    queries: DataFrame, corpus: DataFrame, pairs: DataFrame, scorer: Scorer, size: QuerySize, limits: Limits = Limits()
+) -> DataFrame:
+    """(query key, corpus key, score) of the given pairs of keys; pairs that do not match are left out."""
+    corpus_key = corpus.columns[0]
+    asked, each = _with_lists(queries, pairs, corpus_key)
+    fields, arrow = _fields(queries, corpus, "score", T.DoubleType())
+
+    def find(part: pa.Table, tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
+        blocks = []
+        for block in _blocks(part, limits):
+            lists = block.column(block.num_columns - 1).combine_chunks()
+            wanted = lists.flatten().to_numpy()
+            query = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            order = np.argsort(wanted, kind="stable")
+            blocks.append((block.column(0), scorer(block), wanted[order], query[order]))
+        for rows in tables:
+            for query_ids, score, wanted, query in blocks:
+                ids = rows.column(0).to_numpy()
+                first, last = np.searchsorted(wanted, ids, "left"), np.searchsorted(wanted, ids, "right")
+                hit = np.flatnonzero(last > first)
+                for part_ in _steps(rows.take(pa.array(hit)), len(query_ids), limits):
+                    own, scores = part_.column(0).to_numpy(), rounded(score(part_))
+                    a, b = np.searchsorted(wanted, own, "left"), np.searchsorted(wanted, own, "right")
+                    row = np.repeat(np.arange(len(own)), b - a)
+                    pair = np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
+                    value = scores[row, query[pair]]
+                    some = value > -np.inf
+                    yield pa.table([query_ids.take(pa.array(query[pair][some])), pa.array(own[row][some]), pa.array(value[some])], names=arrow.names).cast(arrow)
+
+    count = pairs.count()
+    return _over_parts(asked, corpus, QuerySize(size.count, size.bytes + each * count), limits, find, fields)
+
+
+def blocked_ranks(
+    queries: DataFrame, corpus: DataFrame, scored: DataFrame, scorer: Scorer, size: QuerySize, limits: Limits = Limits()
+) -> DataFrame:
+    """(query key, corpus key, rank): the exact rank of scored pairs among all corpus rows.
+
+    The scan counts the rows that beat each pair, by score and then by key;
+    only counts leave a task.
+    """
+    query_key, corpus_key = queries.columns[0], corpus.columns[0]
+    asked, each = _with_lists(queries, scored, "score", corpus_key)
+    fields, arrow = _fields(queries, corpus, "_ahead", T.LongType())
+
+    def count(part: pa.Table, tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
+        blocks = []
+        for block in _blocks(part, limits):
+            bars = [block.column(block.num_columns - c).combine_chunks() for c in (2, 1)]
+            values, keys = (x.flatten().to_numpy() for x in bars)
+            blocks.append((block.column(0), scorer(block), bars[0].offsets.to_numpy(), values, keys, np.zeros(len(keys), np.int64)))
+        for rows in tables:
+            for query_ids, score, at, values, keys, ahead in blocks:
+                at0 = at - at[0]
+                for part_ in _steps(rows, len(query_ids), limits):
+                    ids, scores = part_.column(0).to_numpy(), rounded(score(part_))
+                    for q in range(len(query_ids)):
+                        low, high = at0[q], at0[q + 1]
+                        bars, own = values[low:high], scores[:, q]
+                        # Bars are in rising order: a row is ahead of all that lie below its score.
+                        above = np.bincount(np.searchsorted(bars, own, "left"), minlength=high - low + 1)
+                        ahead[low:high] += np.cumsum(above[::-1])[::-1][1:]
+                        for level in np.intersect1d(bars, own):
+                            tied = np.sort(ids[own == level])
+                            same = low + np.flatnonzero(bars == level)
+                            ahead[same] += np.searchsorted(tied, keys[same], "left")
+        for query_ids, _, at, _, keys, ahead in blocks:
+            query = np.repeat(np.arange(len(query_ids)), np.diff(at))
+            yield pa.table([query_ids.take(pa.array(query)), pa.array(keys), pa.array(ahead)], names=arrow.names).cast(arrow)
+
+    n = scored.count()
+    counts = _over_parts(asked, corpus, QuerySize(size.count, size.bytes + each * n), limits, count, fields)
+    return counts.groupBy(query_key, corpus_key).agg((F.sum("_ahead") + 1).alias("rank"))
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:

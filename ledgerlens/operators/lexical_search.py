@@ -64,23 +64,13 @@ def _bm25_scorer(k1: float, b: float):
     return prepare
 
 
-def bm25_topk(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int = 5,
-    query_key: str = "query_id",
-    corpus_key: str = "doc_id",
-    query_text: str = "text",
-    corpus_text: str = "text",
-    k1: float = K1,
-    b: float = B,
-    limits: Limits = Limits(),
-) -> DataFrame:
-    """(query_key, corpus_key, score, rank): the ``k`` best documents per query.
+def prepared_terms(
+    queries: DataFrame, corpus: DataFrame, query_key: str, corpus_key: str, query_text: str, corpus_text: str, limits: Limits
+) -> tuple[DataFrame, DataFrame, QuerySize]:
+    """Queries with their terms, frequencies and lengths; documents as terms; the size of the queries.
 
-    A query counts each of its terms once; documents sharing no term with it
-    are not listed. Term frequencies never leave the task that reads a
-    document, so a term found in most documents costs no shuffle.
+    Term frequencies never leave the task that reads a document, so a term
+    found in most documents costs no shuffle.
     """
     docs = corpus.select(corpus_key, terms(F.col(corpus_text)).alias("_terms"))
     wanted = queries.select(
@@ -113,6 +103,27 @@ def bm25_topk(
         .agg(F.collect_list(F.struct("_term", "_df", "_lengths")).alias("_list"))
         .select(query_key, "_list._term", "_list._df", "_list._lengths")
     )
+    return weighted, docs, size
+
+
+def bm25_topk(
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int = 5,
+    query_key: str = "query_id",
+    corpus_key: str = "doc_id",
+    query_text: str = "text",
+    corpus_text: str = "text",
+    k1: float = K1,
+    b: float = B,
+    limits: Limits = Limits(),
+) -> DataFrame:
+    """(query_key, corpus_key, score, rank): the ``k`` best documents per query.
+
+    A query counts each of its terms once; documents sharing no term with it
+    are not listed.
+    """
+    weighted, docs, size = prepared_terms(queries, corpus, query_key, corpus_key, query_text, corpus_text, limits)
     return blocked_topk(weighted, docs, _bm25_scorer(k1, b), k, size, limits)
 
 

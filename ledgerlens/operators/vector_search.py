@@ -27,12 +27,25 @@ def _cosine(queries: pa.Table):
 
 
 def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """Rows with a vector that has a direction."""
+    """Rows with a vector that has a direction: finite numbers only, not all of them zero."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return df.select(key, vector).where(
-        F.col(vector).isNotNull() & F.exists(vector, lambda x: x != 0)
+        F.col(vector).isNotNull() & finite & F.exists(vector, lambda x: x != 0)
     )
 
 
+def prepared_vectors(
+    queries: DataFrame, corpus: DataFrame, query_key: str, corpus_key: str, vector: str
+) -> tuple[DataFrame, DataFrame, QuerySize]:
+    """Usable queries and corpus rows of one width, the longest query's, and the size of the queries."""
+    q = _usable(queries, query_key, vector)
+    width = q.agg(F.coalesce(F.max(F.size(vector)), F.lit(0))).first()[0]
+    q = q.where(F.size(vector) == width)
+    count = q.count()
+    c = _usable(corpus, corpus_key, vector).where(F.size(vector) == width)
+    return q, c, QuerySize(count, count * width * 8)
+
+
 def vector_topk(
     queries: DataFrame,
     corpus: DataFrame,
@@ -46,10 +59,9 @@ def vector_topk(
 
     Similarities are rounded to six places and ties go to the smaller key.
     Only keys and vectors enter the ranking; join the text to the winners.
-    Rows without a vector, or with a zero vector, have no similarity and are
-    left out.
+    Rows without a vector, with a zero vector, or with missing, infinite or
+    undefined numbers in it have no similarity and are left out, and so are
+    vectors of another length than the longest query.
     """
-    q = _usable(queries, query_key, vector)
-    count, width = q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vector)), F.lit(0))).first()
-    size = QuerySize(count, count * width * 8)
-    return blocked_topk(q, _usable(corpus, corpus_key, vector), _cosine, k, size, limits)
+    q, c, size = prepared_vectors(queries, corpus, query_key, corpus_key, vector)
+    return blocked_topk(q, c, _cosine, k, size, limits)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import routing, text
 from ledgerlens.functions.calendar import months_of_quarter
 from ledgerlens.operators import assembly, chunking, fusion, keyword_search, kpi, ranking
+from ledgerlens.operators.hybrid import hybrid_topk
 from ledgerlens.operators.lexical_search import bm25_topk
 from ledgerlens.operators.vector_search import vector_topk
 from ledgerlens.plans import answer, ingest, standins
@@ -369,10 +370,9 @@ def v4_bm25_topk(spark, d):
 
 @query
 def v5_hybrid_topk(spark, d):
-    items = standins.embedded_items(spark, d)
-    dense = vector_topk(items, standins.corpus_vectors(spark, d), k=20)
-    lexical = bm25_topk(items, standins.domain_corpus(spark, d), k=20)
-    return fusion.reciprocal_rank_fusion([dense, lexical])
+    return hybrid_topk(
+        standins.embedded_items(spark, d), standins.corpus_vectors(spark, d), standins.domain_corpus(spark, d)
+    )
 
 
 def _asked(spark, d):

@@ -223,14 +223,13 @@ FROM final
 """
 
 
-def ranked(scores: str, group: str, order: str, k: int) -> str:
-    return (
-        f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS rank "
-        f"FROM ({scores})) WHERE rank <= {k}"
-    )
+def ranked(scores: str, group: str, order: str, k: int | None) -> str:
+    """The first ``k`` rows of each group, or all of them, with their ranks."""
+    every = f"SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS rank FROM ({scores})"
+    return f"SELECT * FROM ({every}) WHERE rank <= {k}" if k else every
 
 
-def bm25(query: str, key: str, source: str, k: int) -> str:
+def bm25(query: str, key: str, source: str, k: int | None = None) -> str:
     """CTEs up to ``lexical``: BM25 with k1 = 1.2 and b = 0.75."""
     return f"""doc_terms AS (SELECT doc_id, {terms('text')} AS w FROM {source}),
 totals AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM doc_terms),
@@ -246,7 +245,7 @@ lexical AS ({ranked(f'''
   GROUP BY {key}, doc_id''', key, 'score DESC, doc_id', k)})"""
 
 
-def dense(query: str, key: str, source: str, doc: str, k: int, name: str = "dense") -> str:
+def dense(query: str, key: str, source: str, doc: str, k: int | None = None, name: str = "dense") -> str:
     return f"""{name} AS ({ranked(f'''
   SELECT q.{key}, c.{doc}, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score
   FROM {query} q, {source} c WHERE q.embedding IS NOT NULL''', key, f'score DESC, {doc}', k)})"""
@@ -544,8 +543,8 @@ ORDER BY doc_id, chunk_ord LIMIT 3""",
         DOMAIN,
         EMBEDDED,
         ITEMS,
-        bm25("items", "query_id", "domain", 20),
-        dense("items", "query_id", "embedded", "doc_id", 20),
+        bm25("items", "query_id", "domain"),
+        dense("items", "query_id", "embedded", "doc_id"),
     )
     + ranked(
         """SELECT query_id, doc_id,

@@ -6,15 +6,14 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.blocked_topk import Limits
 from ledgerlens.operators.fusion import concat_retrieval, reciprocal_rank_fusion
+from ledgerlens.operators.hybrid import depth_for, hybrid_topk
 from ledgerlens.operators.lexical_search import bm25_topk
 from ledgerlens.operators.vector_search import vector_topk
 from ledgerlens.sources.tables import table
 
-# The second plan: nothing is broadcast, and blocks are tiny.
-BLOCKS = Limits(
-    broadcast_bytes=0, queries_per_block=70, rows_per_block=60, elements_per_block=9000, cells_per_step=800
-)
-# The first plan with several query blocks.
+# Queries in several broadcast parts.
+PARTS = Limits(broadcast_bytes=60_000, queries_per_block=7, cells_per_step=800)
+# One part with several query blocks.
 STEPS = Limits(queries_per_block=9, cells_per_step=50)
 
 
@@ -22,7 +21,7 @@ def listed(df, query="query_id", doc="doc_id"):
     return sorted((r[query], r["rank"], r[doc], r["score"]) for r in df.collect())
 
 
-@pytest.mark.parametrize("limits", [Limits(), STEPS, BLOCKS])
+@pytest.mark.parametrize("limits", [Limits(), STEPS, PARTS])
 def test_vectors_against_numpy(spark, data, limits):
     vectors = table(spark, data, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     queries = vectors.withColumnRenamed("doc_id", "query_id")
@@ -40,14 +39,14 @@ def test_vectors_against_numpy(spark, data, limits):
     assert np.allclose([g[3] for g in got], [e[3] for e in sorted(expected)], atol=2e-6)
 
 
-@pytest.mark.parametrize("limits", [Limits(), STEPS, BLOCKS])
+@pytest.mark.parametrize("limits", [Limits(), STEPS, PARTS])
 def test_every_vector_is_its_own_nearest(spark, data, limits):
     vectors = table(spark, data, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     out = vector_topk(vectors.withColumnRenamed("doc_id", "query_id"), vectors, 1, limits=limits)
     assert out.where("query_id <> doc_id OR score <> 1.0").count() == 0
 
 
-@pytest.mark.parametrize("limits", [Limits(), STEPS, BLOCKS])
+@pytest.mark.parametrize("limits", [Limits(), STEPS, PARTS])
 def test_copies_go_by_key_and_unusable_vectors_are_left_out(spark, limits):
     copies = [(i, [1.0, 0.0]) for i in range(400)]
     others = [(1000 + i, [10.0, float(i)]) for i in range(1, 200)]
@@ -60,7 +59,45 @@ def test_copies_go_by_key_and_unusable_vectors_are_left_out(spark, limits):
     assert [(q, d) for q, _, d, _ in got] == [(1, 0), (1, 1), (1, 2), (2, 1199), (2, 1198), (2, 1197)]
 
 
-@pytest.mark.parametrize("limits", [Limits(), STEPS, BLOCKS])
+@pytest.mark.parametrize("limits", [Limits(), STEPS, PARTS])
+def test_undefined_numbers_and_other_widths_cost_no_hit(spark, limits):
+    good = [(i, [1.0, float(i)]) for i in range(1, 9)]
+    odd = [(100 + i, [float("nan"), 1.0]) for i in range(7)] + [(200 + i, [None, 1.0]) for i in range(7)]
+    odd += [(300, [float("inf"), 1.0]), (301, [-float("inf"), 0.0]), (302, [1.0]), (303, [1.0, 2.0, 3.0]), (304, [])]
+    corpus = spark.createDataFrame(good + odd, "doc_id long, embedding array<double>").coalesce(1)
+    asked = [(1, [0.0, 1.0]), (2, [1.0]), (3, [float("nan"), 0.0])]
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    got = listed(vector_topk(queries, corpus, 5, limits=limits))
+    assert [(q, d) for q, _, d, _ in got] == [(1, 8), (1, 7), (1, 6), (1, 5), (1, 4)]
+
+
+def test_fusion_depth():
+    for k in (1, 5, 100, 500):
+        d = depth_for(k)
+        assert round(2 / (61 + d), 6) < round(1 / (60 + k), 6) and d <= 2 * k + 60 + k
+    assert depth_for(5) == 70
+
+
+@pytest.mark.parametrize("limits", [Limits(), Limits(broadcast_bytes=2000, queries_per_block=2, cells_per_step=97)])
+def test_hybrid_ranks_full_lists(spark, limits):
+    """Documents far down in both lists, ties everywhere, rows that only one list holds."""
+    rng = np.random.default_rng(3)
+    n = 400
+    words = ["alpha", "beta", "gamma", "delta"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 12))) for _ in range(n)]
+    x = rng.integers(-2, 3, (n, 3)).astype(float)
+    corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    vectors = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, n, 2)], "doc_id long, embedding array<double>")
+    asked = [(q, " ".join(rng.choice(words, 2)), rng.integers(-2, 3, 3).astype(float).tolist()) for q in range(6)]
+    queries = spark.createDataFrame(asked, "query_id long, text string, embedding array<double>")
+    found = [tuple(r) for r in hybrid_topk(queries, vectors, corpus, 5, limits=limits).orderBy("query_id", "rank").collect()]
+    dense = vector_topk(queries, vectors, n).select("query_id", "doc_id", "rank")
+    lexical = bm25_topk(queries, corpus, n).select("query_id", "doc_id", "rank")
+    whole = reciprocal_rank_fusion([dense, lexical], 5).orderBy("query_id", "rank")
+    assert found == [tuple(r) for r in whole.collect()]
+
+
+@pytest.mark.parametrize("limits", [Limits(), STEPS, PARTS])
 def test_bm25_against_brute_force(spark, limits):
     docs = {
         1: "the cat sat on the mat",
@@ -93,10 +130,10 @@ def test_bm25_against_brute_force(spark, limits):
     assert [g[:3] for g in got] == sorted(expected)
 
 
-def test_both_bm25_plans_agree_on_the_documents(spark, data):
+def test_bm25_in_parts_agrees_on_the_documents(spark, data):
     docs, items = table(spark, data, "documents"), table(spark, data, "benchmark")
     a = listed(bm25_topk(items, docs, query_key="item_id"), "item_id")
-    b = listed(bm25_topk(items, docs, query_key="item_id", limits=BLOCKS), "item_id")
+    b = listed(bm25_topk(items, docs, query_key="item_id", limits=PARTS), "item_id")
     assert a == b and len(a) == 200
 
 
