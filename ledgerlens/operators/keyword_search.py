@@ -81,14 +81,19 @@ def first_hits_per_topic(
     rules: tuple[TopicRule, ...] = TOPIC_RULES,
     limit: int = HITS,
 ) -> DataFrame:
-    """The first matching chunks of every topic: at most ``limit`` rows per rule, in one scan."""
+    """The first matching chunks of every topic: at most ``limit`` rows per rule.
+
+    The ranking sees keys and topics only; the few winners then fetch their
+    texts by a broadcast of as many keys as there are rules times ``limit``.
+    """
     # The folded text is a column of its own so that all rules share it.
-    hits = (
+    keys = (
         chunks.withColumn("_low", F.lower(text))
-        .withColumn("topic", F.explode(text_topics(F.col("_low"), rules)))
-        .drop("_low")
+        .select(*order, text_topics(F.col("_low"), rules).alias("_topics"))
+        .select(*order, F.explode("_topics").alias("topic"))
     )
-    return top_per_group(hits, "topic", [F.asc(c) for c in order], limit).drop("rank")
+    first = top_per_group(keys, "topic", [F.asc(c) for c in order], limit).drop("rank")
+    return chunks.join(F.broadcast(first), order)
 
 
 def keyword_search(

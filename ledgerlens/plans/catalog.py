@@ -1,4 +1,4 @@
-"""Every operator as a named query over the driver's tables, whole tables each."""
+"""Every operator as a named query over the driver's tables."""
 
 from __future__ import annotations
 
@@ -15,7 +15,8 @@ from ledgerlens.operators.lexical_search import bm25_topk
 from ledgerlens.operators.vector_search import vector_topk
 from ledgerlens.plans import answer, ingest, standins
 from ledgerlens.schemas import KPI_TABLES
-from ledgerlens.session import materialise, new_path, spread, tune
+from ledgerlens.plans.standins import spread
+from ledgerlens.session import materialise, new_path, tune
 from ledgerlens.sources import chunk_store, files, pages
 from ledgerlens.sources.tables import table
 from ledgerlens.streaming import sync
@@ -37,12 +38,12 @@ def query(run: Query, name: str | None = None) -> Query:
 
 @query
 def s1_discover_files(spark, d):
-    return files.discover_files(spark, d, (".parquet",))
+    return files.discover_files(spark, d, (".parquet",)).select("file_name", "file_type")
 
 
 @query
 def s2_scan_documents(spark, d):
-    return pages.assemble_documents(table(spark, d, "conversations"), "conv_id", "turn", "text")
+    return pages.document_pages(table(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
 @query
@@ -55,7 +56,10 @@ def s2_chunk_pages(spark, d):
 @query
 def s3_load_csv(spark, d):
     source, target = new_path(spark, "csv"), new_path(spark, "ctr_reporting_kpi")
-    standins.ctr_reporting(spark, d).write.option("header", True).csv(source)
+    # The header is in another order than the declared columns, and has one more.
+    rows = standins.ctr_reporting(spark, d)
+    turned = rows.select(*reversed(rows.columns), F.lit("n/a").alias("remark"))
+    turned.write.option("header", True).csv(source)
     ingest.ingest_kpi_csv(spark, source, "ctr_reporting_kpi", target)
     return spark.read.schema(KPI_TABLES["ctr_reporting_kpi"]).parquet(target)
 
@@ -72,8 +76,11 @@ _CHUNK = ["source_file", "file_type", "chunk_ord", "chunk_text", "n_tokens"]
 
 @query
 def s5_write_chunks(spark, d):
+    """With the number of chunks that share an id: one each."""
     target = new_path(spark, "document_chunks")
-    return ingest.ingest_documents(spark, standins.corpus(spark, d), target, "append").select(*_CHUNK)
+    chunks = ingest.ingest_documents(spark, standins.corpus(spark, d), target, "append")
+    shared = chunks.groupBy("id").agg(F.count(F.lit(1)).alias("id_count"))
+    return chunks.join(shared, "id").select(*_CHUNK, "id_count")
 
 
 @query
@@ -409,7 +416,7 @@ def v7_order_limit(spark, d):
 
 @query
 def v8_row_cap(spark, d):
-    ctr = standins.ctr_reporting(spark, d, months=months_of_quarter(QUARTER))
+    ctr = standins.ctr_reporting(spark, d)
     order = [F.desc("ctrs_unreported"), F.asc("bank_name"), F.asc("branch"), F.asc("month")]
     return ranking.row_cap(ctr, order)
 
@@ -487,7 +494,7 @@ def text_strip_sql_fence(spark, d):
 def t1_sync_chunks(spark, d):
     target, checkpoint = new_path(spark, "chunks"), new_path(spark, "sync")
     schema = table(spark, d, "documents").schema
-    sync.sync_chunks(spark, d, schema, target, checkpoint, files="documents.parquet")
+    sync.sync_chunks(spark, f"{d}/documents.parquet", schema, target, checkpoint)
     chunks = spark.read.parquet(target)
     return chunks.select("doc_id", "source", "lang", "chunk_ord", "chunk_text")
 

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.calendar import in_months, month_label, month_number, quarter_of_month
-from ledgerlens.session import materialise, spread
 from ledgerlens.sources.tables import table
 
 # Stand-in limits, chosen so that about a tenth of the rows passes.
@@ -20,6 +19,16 @@ SCREENING_VALUE = 113
 TRAINING_VALUE = 80
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The driver's tables are single small files, each read by one task; this deals their rows to all cores.
+
+    A matter of these inputs only: the operators never do it, as a table of
+    many files has many tasks. ``keys`` are near-unique.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > 1 else df.repartition(cores, *keys)
+
+
 def branches(
     spark: SparkSession, sf_dir: str, bank_name: str | None = None, branch: str | None = None
 ) -> DataFrame:
@@ -219,13 +228,8 @@ def training_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monthly_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The four monthly tables. Both line tables come from one pass over the lines."""
-    lines = materialise(
-        _line_kpis(
-            spark, sf_dir, _STR_COLUMNS + _CTR_COLUMNS, _STR_MEASURES + _CTR_MEASURES, None, None, None
-        ),
-        "line_kpis",
-    )
+    """The four monthly tables. Both line tables select from one pass over the lines."""
+    lines = line_kpis(spark, sf_dir)
     keys = ["bank_name", "branch", "month"]
     return {
         "str_filing_kpi": lines.select(*keys, *_STR_MEASURES),
@@ -235,6 +239,13 @@ def monthly_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def line_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of both line tables."""
+    return _line_kpis(
+        spark, sf_dir, _STR_COLUMNS + _CTR_COLUMNS, _STR_MEASURES + _CTR_MEASURES, None, None, None
+    )
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as (doc_id, source_file, file_type, text)."""
     documents = table(spark, sf_dir, "documents").select(

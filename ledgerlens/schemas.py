@@ -10,7 +10,7 @@ def _table(*columns: tuple[str, T.DataType]) -> T.StructType:
 
 
 CHUNKS = _table(
-    ("id", _L),
+    ("id", _S),
     ("source_file", _S),
     ("file_type", _S),
     ("chunk_ord", _L),

@@ -61,9 +61,29 @@ def shared_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+# Paths handed out and not yet dropped, per session; their contents are intermediate.
+_MADE: dict[int, list[str]] = {}
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no earlier run has used."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(id(spark), []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove what :func:`new_path` handed out in this session; the number of folders that were there.
+
+    Frames that were returned may still read them: call it when results are
+    stored, at the end of a run.
+    """
+    files, removed = spark._jvm.org.apache.hadoop.fs, 0
+    for path in _MADE.pop(id(spark), []):
+        place = files.Path(path)
+        store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        removed += bool(store.exists(place) and store.delete(place, True))
+    return removed
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -75,18 +95,3 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition only when the scan gives fewer tasks than there are cores.
-
-    Text work is CPU-bound, so one small file read by one task would leave the
-    other cores idle. At scale the scan already has far more splits than
-    cores and this adds no shuffle. ``keys`` must be near-unique.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)

@@ -9,8 +9,14 @@ from ledgerlens.schemas import CHUNKS
 
 
 def with_chunk_id(chunks: DataFrame, *keys: str) -> DataFrame:
-    """Add a deterministic ``id`` so that loading the same documents twice gives the same ids."""
-    return chunks.withColumn("id", F.xxhash64(*keys, "chunk_ord"))
+    """Add a deterministic ``id`` so that loading the same documents twice gives the same ids.
+
+    It is the key of an index, so it has 128 bits: a hundred billion chunks
+    would share some 64-bit numbers. Lengths keep neighbouring keys apart.
+    """
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in (*keys, "chunk_ord")]
+    sized = [x for p in parts for x in (F.char_length(p).cast("string"), F.lit(":"), p)]
+    return chunks.withColumn("id", F.left(F.sha2(F.concat(*sized), 256), F.lit(32)))
 
 
 def write_chunks(chunks: DataFrame, path: str, mode: str = "append") -> None:

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import functools
+import operator
+import uuid
+from dataclasses import dataclass
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -36,28 +42,67 @@ def discover_files(
     return files.withColumn("file_type", kind).where(F.col("file_type").isNotNull())
 
 
+class BadHeader(ValueError):
+    """A declared column is not in the file's header."""
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | None) -> DataFrame:
-    """A header CSV; without a declared schema every column is text."""
-    reader = spark.read.option("header", True)
-    return (reader.schema(schema) if schema else reader).csv(path)
+    """A header CSV, columns by name; without a declared schema every column is text.
+
+    Fields are read as text and converted, so a header in another order, or
+    with more columns, gives the right values; a value that does not convert
+    becomes NULL. A declared column that the header lacks is an error.
+    """
+    rows = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    if schema is None:
+        return rows
+    missing = [f.name for f in schema if f.name not in rows.columns]
+    if missing:
+        raise BadHeader(f"{path} lacks {', '.join(missing)}")
+    return rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema])
+
+
+@dataclass(frozen=True)
+class Loaded:
+    """What became of a CSV file: rows, values that did not convert, or why it failed."""
+
+    rows: int = 0
+    bad_values: int = 0
+    error: str | None = None
 
 
-def load_csv(
-    spark: SparkSession, path: str, schema: StructType | None, target: str
-) -> tuple[str | None, int]:
-    """Load a header CSV as a Parquet table, replacing what was there.
+def load_csv(spark: SparkSession, path: str, schema: StructType | None, target: str) -> Loaded:
+    """Load a header CSV as a Parquet table, replacing what was there once it is read to its end.
 
-    Rows are counted by the write itself, so the file is read once. An
-    unreadable path gives ``(None, 0)`` so that a caller can go on with the
-    next file.
+    Rows, and values that did not convert, are counted by the write itself, so
+    the file is read once. It goes to a new folder first: a file that cannot
+    be read, at the start or in the middle, leaves the old table as it is.
     """
-    seen = Observation()
+    seen, draft = Observation(), f"{target}.{uuid.uuid4().hex}"
+    files = spark._jvm.org.apache.hadoop.fs
+    store = files.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
     try:
-        rows = read_csv(spark, path, schema).observe(seen, F.count(F.lit(1)).alias("n"))
-        rows.write.mode("overwrite").parquet(target)
-    except AnalysisException:
-        return None, 0
-    return target, seen.get["n"]
+        rows, bad = read_csv(spark, path, schema), F.lit(0)
+        if schema is not None:
+            # A value is lost if there is text but no value of the declared type.
+            fields = read_csv(spark, path, None)
+            lost = [F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull() for f in schema]
+            bad = F.coalesce(F.sum(functools.reduce(operator.add, [x.cast("int") for x in lost])), F.lit(0))
+            rows = fields.observe(seen, F.count(F.lit(1)).alias("n"), bad.alias("bad")).select(
+                *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema]
+            )
+        else:
+            rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), bad.alias("bad"))
+        rows.write.parquet(draft)
+    # Reading a header fails with the JVM's own error, reading rows with Spark's.
+    except (PySparkException, Py4JJavaError, BadHeader) as problem:
+        store.delete(files.Path(draft), True)
+        return Loaded(error=str(problem).splitlines()[0])
+    store.delete(files.Path(target), True)
+    store.mkdirs(files.Path(target).getParent())
+    if not store.rename(files.Path(draft), files.Path(target)):
+        return Loaded(error=f"{target} could not be replaced")
+    return Loaded(seen.get["n"], seen.get["bad"])
 
 
 def with_table_names(files: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Documents that arrive as pages: assembly, and chunking without assembly."""
+"""Documents that arrive as pages: places in the document, and chunking, without assembly."""
 
 from __future__ import annotations
 
@@ -8,30 +8,35 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.text import WS, words
 
 
-def assemble_documents(
-    pages: DataFrame, key: str, page_no: str, text: str, pages_per_part: int = 4096
+def document_pages(
+    pages: DataFrame, key: str, page_no: str, text: str, pages_per_segment: int = 1024
 ) -> DataFrame:
-    """(key, part, text): the page texts of a document in page order, nothing in between.
-
-    A document of up to ``pages_per_part`` pages is one row, part 0. A longer
-    one comes in several, which joined in order are its text: no task ever
-    holds more pages than that, even if one document has most of them all.
-    Parts without text are dropped. ``(key, page_no)`` is unique. To cut
-    long documents into chunks, use :func:`chunk_pages`, which sees no parts.
+    """(key, page_no, char_start, text): a document's pages with the place of each in its text.
+
+    The text of a document is that of its pages in order, nothing in between;
+    ``char_start`` counts the characters before a page, so the rows, in order,
+    are the document, and any stretch of it can be cut without building it.
+    The shape is the same for one page or a billion: starts are sums inside
+    segments of pages and sums over segments, never a document in one place.
+    Pages without text are left out. ``(key, page_no)`` is unique.
     """
-    in_order = F.array_sort(F.collect_list(F.struct(page_no, "_text")))
-    joined = F.array_join(F.transform(in_order, lambda p: p.getField("_text")), "")
-    return (
-        pages.select(
-            key,
-            page_no,
-            F.coalesce(text, F.lit("")).alias("_text"),
-            F.floor(F.col(page_no) / pages_per_part).alias("part"),
-        )
-        .where(F.col("_text") != "")
-        .groupBy(key, "part")
-        .agg(joined.alias(text))
+    rows = pages.select(
+        key,
+        page_no,
+        F.coalesce(text, F.lit("")).alias(text),
+        F.floor(F.col(page_no) / pages_per_segment).alias("_segment"),
+    ).where(F.col(text) != "")
+    size = F.char_length(text).cast("bigint")
+    along = Window.partitionBy(key).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    segments = (
+        rows.groupBy(key, "_segment")
+        .agg(F.sum(size).alias("_size"))
+        .withColumn("_offset", F.coalesce(F.sum("_size").over(along), F.lit(0)))
+        .select(key, "_segment", "_offset")
     )
+    here = Window.partitionBy(key, "_segment").orderBy(page_no).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_offset") + F.coalesce(F.sum(size).over(here), F.lit(0))
+    return rows.join(segments, [key, "_segment"]).select(key, page_no, start.alias("char_start"), text)
 
 
 def chunk_pages(
@@ -44,7 +49,7 @@ def chunk_pages(
 ) -> DataFrame:
     """Word windows over a document's joined pages, without building the document.
 
-    Gives the rows ``chunk_fixed`` gives on :func:`assemble_documents`. Every
+    Gives the rows ``chunk_fixed`` gives on the joined text. Every
     page learns the number of words before it from a running sum over
     segments of pages, and sends each window its own share of the words. The
     only work done per document is a sum over its segments, so one document

@@ -13,12 +13,14 @@ from pyspark.sql.types import StructType
 
 from ledgerlens.functions.text import clean_text
 from ledgerlens.operators.chunking import MAX_TOKENS, chunk_fixed
-from ledgerlens.session import spread
 
 
 def _source(
     spark: SparkSession, directory: str, schema: StructType, files: str, per_batch: int | None
 ) -> DataFrame:
+    # As a pattern that only it matches: the table may then be a folder or a single file.
+    place = directory.rstrip("/")
+    directory = f"{place[:-1]}[{place[-1]}]"
     reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
     if per_batch:
         reader = reader.option("maxFilesPerTrigger", per_batch)
@@ -43,7 +45,7 @@ def sync_chunks(
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        chunks = chunk_fixed(spread(batch, key), max_tokens=max_tokens).withColumn(
+        chunks = chunk_fixed(batch, max_tokens=max_tokens).withColumn(
             "chunk_text", clean_text(F.col("chunk_text"))
         )
         chunks.where(F.col("chunk_text") != "").write.mode("overwrite").parquet(
@@ -78,20 +80,25 @@ def upsert_chunks(
     :func:`current_chunks` keeps the newest version of each document. A batch
     that is run again after a failure replaces its own folders only. So a
     source that holds most documents costs no more than its changed ones.
+
+    Of several rows of one document in a batch the highest version counts; of
+    one version, a deletion before a text, then the text with the larger hash.
+    The choice is made once, on narrow columns, and written; chunks are made
+    of the rows it names.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        others = [c for c in batch.columns if c not in (key, "version")]
-        newest = (
-            batch.groupBy(key)
-            .agg(F.max_by(F.struct("version", *others), "version").alias("_row"))
-            .select(key, "_row.*")
-        )
-        newest.select(key, "version", "deleted").write.mode("overwrite").parquet(
-            f"{target}/versions/batch_id={batch_id}"
+        chosen = F.struct("version", "deleted", F.xxhash64("text").alias("text_hash"))
+        newest = batch.groupBy(key).agg(F.max(chosen).alias("_row")).select(key, "_row.*")
+        versions = f"{target}/versions/batch_id={batch_id}"
+        newest.write.mode("overwrite").parquet(versions)
+        live = spark.read.schema(newest.schema).parquet(versions).where(~F.col("deleted"))
+        rows = batch.withColumn("text_hash", F.xxhash64("text")).join(
+            live.select(key, "version", "text_hash"), [key, "version", "text_hash"], "left_semi"
         )
-        live = newest.where(~F.col("deleted")).drop("deleted")
-        chunk_fixed(live, max_tokens=max_tokens).write.mode("overwrite").parquet(
+        # Rows that are repeated whole are one.
+        rows = rows.where(~F.col("deleted")).drop("deleted", "text_hash").dropDuplicates([key])
+        chunk_fixed(rows, max_tokens=max_tokens).write.mode("overwrite").parquet(
             f"{target}/chunks/batch_id={batch_id}"
         )
 
@@ -105,19 +112,37 @@ def upsert_chunks(
     query.awaitTermination()
 
 
-def current_chunks(spark: SparkSession, target: str, key: str = "doc_id") -> DataFrame:
-    """Chunks of the newest version of each document that is not deleted."""
-    newest = (
+def _newest(spark: SparkSession, target: str, key: str) -> DataFrame:
+    return (
         spark.read.parquet(f"{target}/versions")
         .groupBy(key)
         .agg(F.max(F.struct("version", "batch_id", "deleted")).alias("_v"))
-        .where(~F.col("_v.deleted"))
-        .select(key, "_v.version", "_v.batch_id")
+        .select(key, "_v.*")
     )
+
+
+def current_chunks(spark: SparkSession, target: str, key: str = "doc_id") -> DataFrame:
+    """Chunks of the newest version of each document that is not deleted."""
+    newest = _newest(spark, target, key).where(~F.col("deleted")).select(key, "version", "batch_id")
     chunks = spark.read.parquet(f"{target}/chunks")
     return chunks.join(newest, [key, "version", "batch_id"], "left_semi").drop("batch_id")
 
 
+def compact(spark: SparkSession, target: str, compacted: str, key: str = "doc_id") -> None:
+    """Write only what is current to a new folder, in the same layout.
+
+    Deletions stay as versions, so that an older row that comes late is still
+    known to be older. Point readers and the stream to the new folder, then
+    remove the old one; batches go on under their own numbers.
+    """
+    newest = _newest(spark, target, key)
+    chunks = spark.read.parquet(f"{target}/chunks").join(
+        newest.where(~F.col("deleted")).select(key, "version", "batch_id"), [key, "version", "batch_id"], "left_semi"
+    )
+    newest.write.partitionBy("batch_id").parquet(f"{compacted}/versions")
+    chunks.write.partitionBy("batch_id").parquet(f"{compacted}/chunks")
+
+
 def changed_documents(
     before: DataFrame, after: DataFrame, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+# The given tables.
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
+    "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
+
 # White space as Python sees it, as RE2 ranges.
 WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -260,20 +266,47 @@ ITEMS = (
 )
 
 
-def mentions(x: str, listed: str) -> str:
-    return "(" + " OR ".join(f"contains(lower({x}), '{t}')" for t in listed.split("|")) + ")"
+def mentions(x: str, *listed: str) -> str:
+    return "(" + " OR ".join(f"contains(lower({x}), '{t}')" for t in listed) + ")"
 
 
-ANALYTICAL = "count|total|average|rate|most|least|highest|lowest|which branch|how many|compare"
+# The words of the router.
+ANALYTICAL = (
+    "count",
+    "total",
+    "average",
+    "rate",
+    "most",
+    "least",
+    "highest",
+    "lowest",
+    "which branch",
+    "how many",
+    "compare",
+)
 DOCUMENT = (
-    "regulation|policy|guideline|requirement|what does|explain|how to|what are|"
-    "compliance|rule|law|standard|aml|cft"
+    "regulation",
+    "policy",
+    "guideline",
+    "requirement",
+    "what does",
+    "explain",
+    "how to",
+    "what are",
+    "compliance",
+    "rule",
+    "law",
+    "standard",
+    "aml",
+    "cft",
 )
-GATE = "ctr|str|cash transaction|suspicious transaction"
+GATE = ("ctr", "str", "cash transaction", "suspicious transaction")
+CTR_TERMS = ("ctr", "cash transaction")
+STR_TERMS = ("str", "suspicious transaction")
 
 
 def route(x: str) -> str:
-    a, b = mentions(x, ANALYTICAL), mentions(x, DOCUMENT)
+    a, b = mentions(x, *ANALYTICAL), mentions(x, *DOCUMENT)
     return (
         f"CASE WHEN {a} AND {b} THEN 'both' WHEN {a} THEN 'sql' WHEN {b} THEN 'docs' "
         "ELSE 'default' END"
@@ -289,18 +322,18 @@ def likes(x: str, required: str, *others: str) -> str:
 
 def topic_pairs(question: str, text: str) -> str:
     """Does a text answer a topic of the question?"""
-    kyc_or_more = f"{mentions(question, GATE)} OR {mentions(question, 'kyc')}"
+    kyc_or_more = f"{mentions(question, *GATE)} OR {mentions(question, 'kyc')}"
     return f"""(
-  ({mentions(question, 'ctr|cash transaction')} AND {likes(text, '%cash transaction report%', '%branch%prepare%', '%submit%bfiu%', '%monthly%ctr%', '%report%ccu%')})
-  OR ({mentions(question, 'str|suspicious transaction')} AND {likes(text, '%suspicious transaction%', '%report%bfiu%', '%submit%sar%')})
+  ({mentions(question, *CTR_TERMS)} AND {likes(text, '%cash transaction report%', '%branch%prepare%', '%submit%bfiu%', '%monthly%ctr%', '%report%ccu%')})
+  OR ({mentions(question, *STR_TERMS)} AND {likes(text, '%suspicious transaction%', '%report%bfiu%', '%submit%sar%')})
   OR ({mentions(question, 'kyc')} AND {likes(text, '%know your customer%')})
   OR ({mentions(question, 'aml')} AND NOT ({kyc_or_more}) AND {likes(text, '%anti money laundering%')})
 )"""
 
 
 ROUTED = f"""routed AS (
-  SELECT conv_id, question, {mentions('question', ANALYTICAL)} AS needs_sql,
-         {mentions('question', DOCUMENT)} AS needs_docs, {mentions('question', GATE)} AS gate,
+  SELECT conv_id, question, {mentions('question', *ANALYTICAL)} AS needs_sql,
+         {mentions('question', *DOCUMENT)} AS needs_docs, {mentions('question', *GATE)} AS gate,
          {route('question')} AS route
   FROM questions
 )"""
@@ -415,7 +448,10 @@ CHUNK_COLUMNS = "source_file, file_type, chunk_ord, chunk_text, n_tokens"
 DOC_KEYS = "doc_id, source_file, file_type"
 
 ORACLES: dict[str, str] = {
-    "s2_scan_documents": with_(JOINED_PAGES) + "SELECT conv_id, CAST(0 AS BIGINT) AS part, text FROM pages_joined WHERE text <> ''",
+    "s1_discover_files": f"SELECT * FROM (VALUES {', '.join(f"('{t}.parquet', 'PARQUET')" for t in TABLES)}) f(file_name, file_type)",
+    "s2_scan_documents": """SELECT conv_id, turn,
+  CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) - length(text) AS BIGINT) AS char_start, text
+FROM conversations WHERE text <> ''""",
     "s2_chunk_pages": with_(JOINED_PAGES, windows("pages_joined", "conv_id", "text", 50))
     + "SELECT conv_id, chunk_ord, chunk_text FROM chunks",
     "s3_load_csv": with_(LINES, CTR) + "SELECT * FROM ctr_kpi",
@@ -423,7 +459,7 @@ ORACLES: dict[str, str] = {
   replace(replace(replace(file_name, '.csv', ''), '-', '_'), ' ', '_') AS table_name
 FROM (SELECT source || ' ' || lang || '-' || doc_id || '.csv' AS file_name FROM documents)""",
     "s5_write_chunks": with_(CORPUS, windows("corpus", DOC_KEYS, "text", 500))
-    + f"SELECT {CHUNK_COLUMNS} FROM chunks",
+    + f"SELECT {CHUNK_COLUMNS}, 1 AS id_count FROM chunks",
     "s6_reset_table": with_(CORPUS, windows("corpus", DOC_KEYS, "text", 100))
     + f"SELECT {CHUNK_COLUMNS} FROM chunks",
     "s7_scan_chunks": with_(CORPUS, DOMAIN, windows("domain", DOC_KEYS, "text", 500))
@@ -561,16 +597,16 @@ UNION ALL SELECT conv_id, doc_id, source_file, rank, 'keyword' FROM keyword_hits
     "v7_order_limit": """SELECT o_orderkey, o_custkey, o_totalprice FROM orders
 ORDER BY o_totalprice DESC, o_orderkey LIMIT 20""",
     "v8_row_cap": with_(LINES, CTR)
-    + f"""SELECT *, least(100, (SELECT count(*) FROM ctr_kpi WHERE {IN_QUARTER})) AS total_rows
+    + """SELECT *, least(100, (SELECT count(*) FROM ctr_kpi)) AS total_rows
 FROM (SELECT *, row_number() OVER (ORDER BY ctrs_unreported DESC, bank_name, branch, "month") AS row_no
-      FROM ctr_kpi WHERE {IN_QUARTER}) WHERE row_no <= 50""",
+      FROM ctr_kpi) WHERE row_no <= 50""",
     "q1_last_question": with_(TURNS, QUESTIONS) + "SELECT * FROM questions",
     "q2_needs_sql": with_(TURNS)
-    + f"SELECT conv_id, turn, {mentions('text', ANALYTICAL)} AS needs_sql FROM turns",
+    + f"SELECT conv_id, turn, {mentions('text', *ANALYTICAL)} AS needs_sql FROM turns",
     "q3_needs_docs": with_(TURNS)
-    + f"SELECT conv_id, turn, {mentions('text', DOCUMENT)} AS needs_docs FROM turns",
+    + f"SELECT conv_id, turn, {mentions('text', *DOCUMENT)} AS needs_docs FROM turns",
     "q4_keyword_gate": with_(TURNS)
-    + f"SELECT conv_id, turn, {mentions('text', GATE)} AS keyword_gate FROM turns",
+    + f"SELECT conv_id, turn, {mentions('text', *GATE)} AS keyword_gate FROM turns",
     "q5_route": with_(TURNS) + f"SELECT {route('text')} AS route, count(*) AS turns FROM turns GROUP BY 1",
     "q6_citation_block": with_(*EVIDENCE, VECTOR_HITS, DOC_BLOCKS) + "SELECT * FROM doc_blocks",
     "q7_result_block": with_(LINES, CTR)
@@ -628,9 +664,9 @@ FROM (SELECT *, row_number() OVER (ORDER BY ctrs_unreported DESC, bank_name, bra
     )
     + f"""SELECT conv_id, route, {NL2} || repeat('=', 70) || concat_ws({NL2},
   CASE WHEN needs_sql THEN '[SQL Query Results]' || chr(10) || CASE
-    WHEN {mentions('question', 'ctr|cash transaction')} THEN (SELECT block FROM ctr_block)
-    WHEN {mentions('question', 'kyc|edd')} THEN (SELECT block FROM edd_block)
-    WHEN {mentions('question', 'str|suspicious transaction')} THEN (SELECT block FROM str_block)
+    WHEN {mentions('question', *CTR_TERMS)} THEN (SELECT block FROM ctr_block)
+    WHEN {mentions('question', 'kyc', 'edd')} THEN (SELECT block FROM edd_block)
+    WHEN {mentions('question', *STR_TERMS)} THEN (SELECT block FROM str_block)
     ELSE (SELECT block FROM ctr_block) END END,
   CASE WHEN needs_docs AND (doc_context IS NOT NULL OR keyword_context IS NOT NULL)
     THEN '[Document Context]' || chr(10) || concat_ws(chr(10), doc_context,

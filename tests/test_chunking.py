@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import text
 from ledgerlens.operators.chunking import SEPARATORS, chunk_fixed, chunk_greedy, rows_to_text
-from ledgerlens.session import spread
-from ledgerlens.sources.pages import assemble_documents, chunk_pages
+from ledgerlens.plans.standins import spread
+from ledgerlens.sources.pages import chunk_pages, document_pages
 from ledgerlens.sources.tables import table
 from tests import brute
 
@@ -81,17 +81,15 @@ def test_chunking_pages_equals_chunking_the_document(spark, size, segment):
     rows = [(d, i, page()) for d in range(25) for i in range(rnd.randint(1, 60))]
     pages = spark.createDataFrame(rows, "doc_id long, page_no long, text string")
     got = chunks_of(chunk_pages(pages, "doc_id", "page_no", "text", size, segment))
-    assembled = chunks_of(
-        chunk_fixed(assemble_documents(pages, "doc_id", "page_no", "text"), max_tokens=size)
-    )
-    parts = {}
-    for r in assemble_documents(pages, "doc_id", "page_no", "text", 3).orderBy("doc_id", "part").collect():
-        parts[r.doc_id] = parts.get(r.doc_id, "") + r.text
+    places = {}
+    for r in document_pages(pages, "doc_id", "page_no", "text", segment).orderBy("doc_id", "page_no").collect():
+        # Whatever the number of pages, every page is a row that begins where the one before ended.
+        assert r.char_start == len(places.get(r.doc_id, ""))
+        places[r.doc_id] = places.get(r.doc_id, "") + r.text
     for d in range(25):
         expected = brute.page_windows([(p, t) for k, p, t in rows if k == d], size)
         assert got.get(d, []) == expected
-        assert assembled.get(d, []) == expected
-        assert parts.get(d, "") == "".join(t or "" for k, _, t in rows if k == d)
+        assert places.get(d, "") == "".join(t or "" for k, _, t in rows if k == d)
 
 
 @pytest.mark.parametrize(
