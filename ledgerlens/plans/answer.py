@@ -2,64 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import routing
 from ledgerlens.functions.text import clean_text, excerpt
-from ledgerlens.operators import assembly, kpi
+from ledgerlens.operators import assembly
 from ledgerlens.operators.keyword_search import first_hits_per_topic, keyword_batch
 from ledgerlens.operators.vector_search import vector_topk
-from ledgerlens.plans import standins
+from ledgerlens.plans.metrics import metric_answers
 from ledgerlens.session import materialise
 
 NEIGHBOURS = 5
-
-# Statements shown above the KPI results, by catalogue key.
-STATEMENTS = {
-    "ctr_unreported": "most unreported CTRs, 1996-Q2",
-    "str_breaches": "most STR SLA breaches",
-    "edd_rate": "EDD completion rate by bank",
-}
-
-
-def kpi_key(question: Column) -> Column:
-    """Which catalogue query answers a question's metric part."""
-    asks = lambda *terms: routing.mentions_any(question, terms)
-    return (
-        F.when(asks("ctr", "cash transaction"), "ctr_unreported")
-        .when(asks("kyc", "edd"), "edd_rate")
-        .when(asks("str", "suspicious transaction"), "str_breaches")
-        .otherwise("ctr_unreported")
-    )
-
-
-def kpi_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(kpi, block): one rendered result per catalogue query."""
-    quarter = "1996-Q2"
-    tables = standins.monthly_tables(spark, sf_dir)
-    results = {
-        "ctr_unreported": (
-            kpi.most_unreported_ctrs(tables["ctr_reporting_kpi"], quarter),
-            [F.desc("total_unreported_ctrs"), F.asc("bank_name"), F.asc("branch")],
-        ),
-        "str_breaches": (
-            kpi.most_str_breaches(tables["str_filing_kpi"], rows=10),
-            [F.desc("total_breaches"), F.asc("bank_name"), F.asc("branch")],
-        ),
-        "edd_rate": (
-            kpi.edd_completion_rate(tables["kyc_edd_kpi"]),
-            [F.asc("bank_name")],
-        ),
-    }
-    blocks = None
-    for key, (result, order) in results.items():
-        one = assembly.result_block(result, order, STATEMENTS[key]).select(
-            F.lit(key).alias("kpi"), "block"
-        )
-        blocks = one if blocks is None else blocks.unionByName(one)
-    return blocks
-
+BROADCAST_BYTES = 64 << 20
 
 def routed(questions: DataFrame) -> DataFrame:
     q = F.col("question")
@@ -77,10 +32,20 @@ def document_hits(
 ) -> DataFrame:
     """Vector hits of the questions that use documents, with text and metadata.
 
-    Texts join the winners only; the ranking sees keys and vectors.
+    The ranking sees keys and vectors. The winners are written first: their
+    size is then known, and while it is small they are broadcast and the texts
+    stay where they are. Beyond that the texts are first cut down to those of
+    winners by the winners' distinct keys, of which there are no more than
+    rows in the corpus, so what is shuffled is what is needed.
     """
     wanting = questions.where(F.col("needs_docs") | ~F.col("needs_sql"))
-    winners = vector_topk(wanting, vectors, k, query_key="conv_id")
+    winners = materialise(vector_topk(wanting, vectors, k, query_key="conv_id"), "winners")
+    keys = winners.select("doc_id").distinct()
+    # A key and its place in a hash table take some 40 bytes, a winner some 80.
+    if 80 * winners.count() <= BROADCAST_BYTES:
+        return corpus.join(F.broadcast(winners), "doc_id")
+    if 40 * keys.count() <= BROADCAST_BYTES:
+        corpus = corpus.join(F.broadcast(keys), "doc_id", "left_semi")
     return winners.join(corpus, "doc_id")
 
 
@@ -96,20 +61,15 @@ def keyword_hits(questions: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def answer_questions(
-    questions: DataFrame, vectors: DataFrame, corpus: DataFrame, blocks: DataFrame
+    questions: DataFrame, vectors: DataFrame, corpus: DataFrame, tables: dict[str, DataFrame]
 ) -> DataFrame:
     """(conv_id, route, context) for questions (conv_id, question, embedding).
 
     ``vectors`` has (doc_id, embedding), ``corpus`` the texts with their
-    metadata, ``blocks`` the rendered KPI results.
+    metadata, ``tables`` the KPI tables by name.
     """
     asked = materialise(routed(questions), "questions")  # four branches read it
-    metrics = (
-        asked.where("needs_sql")
-        .withColumn("kpi", kpi_key(F.col("question")))
-        .join(F.broadcast(blocks), "kpi")  # one row per catalogue query
-        .select("conv_id", "block")
-    )
+    metrics = metric_answers(asked.where("needs_sql"), tables, "conv_id").select("conv_id", "block")
     return assembly.assemble_context(
         asked.select("conv_id", "route", "needs_sql", "needs_docs"),
         "conv_id",

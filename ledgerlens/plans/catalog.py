@@ -13,7 +13,7 @@ from ledgerlens.operators import assembly, chunking, fusion, keyword_search, kpi
 from ledgerlens.operators.hybrid import hybrid_topk
 from ledgerlens.operators.lexical_search import bm25_topk
 from ledgerlens.operators.vector_search import vector_topk
-from ledgerlens.plans import answer, ingest, standins
+from ledgerlens.plans import answer, ingest, metrics, standins
 from ledgerlens.schemas import KPI_TABLES
 from ledgerlens.plans.standins import spread
 from ledgerlens.session import materialise, new_path, tune
@@ -467,10 +467,15 @@ def q8_assemble_context(spark, d):
         standins.embedded_questions(spark, d),
         standins.corpus_vectors(spark, d),
         standins.domain_corpus(spark, d),
-        answer.kpi_blocks(spark, d),
+        standins.kpi_tables(spark, d),
     )
 
 
+@query
+def q8_metric_answers(spark, d):
+    return metrics.metric_answers(standins.metric_turns(spark, d), standins.kpi_tables(spark, d), "turn_id")
+
+
 @query
 def q9_cited_sources(spark, d):
     asked = _asked(spark, d)

@@ -239,6 +239,11 @@ def monthly_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def kpi_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All five KPI tables."""
+    return monthly_tables(spark, sf_dir) | {"training_compliance_kpi": training_compliance(spark, sf_dir)}
+
+
 def line_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The measures of both line tables."""
     return _line_kpis(
@@ -271,6 +276,17 @@ QUESTION_VOCABULARY = (
 )
 
 
+# Words that make turns into metric questions with a bank, a branch or a period.
+METRIC_VOCABULARY = (
+    (" was ", " ctr filed in NATION_15, 1996-Q2? "),
+    (" are ", " suspicious transaction reports of Supplier#000000003 "),
+    (" with ", " kyc at NATION_3 in 1995-07. "),
+    (" for ", " sanctions screening of bank_2 "),
+    (" from ", " staff training below 95% at branch_7 "),
+    (" by ", " count of everything in 1997-02 "),
+)
+
+
 def substitute(col: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
     for old, new in pairs:
         col = F.replace(col, F.lit(old), F.lit(new))
@@ -288,6 +304,13 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def metric_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(turn_id, question): all turns with metric questions put in."""
+    turns = table(spark, sf_dir, "conversations")
+    turn_id = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    return turns.select(turn_id.alias("turn_id"), substitute(F.col("text"), METRIC_VOCABULARY).alias("question"))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, question): the last turn of every conversation."""
     last = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(

@@ -408,6 +408,86 @@ FILING = f"""SELECT bank_name, branch, CAST(sum(ctrs_filed) AS BIGINT) AS ctrs_f
        {rate('sum(ctrs_filed)', 'sum(ctrs_filed) + sum(ctrs_unreported)')} AS filing_rate
 FROM ctr_kpi GROUP BY bank_name, branch"""
 
+METRIC_WORDS = [
+    (" was ", " ctr filed in NATION_15, 1996-Q2? "),
+    (" are ", " suspicious transaction reports of Supplier#000000003 "),
+    (" with ", " kyc at NATION_3 in 1995-07. "),
+    (" for ", " sanctions screening of bank_2 "),
+    (" from ", " staff training below 95% at branch_7 "),
+    (" by ", " count of everything in 1997-02 "),
+]
+# Per KPI table the words that ask for it and three measures.
+METRICS = {
+    "ctr_reporting_kpi": (("ctr", "cash transaction"), ("ctrs_unreported", "ctrs_filed", "txns_above_threshold")),
+    "kyc_edd_kpi": (("kyc", "edd", "due diligence"), ("edd_pending", "edd_completed", "high_risk_customers")),
+    "sanctions_screening_kpi": (("sanction", "screening"), ("sla_breaches", "sanctions_hits_flagged", "transactions_screened")),
+    "training_compliance_kpi": (("training", "trained"), ("staff_untrained", "staff_trained_aml_cft", "staff_total")),
+    "str_filing_kpi": (("str", "suspicious transaction"), ("str_sla_breaches", "str_filed_count", "str_late_or_filed")),
+}
+
+
+def metric_ctes(source: str, key: str) -> list[str]:
+    """CTEs up to ``answers`` (key, table, bank, branch, period, block) for (key, question)."""
+    which = " ".join(f"WHEN {mentions('question', *words)} THEN '{t}'" for t, (words, _) in METRICS.items())
+    month_quarter = "left(\"month\", 4) || '-Q' || ((CAST(\"month\"[6:7] AS INTEGER) + 2) // 3)"
+
+    def part(name: str, cte: str, a: str, b: str, c: str) -> str:
+        return f"SELECT '{name}' AS tab, bank_name, branch, \"month\" AS m, {month_quarter} AS q, {a} AS a, {b} AS b, {c} AS c FROM {cte}"
+
+    heads = " ".join(
+        f"WHEN '{t}' THEN '" + " | ".join(cols) + "' || chr(10) || '" + "-+-".join("-" * len(x) for x in cols) + "'"
+        for t, (_, own) in METRICS.items()
+        for cols in [("bank_name", "branch", *own)]
+    )
+    slot = lambda kind: f"(SELECT min_by(name, pos) FROM found f WHERE f.{key} = s.{key} AND f.kind = '{kind}')"
+    return [
+        "facts AS (" + " UNION ALL ".join([
+            part("ctr_reporting_kpi", "ctr_kpi", "ctrs_unreported", "ctrs_filed", "txns_above_threshold"),
+            part("kyc_edd_kpi", "kyc_kpi", "edd_pending", "edd_completed", "high_risk_customers"),
+            part("sanctions_screening_kpi", "sanctions_kpi", "sla_breaches", "sanctions_hits_flagged", "transactions_screened"),
+            part("str_filing_kpi", "str_kpi", "str_sla_breaches", "str_filed_count", "str_sla_breaches + str_filed_count"),
+            "SELECT 'training_compliance_kpi', bank_name, branch, NULL, \"quarter\", staff_total - trained, trained, staff_total FROM training_kpi",
+        ]) + ")",
+        "names AS (SELECT DISTINCT 'bank' AS kind, bank_name AS name FROM facts UNION SELECT DISTINCT 'branch', branch FROM facts)",
+        f"""found AS (
+  SELECT {key}, kind, name, pos
+  FROM (SELECT {key}, unnest(w) AS word, generate_subscripts(w, 1) AS pos
+        FROM (SELECT {key}, list_filter(string_split_regex(lower(question), '[\\s?.,!;:]+'), lambda x: x <> '') AS w FROM {source}))
+  JOIN names ON lower(name) = word
+)""",
+        f"""asked AS (
+  SELECT {key}, CASE {which} END AS tab, {slot('bank')} AS bank, {slot('branch')} AS branch,
+         nullif(upper(regexp_extract(question, '(?i)\\b([0-9]{{4}}-(?:q[1-4]|[0-9]{{2}}))\\b', 1)), '') AS period
+  FROM {source} s
+)""",
+        """told AS (
+  SELECT *, tab || ', bank ' || coalesce(bank, '*') || ', branch ' || coalesce(branch, '*') || ', period ' || coalesce(period, '*') AS statement
+  FROM asked
+)""",
+        """summed AS (
+  SELECT statement, s.tab, f.bank_name, f.branch, sum(a) AS a, sum(b) AS b, sum(c) AS c
+  FROM (SELECT DISTINCT tab, bank, branch, period, statement FROM told WHERE tab IS NOT NULL) s
+  JOIN facts f ON f.tab = s.tab AND f.bank_name = coalesce(s.bank, f.bank_name)
+    AND f.branch = coalesce(s.branch, f.branch) AND (s.period IS NULL OR s.period = f.m OR s.period = f.q)
+  GROUP BY ALL HAVING s.tab <> 'training_compliance_kpi' OR sum(b) < 0.95 * sum(c)
+)""",
+        f"""blocks AS (
+  SELECT statement, {NL2} || 'Results:' || chr(10) || CASE any_value(tab) {heads} END || chr(10)
+    || string_agg(concat_ws(' | ', bank_name, branch, CAST(a AS VARCHAR), CAST(b AS VARCHAR), CAST(c AS VARCHAR)), chr(10) ORDER BY n) FILTER (WHERE n <= 50)
+    || CASE WHEN count(*) > 50 THEN chr(10) || '(Showing first 50 of ' || count(*) || ' rows)' ELSE '' END
+    || {NL2} || 'Total rows: ' || count(*) AS found
+  FROM (SELECT *, row_number() OVER (PARTITION BY statement ORDER BY a DESC, bank_name, branch) AS n FROM summed)
+  WHERE n <= 100 GROUP BY statement
+)""",
+        f"""answers AS (
+  SELECT {key}, tab AS kpi_table, bank, branch, period,
+         CASE WHEN tab IS NULL THEN 'No results found for this query.'
+              ELSE 'SQL Query Executed:' || chr(10) || statement || coalesce(found, {NL2} || 'No results found for this query.') END AS block
+  FROM told LEFT JOIN blocks USING (statement)
+)""",
+    ]
+
+
 ROW_TEXT = """row_texts AS (
   SELECT bank_name, branch, "month", concat_ws(chr(10), 'Source: str_filing_kpi.csv',
     'bank_name: ' || bank_name, 'branch: ' || branch, 'month: ' || "month",
@@ -632,48 +712,27 @@ FROM (SELECT *, row_number() OVER (ORDER BY ctrs_unreported DESC, bank_name, bra
         STR,
         CTR,
         KYC,
-        "ctr_block AS ("
-        + block(
-            UNREPORTED,
-            {c: c for c in ("bank_name", "branch", "total_unreported_ctrs", "total_filed_ctrs")},
-            "total_unreported_ctrs DESC, bank_name, branch",
-            "most unreported CTRs, 1996-Q2",
-        )
-        + ")",
-        "str_block AS ("
-        + block(
-            breaches(10),
-            {c: c for c in ("bank_name", "branch", "total_breaches")},
-            "total_breaches DESC, bank_name, branch",
-            "most STR SLA breaches",
-        )
-        + ")",
-        "edd_block AS ("
-        + block(
-            EDD,
-            {
-                "bank_name": "bank_name",
-                "edd_completed": "edd_completed",
-                "edd_pending": "edd_pending",
-                "completion_rate": "CAST(completion_rate AS DECIMAL(18,2))",
-            },
-            "bank_name",
-            "EDD completion rate by bank",
-        )
-        + ")",
+        SANCTIONS,
+        TRAINING,
+        "metric_questions AS (SELECT conv_id, question FROM routed WHERE needs_sql)",
+        *metric_ctes("metric_questions", "conv_id"),
     )
     + f"""SELECT conv_id, route, {NL2} || repeat('=', 70) || concat_ws({NL2},
-  CASE WHEN needs_sql THEN '[SQL Query Results]' || chr(10) || CASE
-    WHEN {mentions('question', *CTR_TERMS)} THEN (SELECT block FROM ctr_block)
-    WHEN {mentions('question', 'kyc', 'edd')} THEN (SELECT block FROM edd_block)
-    WHEN {mentions('question', *STR_TERMS)} THEN (SELECT block FROM str_block)
-    ELSE (SELECT block FROM ctr_block) END END,
+  CASE WHEN needs_sql THEN '[SQL Query Results]' || chr(10) || block END,
   CASE WHEN needs_docs AND (doc_context IS NOT NULL OR keyword_context IS NOT NULL)
     THEN '[Document Context]' || chr(10) || concat_ws(chr(10), doc_context,
          chr(10) || '[Additional Keyword Matches]' || chr(10) || keyword_context)
     WHEN NOT needs_docs AND NOT needs_sql AND doc_context IS NOT NULL
     THEN '[Document Context]' || chr(10) || doc_context END) AS context
-FROM routed LEFT JOIN doc_blocks USING (conv_id) LEFT JOIN keyword_blocks USING (conv_id)""",
+FROM routed LEFT JOIN doc_blocks USING (conv_id) LEFT JOIN keyword_blocks USING (conv_id)
+LEFT JOIN answers USING (conv_id)""",
+    "q8_metric_answers": with_(
+        f"""metric_turns AS (
+  SELECT conv_id || '-' || turn AS turn_id, {substituted('text', METRIC_WORDS)} AS question FROM conversations
+)""",
+        LINES, STR, CTR, KYC, SANCTIONS, TRAINING, *metric_ctes("metric_turns", "turn_id"),
+    )
+    + "SELECT * FROM answers",
     "q9_cited_sources": with_(*EVIDENCE, VECTOR_HITS)
     + """SELECT conv_id, route,
   coalesce(files, 'I don''t have that information in my Knowledge Base.') AS sources
