@@ -6,9 +6,6 @@ from ledgerlens.plans.catalog import QUERIES
 from oracle.check import connect, differences
 from oracle.sql import ORACLES
 
-# A listing of files; tested in test_sources.
-WITHOUT_SQL = {"s1_discover_files"}
-
 
 @pytest.fixture(scope="module")
 def con(data):
@@ -16,8 +13,7 @@ def con(data):
 
 
 def test_sql_covers_the_queries():
-    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
