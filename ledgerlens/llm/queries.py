@@ -13,7 +13,7 @@ from ledgerlens.llm.line_dedup import frequent_line_dedup
 from ledgerlens.llm.packing import pack_documents
 from ledgerlens.llm.quality import BASE, fit_quality, judge_quality
 from ledgerlens.llm.reshard import even_capacities, reshard
-from ledgerlens.llm.segmentation import decode_pieces, n_best_pieces
+from ledgerlens.llm.segmentation import n_best_pieces
 from ledgerlens.llm.simhash import simhash_components
 from ledgerlens.llm.suffix_dedup import suffix_dedup
 from ledgerlens.llm.url_filter import Rule, canonical_url, judge_urls
@@ -100,7 +100,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four best segmentations of every text, and what they decode to."""
     model = tokenizer_path("piece_bpe_32k.model")
-    pieces = decode_pieces(n_best_pieces(table(spark, sf_dir, "documents"), model, n=4), model)
+    pieces = n_best_pieces(table(spark, sf_dir, "documents"), model, n=4, decoded=True)
     return pieces.select(
         "doc_id", "rank", "score", (F.octet_length("ids") / 4).cast("bigint").alias("n_pieces"),
         F.crc32("ids").alias("ids_crc32"), F.crc32("text").alias("text_crc32"),

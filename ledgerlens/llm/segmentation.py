@@ -6,6 +6,11 @@ Forward Viterbi scores are the exact best cost of what lies before a node, so
 an A* search from the end backwards with them as heuristic meets complete
 segmentations best first and opens no node that the n best do not need.
 
+The best segmentation, and what the second best loses, need no search: the
+second best uses an arc that the best does not, and the best one through an arc
+is what lies before it, the arc, and what lies behind it. Only chunks whose
+second choice may count for a text are searched for all n.
+
 No piece goes on after the last letter of a word or from a word into white
 space, so the lattice hangs together by single nodes there. It is searched
 chunk by chunk, each distinct chunk once per worker while it is remembered;
@@ -15,7 +20,6 @@ the n best of a text are then searched in the same way over its chunks.
 from __future__ import annotations
 
 import heapq
-import struct
 import sys
 import types
 from collections.abc import Iterator
@@ -25,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CACHED_CHUNKS = 250_000
+CACHED_CHUNKS = 300_000
 LONG_CHUNK = 256
 _SPACE = "\N{LOWER ONE EIGHTH BLOCK}"  # what stands for a space in pieces
 _LETTER = r"\p{L}"
@@ -54,6 +58,8 @@ class PieceTable:
                 self.arcs[piece.replace(_SPACE, " ")] = i, model.get_score(i)
                 self.bytes[i] = piece.replace(_SPACE, " ").encode()
         self.longest = max(map(len, self.arcs))
+        # Beginnings of pieces, too, so that a scan stops where no piece goes on.
+        self.trie: dict[str, tuple[int, float] | None] = {p[:i]: None for p in self.arcs for i in range(1, len(p))} | self.arcs
         # As the library does for unigram models: an unknown character scores ten below the worst piece.
         self.unknown = min(s for _, s in self.arcs.values()) - 10
         letter = regex.compile(_LETTER)
@@ -62,35 +68,101 @@ class PieceTable:
                 if (a != " " and b == " ") or "\n" in (a, b) or (letter.match(a) and not letter.match(b)):
                     raise ValueError(f"the piece {piece!r} goes on where chunks are cut")
 
+    def spell(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids: pieces joined, bytes put together, the leading space gone."""
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace").removeprefix(" ")
+        return self.spell(ids).decode("utf-8", "replace").removeprefix(" ")
 
 
-def n_best(chunk: str, table: PieceTable, n: int) -> list[Path]:
-    """Up to ``n`` best segmentations of a chunk, best first.
+Arc = tuple[int, tuple[int, ...], float]  # from, ids, score
 
-    Equal scores are in the order of their ids read from the end; in chunks
-    of more than 256 characters, in the order found.
-    """
-    size, arcs, longest = len(chunk), table.arcs, table.longest
+
+def _lattice(chunk: str, table: PieceTable) -> tuple[list[float], list[list[Arc]]]:
+    """Forward Viterbi scores, and the arcs that end at each node."""
+    size, trie = len(chunk), table.trie
     forward = [float("-inf")] * (size + 1)
     forward[0] = 0.0
-    into: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(size + 1)]
+    into: list[list[Arc]] = [[] for _ in range(size + 1)]
     for i in range(size):
-        here = forward[i]
-        single = False
-        for j in range(i + 1, min(i + longest, size) + 1):
-            arc = arcs.get(chunk[i:j])
+        here, j, single = forward[i], i + 1, False
+        while j <= size and (key := chunk[i:j]) in trie:
+            arc = trie[key]
             if arc:
                 single = single or j == i + 1
-                into[j].append((i, (arc[0],), arc[1]))
-                if here + arc[1] > forward[j]:
-                    forward[j] = here + arc[1]
+                score = arc[1]
+                into[j].append((i, (arc[0],), score))
+                if here + score > forward[j]:
+                    forward[j] = here + score
+            j += 1
         if not single:
             spelt = tuple(table.byte_ids[b] for b in chunk[i].encode("utf-8", "replace"))
             into[i + 1].append((i, spelt, table.unknown))
-            forward[i + 1] = max(forward[i + 1], here + table.unknown)
+            if here + table.unknown > forward[i + 1]:
+                forward[i + 1] = here + table.unknown
+    return forward, into
+
+
+def _from_end(ids: int | tuple[int, ...]) -> tuple[int, ...]:
+    return (ids,) if isinstance(ids, int) else ids[::-1]
+
+
+def best_and_loss(chunk: str, table: PieceTable) -> tuple[Path, float]:
+    """The first of :func:`n_best`, and what the second loses; infinite if there is none.
+
+    The pass that most time goes into: it keeps no more than it needs.
+    """
+    size, trie, none = len(chunk), table.trie, float("-inf")
+    forward, came = [none] * (size + 1), [0] * (size + 1)
+    spelt: list = [None] * (size + 1)
+    forward[0] = 0.0
+    arcs: list[tuple[int, int, float]] = []
+    for i in range(size):
+        here, j, single = forward[i], i + 1, False
+        while j <= size and (key := chunk[i:j]) in trie:
+            arc = trie[key]
+            if arc is not None:
+                ids, score = arc
+                arcs.append((i, j, score))
+                score += here
+                # Of arcs that are as good, the one whose ids, read from the end, come first.
+                if score > forward[j] or (score == forward[j] and (ids,) < _from_end(spelt[j])):
+                    forward[j], came[j], spelt[j] = score, i, ids
+                single = single or j == i + 1
+            j += 1
+        if not single:
+            arcs.append((i, i + 1, table.unknown))
+            ids, score, j = tuple(table.byte_ids[b] for b in chunk[i].encode("utf-8", "replace")), here + table.unknown, i + 1
+            if score > forward[j] or (score == forward[j] and ids[::-1] < _from_end(spelt[j])):
+                forward[j], came[j], spelt[j] = score, i, ids
+    node, parts, step = size, [], [-1] * (size + 1)
+    while node:
+        parts.append(spelt[node])
+        step[node] = came[node]
+        node = came[node]
+    # Backwards over the arcs, which are in order of where they begin.
+    backward = [none] * (size + 1)
+    backward[size] = 0.0
+    second = none
+    for i, j, score in reversed(arcs):
+        score += backward[j]
+        if score > backward[i]:
+            backward[i] = score
+        if step[j] != i and forward[i] + score > second:
+            second = forward[i] + score
+    ids = tuple(x for p in reversed(parts) for x in ((p,) if isinstance(p, int) else p))
+    return (forward[size], ids), forward[size] - second
+
+
+def n_best(chunk: str, table: PieceTable, n: int) -> list[Path]:
+    """Up to ``n`` best segmentations of a chunk, best first.
+
+    Equal scores are in the order of their ids read from the end; in chunks
+    of more than 256 characters, in the order found.
+    """
+    forward, into = _lattice(chunk, table)
+    size = len(chunk)
     # Backward A*: (minus the best whole score, ids from the end, node, minus the score behind it, chain).
     ordered = size <= LONG_CHUNK
     found: list[Path] = []
@@ -113,86 +185,89 @@ def n_best(chunk: str, table: PieceTable, n: int) -> list[Path]:
 
 
 class ChunkSegments:
-    """The n best segmentations of chunks, remembered for those that come up again."""
+    """Segmentations of chunks, remembered for those that come up again."""
 
     def __init__(self, table: PieceTable, n: int, most: int = CACHED_CHUNKS):
         self.table, self.n, self.most = table, n, most
-        self._reset({})
+        self._reset()
 
-    def _reset(self, known: dict[str, int]) -> None:
-        self.known = known
+    def _reset(self) -> None:
+        self.known: dict[str, int] = {}
         self.best = np.zeros(0)  # score of the best
         self.loss = np.zeros(0)  # what the second costs; infinite if there is none
         self.starts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
-        self.others: list[bytes] = []  # further ones: loss, number of ids, ids
         self.uses = np.zeros(0, np.int64)
+        self.others: dict[str, list[tuple[float, np.ndarray]]] = {}
 
     def _shrink(self) -> None:
         """Keep the chunks that came up again; most are seen once."""
         keep = self.uses > 1
         if keep.sum() > self.most // 2:
-            return self._reset({})
+            return self._reset()
         size, place = np.diff(self.starts), np.cumsum(keep) - 1
         self.ids = self.ids[np.repeat(keep, size)]
         self.starts = np.r_[0, np.cumsum(size[keep])]
         self.best, self.loss = self.best[keep], self.loss[keep]
-        self.others = [o for o, k in zip(self.others, keep) if k]
         self.known = {c: int(place[i]) for c, i in self.known.items() if keep[i]}
         self.uses = np.zeros(len(self.known), np.int64)
 
-    def look_up(self, chunks: list[str]) -> np.ndarray:
-        """The number of every chunk; new ones are searched first."""
-        fresh = [c for c in dict.fromkeys(chunks) if c not in self.known]
+    def learn(self, chunks: set[str]) -> None:
+        """Search the chunks that are not known yet."""
+        fresh = [c for c in chunks if c not in self.known]
         if fresh and len(self.known) + len(fresh) > self.most:
             self._shrink()
-            fresh = [c for c in dict.fromkeys(chunks) if c not in self.known]
+            fresh = [c for c in chunks if c not in self.known]
         if fresh:
-            paths = [n_best(c, self.table, self.n) for c in fresh]
+            found = [best_and_loss(c, self.table) for c in fresh]
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-            self.best = np.r_[self.best, [p[0][0] for p in paths]]
-            self.loss = np.r_[self.loss, [p[0][0] - p[1][0] if len(p) > 1 else np.inf for p in paths]]
-            self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum([len(p[0][1]) for p in paths])]
-            self.ids = np.r_[self.ids, np.fromiter((i for p in paths for i in p[0][1]), np.uint32)]
-            self.others += [b"".join(struct.pack(f"<dI{len(i)}I", p[0][0] - s, len(i), *i) for s, i in p[1:]) for p in paths]
+            self.best = np.r_[self.best, [p[0] for p, _ in found]]
+            self.loss = np.r_[self.loss, [loss for _, loss in found]]
+            self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum([len(p[1]) for p, _ in found])]
+            self.ids = np.r_[self.ids, np.fromiter((i for p, _ in found for i in p[1]), np.uint32)]
             self.uses = np.r_[self.uses, np.zeros(len(fresh), np.int64)]
-        which = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-        self.uses[which] += 1
-        return which
 
-    def alternatives(self, chunk: int) -> list[tuple[float, np.ndarray]]:
+    def alternatives(self, chunk: str) -> list[tuple[float, np.ndarray]]:
         """(loss, ids) of a chunk's further segmentations."""
-        data, at, out = self.others[chunk], 0, []
-        while at < len(data):
-            loss, size = struct.unpack_from("<dI", data, at)
-            at += 12
-            out.append((loss, np.frombuffer(data, "<u4", size, at)))
-            at += 4 * size
-        return out
+        if chunk not in self.others:
+            if len(self.others) >= 10_000:
+                self.others.clear()
+            (best, _), *more = n_best(chunk, self.table, self.n)
+            self.others[chunk] = [(best - score, np.array(ids, np.uint32)) for score, ids in more]
+        return self.others[chunk]
 
-    def segment(self, text: str) -> list[tuple[float, np.ndarray]]:
-        """(score, ids) of the n best segmentations of a text; of an empty one, a single one without ids.
+    def segment(self, texts: list[str]) -> Iterator[list[tuple[float, np.ndarray, str]]]:
+        """Per text, (score, ids, what they decode to) of the n best; of an empty one, a single one without ids.
 
         Equal scores are in the order of the chunks' choices, each counted
         from its best, read from the last chunk to the first.
         """
-        chunks = _CHUNK.findall(" " + text.replace(_SPACE, " ")) if text else []
-        if not chunks:
-            return [(0.0, np.zeros(0, np.uint32))]
-        which = self.look_up(chunks)
+        cut = [_CHUNK.findall(" " + t.replace(_SPACE, " ")) if t else [] for t in texts]
+        self.learn(set().union(*cut))
+        for chunks in cut:
+            yield self._segment(chunks) if chunks else [(0.0, np.zeros(0, np.uint32), "")]
+
+    def _segment(self, chunks: list[str]) -> list[tuple[float, np.ndarray, str]]:
+        which = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        self.uses[which] += 1
         begin, size = self.starts[which], self.starts[which + 1] - self.starts[which]
         ends = np.cumsum(size)
         ids = self.ids[np.repeat(begin - ends + size, size) + np.arange(ends[-1])]
-        score, out = float(self.best[which].sum()), []
-        for lost, choices in self._choices(self.loss[which], which):
-            parts, at = [], 0
+        score, text, out = float(self.best[which].sum()), self.table.decode(ids), []
+        for lost, choices in self._choices(self.loss[which], chunks):
+            parts, at, same = [], 0, True
             for place, choice in choices:
-                parts += [ids[at : ends[place] - size[place]], self.alternatives(which[place])[choice - 1][1]]
+                other = self.alternatives(chunks[place])[choice - 1][1]
+                old = ids[ends[place] - size[place] : ends[place]]
+                same = same and self.table.spell(other) == self.table.spell(old)
+                parts += [ids[at : ends[place] - size[place]], other]
                 at = ends[place]
-            out.append((score - lost, np.concatenate([*parts, ids[at:]]) if choices else ids))
+            own = np.concatenate([*parts, ids[at:]]) if choices else ids
+            # Ids spell piece by piece, so where only chunks that spell alike were changed the text is the same.
+            out.append((score - lost, own, text if same else self.table.decode(own)))
         return out
 
-    def _choices(self, loss: np.ndarray, which: np.ndarray) -> list[tuple[float, list[tuple[int, int]]]]:
+    def _choices(self, loss: np.ndarray, chunks: list[str]) -> list[tuple[float, list[tuple[int, int]]]]:
         """(loss, [(chunk, choice)]) of the n best, in order of chunks.
 
         One chunk's second choice is as good as it gets for a segmentation
@@ -207,7 +282,7 @@ class ChunkSegments:
         bound = np.partition(loss, few - 1)[few - 1] if len(loss) > few else np.inf
         some = np.flatnonzero((loss <= bound) & np.isfinite(loss))
         some = np.sort(some[np.argsort(loss[some], kind="stable")[:few]])[::-1].tolist()
-        options = [[(0.0, 0), *((x[0], c + 1) for c, x in enumerate(self.alternatives(which[p])))] for p in some]
+        options = [[(0.0, 0), *((x[0], c + 1) for c, x in enumerate(self.alternatives(chunks[p])))] for p in some]
         out, heap = [], [(0.0, ())]
         while heap and len(out) < self.n:
             lost, taken = heapq.heappop(heap)
@@ -227,35 +302,49 @@ def _worker(path: str, n: int) -> ChunkSegments:
     return state[path, n]
 
 
-def n_best_pieces(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def n_best_pieces(
+    docs: DataFrame, model_path: str, n: int = 4, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """(id, rank, score, ids): the ``n`` best segmentations of every text, best first, rank from 1.
 
     ``ids`` are unsigned 32-bit little-endian numbers. A text is segmented as
     the library normalises it for this model: spaces become a letter of their
     own, one is put in front, nothing else changes; characters without a
     piece are spelt in bytes. Texts with fewer segmentations have fewer rows;
-    a missing or empty text has one, without ids. Repeated rows are each
-    segmented, rows without an id too. An empty table gives an empty table.
-    Other columns are ignored. Nothing is shuffled.
+    a missing or empty text has one, without ids. ``decoded`` adds ``text``,
+    what the ids spell, as :func:`decode_pieces` does, without a second trip
+    to Python. Repeated rows are each segmented, rows without an id too. An
+    empty table gives an empty table. Other columns are ignored. Nothing is
+    shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = _worker(model_path, n)
+        names = [id_col, "rank", "score", "ids", *(["text"] if decoded else [])]
+        types = (pa.int32(), pa.float64(), pa.binary(), pa.string())
+
+        def settle() -> pa.RecordBatch:
+            columns = list(zip(*rows))
+            own = batch.column(0).take(pa.array(columns[0]))
+            return pa.record_batch([own, *(pa.array(c, t) for c, t in zip(columns[1:], types))], names)
+
         for batch in batches:
             rows, held = [], 0
-            for i in range(batch.num_rows):
-                for rank, (score, ids) in enumerate(segments.segment(batch.column(1)[i].as_py() or ""), 1):
-                    rows.append((i, rank, score, ids.astype("<u4").tobytes()))
-                    held += 4 * len(ids)
-                if held > 1 << 22 or i + 1 == batch.num_rows:
-                    columns = list(zip(*rows))
-                    own = batch.column(0).take(pa.array(columns[0]))
-                    typed = [pa.array(c, t) for c, t in zip(columns[1:], (pa.int32(), pa.float64(), pa.binary()))]
-                    yield pa.record_batch([own, *typed], [id_col, "rank", "score", "ids"])
-                    rows, held = [], 0
+            for start in range(0, batch.num_rows, 64):
+                texts = [t or "" for t in batch.column(1).slice(start, 64).to_pylist()]
+                for i, found in enumerate(segments.segment(texts), start):
+                    for rank, (score, ids, text) in enumerate(found, 1):
+                        rows.append((i, rank, score, ids.astype("<u4").tobytes(), *([text] if decoded else [])))
+                        held += 8 * len(ids)
+                    if held > 1 << 22:
+                        yield settle()
+                        rows, held = [], 0
+            if rows:
+                yield settle()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, rank int, score double, ids binary")
+    schema = f"`{id_col}` {kind}, rank int, score double, ids binary" + (", text string" if decoded else "")
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def decode_pieces(segments: DataFrame, model_path: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import queries
 from ledgerlens.llm.queries import tokenizer_path
-from ledgerlens.llm.segmentation import _CHUNK, ChunkSegments, PieceTable, decode_pieces, n_best, n_best_pieces
+from ledgerlens.llm.segmentation import _CHUNK, ChunkSegments, PieceTable, best_and_loss, decode_pieces, n_best, n_best_pieces
 
 PATH = tokenizer_path("piece_bpe_32k.model")
 TEXTS = [
@@ -44,6 +44,8 @@ def test_chunk_matches_all_segmentations(pieces, chunk):
     every = sorted(all_paths(chunk, pieces), key=lambda p: (-p[0], p[1][::-1]))
     for n in (1, 2, 5, 1000):
         assert n_best(chunk, pieces, n) == every[:n]
+    best, loss = best_and_loss(chunk, pieces)
+    assert best == every[0] and loss == (every[0][0] - every[1][0] if len(every) > 1 else float("inf"))
 
 
 def slow_text(text, table, n):
@@ -61,30 +63,32 @@ def slow_text(text, table, n):
 def test_text_matches_all_segmentations(pieces, n):
     segments = ChunkSegments(pieces, n)
     for text in ("it it it", "a b", "the and", "ab, ab", "x\nx y", "in on\nin"):
-        found = segments.segment(text)
-        assert [(s, tuple(i.tolist())) for s, i in found] == slow_text(text, pieces, n)
+        (found,) = segments.segment([text])
+        assert [(s, tuple(i.tolist())) for s, i, _ in found] == slow_text(text, pieces, n)
 
 
 def test_text_is_one_lattice(pieces):
     """Cutting at chunks loses no segmentation."""
     for text in ("a, b", "it is", "o\no"):
         every = sorted(-s for s, _ in all_paths(" " + text, pieces))[:6]
-        assert [-s for s, _ in ChunkSegments(pieces, 6).segment(text)] == every
+        assert [-s for found in ChunkSegments(pieces, 6).segment([text]) for s, _, _ in found] == every
 
 
 def test_forgetting_changes_nothing(pieces):
     rng = random.Random(1)
     texts = ["".join(rng.choice("abc de,\n") for _ in range(60)) for _ in range(40)]
     wide, narrow = ChunkSegments(pieces, 3), ChunkSegments(pieces, 3, most=8)
-    for text in texts + texts:
-        a, b = wide.segment(text), narrow.segment(text)
-        assert [(s, i.tolist()) for s, i in a] == [(s, i.tolist()) for s, i in b]
+    for some in (texts[:7], texts[7:9], texts, texts[::-1]):
+        for a, b in zip(wide.segment(some), narrow.segment(some), strict=True):
+            assert [(s, i.tolist(), t) for s, i, t in a] == [(s, i.tolist(), t) for s, i, t in b]
 
 
 def test_round_trip_and_odd_rows(spark):
     rows = [*enumerate(TEXTS), (100, None), (None, "a b"), (1, TEXTS[1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"ids": F.lit(1), "rank": F.lit("x")})
     out = decode_pieces(n_best_pieces(docs, PATH, 3), PATH).collect()
+    at_once = n_best_pieces(docs, PATH, 3, decoded=True).collect()
+    assert sorted(map(str, out)) == sorted(map(str, at_once))
     library = sentencepiece.SentencePieceProcessor(model_file=PATH)
     expected = dict(rows)
     for r in out:
