@@ -28,9 +28,13 @@ def routed(questions: DataFrame) -> DataFrame:
 
 
 def document_hits(
-    questions: DataFrame, vectors: DataFrame, corpus: DataFrame, k: int = NEIGHBOURS
+    questions: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int = NEIGHBOURS
 ) -> DataFrame:
-    """Vector hits of the questions that use documents, with text and metadata.
+    """Vector hits of the questions that use documents: all chunks of each winner, with metadata.
+
+    Vectors belong to documents; ``chunks`` has a row per chunk of at most 500
+    words. ``place`` orders the chunks of a question, by rank and then by
+    their order in the document.
 
     The ranking sees keys and vectors. The winners are written first: their
     size is then known, and while it is small they are broadcast and the texts
@@ -43,30 +47,35 @@ def document_hits(
     keys = winners.select("doc_id").distinct()
     # A key and its place in a hash table take some 40 bytes, a winner some 80.
     if 80 * winners.count() <= BROADCAST_BYTES:
-        return corpus.join(F.broadcast(winners), "doc_id")
+        return _placed(chunks.join(F.broadcast(winners), "doc_id"))
     if 40 * keys.count() <= BROADCAST_BYTES:
-        corpus = corpus.join(F.broadcast(keys), "doc_id", "left_semi")
-    return winners.join(corpus, "doc_id")
+        chunks = chunks.join(F.broadcast(keys), "doc_id", "left_semi")
+    return _placed(winners.join(chunks, "doc_id"))
+
+
+def _placed(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("place", F.struct("rank", "chunk_ord"))
 
 
-def keyword_hits(questions: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Keyword hits, as excerpts, of the document questions that pass the gate.
+def keyword_hits(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Keyword hits among the chunks, as excerpts, of the document questions that pass the gate.
 
-    Whole texts are matched; only the excerpts of the few hits are broadcast.
+    Only the excerpts of the few hits are broadcast.
     """
     gated = questions.where(F.col("needs_docs") & routing.keyword_gate(F.col("question")))
-    hits = first_hits_per_topic(corpus, ["doc_id"], "text")
-    shown = hits.withColumn("excerpt", excerpt(clean_text(F.col("text")))).drop("text")
-    return keyword_batch(gated, shown, ["doc_id"], "conv_id")
+    order = ["doc_id", "chunk_ord"]
+    hits = first_hits_per_topic(chunks, order, "chunk_text")
+    shown = hits.withColumn("excerpt", excerpt(clean_text(F.col("chunk_text")))).drop("chunk_text")
+    return keyword_batch(gated, shown, order, "conv_id")
 
 
 def answer_questions(
-    questions: DataFrame, vectors: DataFrame, corpus: DataFrame, tables: dict[str, DataFrame]
+    questions: DataFrame, vectors: DataFrame, chunks: DataFrame, tables: dict[str, DataFrame]
 ) -> DataFrame:
     """(conv_id, route, context) for questions (conv_id, question, embedding).
 
-    ``vectors`` has (doc_id, embedding), ``corpus`` the texts with their
-    metadata, ``tables`` the KPI tables by name.
+    ``vectors`` has (doc_id, embedding), ``chunks`` the chunked texts with
+    their metadata, ``tables`` the KPI tables by name.
     """
     asked = materialise(routed(questions), "questions")  # four branches read it
     metrics = metric_answers(asked.where("needs_sql"), tables, "conv_id").select("conv_id", "block")
@@ -74,6 +83,6 @@ def answer_questions(
         asked.select("conv_id", "route", "needs_sql", "needs_docs"),
         "conv_id",
         metrics,
-        assembly.citation_blocks(document_hits(asked, vectors, corpus), "conv_id"),
-        assembly.keyword_blocks(keyword_hits(asked, corpus), "conv_id"),
+        assembly.citation_blocks(document_hits(asked, vectors, chunks), "conv_id", "chunk_text", "place"),
+        assembly.keyword_blocks(keyword_hits(asked, chunks), "conv_id"),
     ).select("conv_id", "route", "context")

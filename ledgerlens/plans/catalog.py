@@ -388,7 +388,7 @@ def _asked(spark, d):
 
 def _document_hits(spark, d, asked):
     return answer.document_hits(
-        asked, standins.corpus_vectors(spark, d), standins.domain_corpus(spark, d)
+        asked, standins.corpus_vectors(spark, d), standins.domain_chunks(spark, d)
     )
 
 
@@ -397,9 +397,10 @@ def v6_concat_retrieval(spark, d):
     asked = _asked(spark, d)
     return fusion.concat_retrieval(
         _document_hits(spark, d, asked),
-        answer.keyword_hits(asked, standins.domain_corpus(spark, d)),
+        answer.keyword_hits(asked, standins.domain_chunks(spark, d)),
         "conv_id",
         "doc_id",
+        "chunk_ord",
         "source_file",
     )
 
@@ -452,7 +453,9 @@ def q5_route(spark, d):
 
 @query
 def q6_citation_block(spark, d):
-    return assembly.citation_blocks(_document_hits(spark, d, _asked(spark, d)), "conv_id")
+    return assembly.citation_blocks(
+        _document_hits(spark, d, _asked(spark, d)), "conv_id", "chunk_text", "place"
+    )
 
 
 @query
@@ -466,7 +469,7 @@ def q8_assemble_context(spark, d):
     return answer.answer_questions(
         standins.embedded_questions(spark, d),
         standins.corpus_vectors(spark, d),
-        standins.domain_corpus(spark, d),
+        standins.domain_chunks(spark, d),
         standins.kpi_tables(spark, d),
     )
 

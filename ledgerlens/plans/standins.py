@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.calendar import in_months, month_label, month_number, quarter_of_month
+from ledgerlens.operators.chunking import chunk_fixed
 from ledgerlens.sources.tables import table
 
 # Stand-in limits, chosen so that about a tenth of the rows passes.
@@ -297,6 +298,11 @@ def domain_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).withColumn("text", substitute(F.col("text"), CORPUS_VOCABULARY))
 
 
+def domain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The domain corpus in chunks of at most 500 words."""
+    return chunk_fixed(domain_corpus(spark, sf_dir))
+
+
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns with the domain's words put in."""
     return table(spark, sf_dir, "conversations").withColumn(

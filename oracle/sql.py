@@ -66,6 +66,7 @@ QUESTION_WORDS = [
     (" for ", " aml how many "),
 ]
 
+DOC_KEYS = "doc_id, source_file, file_type"
 CORPUS = "corpus AS (SELECT doc_id, source AS source_file, lang AS file_type, text FROM documents)"
 DOMAIN = (
     "domain AS (SELECT doc_id, source_file, file_type, "
@@ -342,11 +343,11 @@ ASKING = """asking AS (
   WHERE needs_docs OR NOT needs_sql
 )"""
 VECTOR_HITS = f"""{dense('asking', 'conv_id', 'embedded', 'doc_id', 5)},
-vector_hits AS (SELECT dense.*, source_file, file_type, text FROM dense JOIN embedded USING (doc_id))"""
+vector_hits AS (SELECT dense.*, source_file, file_type, chunk_ord, chunk_text FROM dense JOIN chunks USING (doc_id))"""
 KEYWORD_HITS = f"""keyword_hits AS ({ranked(f'''
-  SELECT conv_id, doc_id, source_file, file_type, text FROM routed, domain
-  WHERE needs_docs AND gate AND {topic_pairs('question', 'text')}''', 'conv_id', 'doc_id', 3)})"""
-EVIDENCE = [CORPUS, DOMAIN, TURNS, QUESTIONS, EMBEDDED, ROUTED, ASKING]
+  SELECT conv_id, doc_id, chunk_ord, source_file, file_type, chunk_text FROM routed, chunks
+  WHERE needs_docs AND gate AND {topic_pairs('question', 'chunk_text')}''', 'conv_id', 'doc_id, chunk_ord', 3)})"""
+EVIDENCE = [CORPUS, DOMAIN, windows("domain", DOC_KEYS, "text", 500), TURNS, QUESTIONS, EMBEDDED, ROUTED, ASKING]
 
 
 def citation(body: str) -> str:
@@ -359,11 +360,11 @@ def citation(body: str) -> str:
 NL2 = "chr(10) || chr(10)"
 SEPARATOR = f"{NL2} || '---' || {NL2}"
 DOC_BLOCKS = f"""doc_blocks AS (
-  SELECT conv_id, string_agg({citation(clean('text'))}, {SEPARATOR} ORDER BY rank) AS doc_context
+  SELECT conv_id, string_agg({citation(clean('chunk_text'))}, {SEPARATOR} ORDER BY rank, chunk_ord) AS doc_context
   FROM vector_hits GROUP BY conv_id
 )"""
 KEYWORD_BLOCKS = f"""keyword_blocks AS (
-  SELECT conv_id, string_agg({citation(f"left({clean('text')}, 500) || '...'")}, {SEPARATOR}
+  SELECT conv_id, string_agg({citation(f"left({clean('chunk_text')}, 500) || '...'")}, {SEPARATOR}
          ORDER BY rank) AS keyword_context
   FROM keyword_hits GROUP BY conv_id
 )"""
@@ -525,7 +526,6 @@ VERSIONS = """latest AS (
   FROM documents LEFT JOIN labels l USING (doc_id) WHERE coalesce(toxic, 0) <> 1
 )"""
 CHUNK_COLUMNS = "source_file, file_type, chunk_ord, chunk_text, n_tokens"
-DOC_KEYS = "doc_id, source_file, file_type"
 
 ORACLES: dict[str, str] = {
     "s1_discover_files": f"SELECT * FROM (VALUES {', '.join(f"('{t}.parquet', 'PARQUET')" for t in TABLES)}) f(file_name, file_type)",
@@ -672,8 +672,8 @@ FROM dense d FULL JOIN lexical l USING (query_id, doc_id)""",
         5,
     ),
     "v6_concat_retrieval": with_(*EVIDENCE, VECTOR_HITS, KEYWORD_HITS)
-    + """SELECT conv_id, doc_id, source_file, rank, 'vector' AS section FROM vector_hits
-UNION ALL SELECT conv_id, doc_id, source_file, rank, 'keyword' FROM keyword_hits""",
+    + """SELECT conv_id, doc_id, chunk_ord, source_file, rank, 'vector' AS section FROM vector_hits
+UNION ALL SELECT conv_id, doc_id, chunk_ord, source_file, rank, 'keyword' FROM keyword_hits""",
     "v7_order_limit": """SELECT o_orderkey, o_custkey, o_totalprice FROM orders
 ORDER BY o_totalprice DESC, o_orderkey LIMIT 20""",
     "v8_row_cap": with_(LINES, CTR)

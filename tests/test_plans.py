@@ -78,3 +78,28 @@ def test_distinct_orders_need_no_extra_shuffle(spark, data):
 def test_text_work_uses_all_cores_on_one_file(spark, data):
     assert standins.corpus(spark, data).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert table(spark, data, "documents").rdd.getNumPartitions() == 1
+
+
+def test_texts_of_hits_are_not_shuffled(spark, data):
+    """With broadcasts by size off: the winners' measured size decides, and the texts stay in place."""
+    from ledgerlens.plans import answer
+
+    asked = answer.routed(standins.embedded_questions(spark, data))
+    chunks = table(spark, data, "documents").select(
+        "doc_id", F.lit(0).alias("chunk_ord"), F.col("source").alias("source_file"), F.col("lang").alias("file_type"), F.col("text").alias("chunk_text")
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(answer.document_hits(asked, standins.corpus_vectors(spark, data), chunks))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+
+
+def test_the_corpus_is_not_copied_per_part_of_queries(spark, data):
+    from ledgerlens.operators.blocked_topk import Limits
+    from ledgerlens.operators.vector_search import vector_topk
+
+    vectors = standins.corpus_vectors(spark, data)
+    text = plan(vector_topk(vectors.withColumnRenamed("doc_id", "query_id"), vectors, limits=Limits(broadcast_bytes=40_000)))
+    assert "Generate" not in text and text.count("MapInArrow") > 1
