@@ -49,7 +49,8 @@ def frequent_line_dedup(
             "_id", "_row", "_pos", (F.char_length("_key") >= min_chars).alias("_long"), *two_hashes("_key")
         )
     )
-    frequent = (
+    # Written, so that the join reads both sides by a shuffle of its own and can split a hot hash.
+    frequent, _ = scratch.save(
         lines.where("_long")
         .select("_h1", "_h2", "_id")
         .distinct()
