@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 1_000_000
 LONG_CHUNK = 256
 _SPACE = "\N{LOWER ONE EIGHTH BLOCK}"  # what stands for a space in pieces
 _LETTER = r"\p{L}"
@@ -184,6 +184,26 @@ def n_best(chunk: str, table: PieceTable, n: int) -> list[Path]:
     return found
 
 
+class _Column:
+    """An array that grows at its end; what is not used yet is room to grow."""
+
+    def __init__(self, values: np.ndarray):
+        self.room, self.size = values, len(values)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.size]
+
+    def extend(self, more: np.ndarray) -> None:
+        size = self.size + len(more)
+        if size > len(self.room):
+            room = np.empty(max(2 * len(self.room), size), self.room.dtype)
+            room[: self.size] = self.values
+            self.room = room
+        self.room[self.size : size] = more
+        self.size = size
+
+
 class ChunkSegments:
     """Segmentations of chunks, remembered for those that come up again."""
 
@@ -193,24 +213,24 @@ class ChunkSegments:
 
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.best = np.zeros(0)  # score of the best
-        self.loss = np.zeros(0)  # what the second costs; infinite if there is none
-        self.starts = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-        self.uses = np.zeros(0, np.int64)
+        self.best = _Column(np.zeros(0))  # score of the best
+        self.loss = _Column(np.zeros(0))  # what the second costs; infinite if there is none
+        self.starts = _Column(np.zeros(1, np.int64))
+        self.ids = _Column(np.zeros(0, np.uint32))
+        self.uses = _Column(np.zeros(0, np.int64))
         self.others: dict[str, list[tuple[float, np.ndarray]]] = {}
 
     def _shrink(self) -> None:
         """Keep the chunks that came up again; most are seen once."""
-        keep = self.uses > 1
+        keep = self.uses.values > 1
         if keep.sum() > self.most // 2:
             return self._reset()
-        size, place = np.diff(self.starts), np.cumsum(keep) - 1
-        self.ids = self.ids[np.repeat(keep, size)]
-        self.starts = np.r_[0, np.cumsum(size[keep])]
-        self.best, self.loss = self.best[keep], self.loss[keep]
+        size, place = np.diff(self.starts.values), np.cumsum(keep) - 1
+        self.ids = _Column(self.ids.values[np.repeat(keep, size)])
+        self.starts = _Column(np.r_[0, np.cumsum(size[keep])])
+        self.best, self.loss = _Column(self.best.values[keep]), _Column(self.loss.values[keep])
         self.known = {c: int(place[i]) for c, i in self.known.items() if keep[i]}
-        self.uses = np.zeros(len(self.known), np.int64)
+        self.uses = _Column(np.zeros(len(self.known), np.int64))
 
     def learn(self, chunks: set[str]) -> None:
         """Search the chunks that are not known yet."""
@@ -221,11 +241,11 @@ class ChunkSegments:
         if fresh:
             found = [best_and_loss(c, self.table) for c in fresh]
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-            self.best = np.r_[self.best, [p[0] for p, _ in found]]
-            self.loss = np.r_[self.loss, [loss for _, loss in found]]
-            self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum([len(p[1]) for p, _ in found])]
-            self.ids = np.r_[self.ids, np.fromiter((i for p, _ in found for i in p[1]), np.uint32)]
-            self.uses = np.r_[self.uses, np.zeros(len(fresh), np.int64)]
+            self.best.extend(np.array([p[0] for p, _ in found]))
+            self.loss.extend(np.array([loss for _, loss in found]))
+            self.starts.extend(self.starts.values[-1] + np.cumsum([len(p[1]) for p, _ in found]))
+            self.ids.extend(np.fromiter((i for p, _ in found for i in p[1]), np.uint32))
+            self.uses.extend(np.zeros(len(fresh), np.int64))
 
     def alternatives(self, chunk: str) -> list[tuple[float, np.ndarray]]:
         """(loss, ids) of a chunk's further segmentations."""
@@ -249,12 +269,13 @@ class ChunkSegments:
 
     def _segment(self, chunks: list[str]) -> list[tuple[float, np.ndarray, str]]:
         which = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-        self.uses[which] += 1
-        begin, size = self.starts[which], self.starts[which + 1] - self.starts[which]
+        self.uses.values[which] += 1
+        begin = self.starts.values[which]
+        size = self.starts.values[which + 1] - begin
         ends = np.cumsum(size)
-        ids = self.ids[np.repeat(begin - ends + size, size) + np.arange(ends[-1])]
-        score, text, out = float(self.best[which].sum()), self.table.decode(ids), []
-        for lost, choices in self._choices(self.loss[which], chunks):
+        ids = self.ids.values[np.repeat(begin - ends + size, size) + np.arange(ends[-1])]
+        score, text, out = float(self.best.values[which].sum()), self.table.decode(ids), []
+        for lost, choices in self._choices(self.loss.values[which], chunks):
             parts, at, same = [], 0, True
             for place, choice in choices:
                 other = self.alternatives(chunks[place])[choice - 1][1]
