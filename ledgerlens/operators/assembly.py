@@ -12,6 +12,15 @@ from ledgerlens.operators.ranking import row_cap
 BLOCK_SEPARATOR = "\n\n---\n\n"
 SECTION_RULE = "=" * 70
 NO_SOURCE = "I don't have that information in my Knowledge Base."
+UNKNOWN = "Unknown"
+EXECUTED = "SQL Query Executed:\n"
+RESULTS = "\n\nResults:\n"
+FIRST_ROWS = "\n(Showing first {} of %d rows)"
+TOTAL_ROWS = "\n\nTotal rows: "
+NO_ROWS = "No results found for this query."
+DOCUMENTS_HEADING = "Document Context"
+METRICS_HEADING = "SQL Query Results"
+KEYWORDS_HEADING = "\n[Additional Keyword Matches]\n"
 
 
 def _in_rank_order(rank: str, text: Column, separator: str) -> Column:
@@ -22,8 +31,8 @@ def _in_rank_order(rank: str, text: Column, separator: str) -> Column:
 
 def citation(text: Column) -> Column:
     """'[type: file]' above the text; missing metadata reads Unknown."""
-    kind = F.coalesce("file_type", F.lit("Unknown"))
-    source = F.coalesce("source_file", F.lit("Unknown"))
+    kind = F.coalesce("file_type", F.lit(UNKNOWN))
+    source = F.coalesce("source_file", F.lit(UNKNOWN))
     return F.concat(F.lit("["), kind, F.lit(": "), source, F.lit("]\n"), text)
 
 
@@ -65,16 +74,16 @@ def result_block(
     lines = _in_rank_order("row_no", line, "\n")
     note = F.when(
         total > shown_rows,
-        F.format_string(f"\n(Showing first {shown_rows} of %d rows)", total),
+        F.format_string(FIRST_ROWS.format(shown_rows), total),
     ).otherwise("")
     found = F.concat(
-        F.lit(f"SQL Query Executed:\n{statement}\n\nResults:\n{header}\n{rule}\n"),
+        F.lit(f"{EXECUTED}{statement}{RESULTS}{header}\n{rule}\n"),
         lines,
         note,
-        F.lit("\n\nTotal rows: "),
+        F.lit(TOTAL_ROWS),
         total.cast("string"),
     )
-    nothing = F.lit(f"SQL Query Executed:\n{statement}\n\nNo results found for this query.")
+    nothing = F.lit(f"{EXECUTED}{statement}\n\n{NO_ROWS}")
     return capped.agg(F.when(total > 0, found).otherwise(nothing).alias("block"))
 
 
@@ -102,12 +111,12 @@ def assemble_context(
         .join(doc_blocks, query_key, "left")
         .join(keyword, query_key, "left")
     )
-    extra = F.concat(F.lit("\n[Additional Keyword Matches]\n"), F.col("keyword_context"))
+    extra = F.concat(F.lit(KEYWORDS_HEADING), F.col("keyword_context"))
     both = F.nullif(F.concat_ws("\n", "doc_context", extra), F.lit(""))
-    documents = F.when(F.col("needs_docs"), _section("Document Context", both)).when(
-        ~F.col("needs_sql"), _section("Document Context", F.col("doc_context"))
+    documents = F.when(F.col("needs_docs"), _section(DOCUMENTS_HEADING, both)).when(
+        ~F.col("needs_sql"), _section(DOCUMENTS_HEADING, F.col("doc_context"))
     )
-    metrics = F.when(F.col("needs_sql"), _section("SQL Query Results", F.col("block")))
+    metrics = F.when(F.col("needs_sql"), _section(METRICS_HEADING, F.col("block")))
     return parts.select(
         *questions.columns,
         F.concat(F.lit("\n\n" + SECTION_RULE), F.concat_ws("\n\n", metrics, documents)).alias(

@@ -212,21 +212,19 @@ def f3_case_folded_like(spark, d):
     return standins.corpus(spark, d).where(wanted).select("doc_id", "source_file")
 
 
+# Per topic the pattern that must match, and those of which one must.
+TOPIC_PATTERNS = (
+    ("%cash transaction%", ("%branch%prepare%", "%monthly%ctr%")),
+    ("%suspicious transaction%", ("%report%bfiu%", "%submit%sar%")),
+    ("%know your customer%",),
+)
+
+
 @query
 def f4_topic_predicates(spark, d):
     wanted = kpi.folded(
         F.col("text"),
-        lambda low: kpi.any_topic(
-            [
-                kpi.topic_matches(
-                    low, "%cash transaction%", ("%branch%prepare%", "%monthly%ctr%")
-                ),
-                kpi.topic_matches(
-                    low, "%suspicious transaction%", ("%report%bfiu%", "%submit%sar%")
-                ),
-                kpi.topic_matches(low, "%know your customer%"),
-            ]
-        ),
+        lambda low: kpi.any_topic([kpi.topic_matches(low, *patterns) for patterns in TOPIC_PATTERNS]),
     )
     return standins.domain_corpus(spark, d).where(wanted).select("doc_id", "source_file")
 

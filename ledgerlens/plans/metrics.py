@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import routing
 from ledgerlens.functions.calendar import quarter_of_month
+from ledgerlens.operators.assembly import EXECUTED, FIRST_ROWS, NO_ROWS, RESULTS, TOTAL_ROWS
 from ledgerlens.operators.ranking import top_per_group
 
-# The layout of a result, the cap on its rows, and how many are shown.
-EXECUTED = "SQL Query Executed:\n"
-NOTHING = "No results found for this query."
+# The cap on a result's rows, and how many are shown.
 ROWS, SHOWN = 100, 50
 ANY = "*"
 
@@ -151,16 +150,16 @@ def metric_answers(questions: DataFrame, tables: dict[str, DataFrame], key: str,
     header = functools.reduce(
         lambda out, m: F.when(F.col("table") == m.table, _header(m)).otherwise(out), METRICS, F.lit(None).cast("string")
     )
-    note = F.when(F.col("_total") > SHOWN, F.format_string(f"\n(Showing first {SHOWN} of %d rows)", F.col("_total"))).otherwise("")
+    note = F.when(F.col("_total") > SHOWN, F.format_string(FIRST_ROWS.format(SHOWN), F.col("_total"))).otherwise("")
     found = F.concat(
-        F.lit("\n\nResults:\n"), header, F.lit("\n"), F.array_join(F.transform("_lines", lambda x: x["line"]), "\n"),
-        note, F.lit("\n\nTotal rows: "), F.col("_total").cast("string"),
+        F.lit(RESULTS), header, F.lit("\n"), F.array_join(F.transform("_lines", lambda x: x["line"]), "\n"),
+        note, F.lit(TOTAL_ROWS), F.col("_total").cast("string"),
     )
     results = results.select("_statement", found.alias("_found"))
-    nothing = F.lit("\n\n" + NOTHING)
+    nothing = F.lit("\n\n" + NO_ROWS)
     body = F.concat(F.lit(EXECUTED), F.col("_statement"), F.coalesce("_found", nothing))
     return asked.join(results, "_statement", "left").select(
-        key, F.col("table").alias("kpi_table"), "bank", "branch", "period", F.when(F.col("table").isNull(), NOTHING).otherwise(body).alias("block")
+        key, F.col("table").alias("kpi_table"), "bank", "branch", "period", F.when(F.col("table").isNull(), NO_ROWS).otherwise(body).alias("block")
     )
 
 

@@ -54,8 +54,8 @@ def test_table_and_names(answers):
 
 def test_no_metric_is_no_evidence(answers):
     for i in (7, 8, 99):
-        assert answers[i]["block"] == metrics.NOTHING
-    assert answers[100]["block"].endswith(metrics.NOTHING) and "ctr_reporting_kpi" in answers[100]["block"]
+        assert answers[i]["block"] == metrics.NO_ROWS
+    assert answers[100]["block"].endswith(metrics.NO_ROWS) and "ctr_reporting_kpi" in answers[100]["block"]
 
 
 def test_rows(answers):
