@@ -450,18 +450,26 @@ def suffix_dedup(
     names = [id_col, *carry, "n_bytes", "n_removed", "n_spans", "kept"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+        def settle(batch: pa.RecordBatch, start: int, out: list[tuple]) -> pa.RecordBatch:
+            own = [batch.column(c).slice(start, len(out)) for c in (0, *range(3, 3 + len(carry)))]
+            return pa.record_batch([*own, *(pa.array(c, t) for c, t in zip(zip(*out), types))], names)
+
         for batch in batches:
-            out = []
+            start, held, out = 0, 0, []
             for i in range(batch.num_rows):
                 data, places = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
                 spans = covered(len(data), places) if places else []
                 cuts = [0, *(x for s in spans for x in s), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
                 out.append((len(data), len(data) - len(kept), len(spans), kept))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                held += len(kept)
+                if held > 1 << 22:
+                    yield settle(batch, start, out)
+                    start, held, out = i + 1, 0, []
             if out:
-                own = [batch.column(0), *(batch.column(3 + j) for j in range(len(carry)))]
-                yield pa.record_batch([*own, *(pa.array(c, t) for c, t in zip(zip(*out), types))], names)
+                yield settle(batch, start, out)
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *carry)]
     fields += ["n_bytes bigint", "n_removed bigint", "n_spans bigint", "kept binary"]
