@@ -158,16 +158,16 @@ def best_and_loss(chunk: str, table: PieceTable) -> tuple[Path, float]:
 def n_best(chunk: str, table: PieceTable, n: int) -> list[Path]:
     """Up to ``n`` best segmentations of a chunk, best first.
 
-    Equal scores are in the order of their ids read from the end; in chunks
-    of more than 256 characters, in the order found.
+    Equal scores are in the order of their ids read from the end. Keys of the
+    search grow with the chunk, so long chunks go another way to the same.
     """
+    if len(chunk) > LONG_CHUNK:
+        return _n_best_by_node(chunk, table, n)
     forward, into = _lattice(chunk, table)
     size = len(chunk)
     # Backward A*: (minus the best whole score, ids from the end, node, minus the score behind it, chain).
-    ordered = size <= LONG_CHUNK
     found: list[Path] = []
     heap: list[tuple] = [(-forward[size], (), size, 0.0, None)]
-    pushed = 0
     while heap and len(found) < n:
         worst, key, node, behind, chain = heapq.heappop(heap)
         if not node:
@@ -178,9 +178,28 @@ def n_best(chunk: str, table: PieceTable, n: int) -> list[Path]:
             found.append((-worst, tuple(ids)))
             continue
         for i, ids, score in into[node]:
-            pushed += 1
-            place = key + ids[::-1] if ordered else (pushed,)
-            heapq.heappush(heap, (-(forward[i] + score - behind), place, i, behind - score, (ids, chain)))
+            heapq.heappush(heap, (-(forward[i] + score - behind), key + ids[::-1], i, behind - score, (ids, chain)))
+    return found
+
+
+def _n_best_by_node(chunk: str, table: PieceTable, n: int) -> list[Path]:
+    """:func:`n_best` by the ``n`` best of every node, in order.
+
+    Arcs into a node differ in their last id, and what comes before the same
+    arc is in order already, so its place there stands for all its ids.
+    """
+    _, into = _lattice(chunk, table)
+    best: list[list[tuple]] = [[(0.0, (), 0, 0, ())]]  # minus score, last ids from the end, place before, node before, ids
+    for arcs in into[1:]:
+        ways = [(w[0] - score, ids[::-1], place, i, ids) for i, ids, score in arcs for place, w in enumerate(best[i])]
+        best.append(heapq.nsmallest(n, ways))
+    found: list[Path] = []
+    for end in best[-1]:
+        way, parts = end, []
+        while way[4]:
+            parts.append(way[4])
+            way = best[way[3]][way[2]]
+        found.append((-end[0], tuple(x for ids in reversed(parts) for x in ids)))
     return found
 
 

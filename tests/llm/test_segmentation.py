@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import queries
 from ledgerlens.llm.queries import tokenizer_path
-from ledgerlens.llm.segmentation import _CHUNK, ChunkSegments, PieceTable, best_and_loss, decode_pieces, n_best, n_best_pieces
+from ledgerlens.llm.segmentation import _CHUNK, ChunkSegments, PieceTable, _n_best_by_node, best_and_loss, decode_pieces, n_best, n_best_pieces
 
 PATH = tokenizer_path("piece_bpe_32k.model")
 TEXTS = [
@@ -48,6 +48,23 @@ def test_chunk_matches_all_segmentations(pieces, chunk):
     assert best == every[0] and loss == (every[0][0] - every[1][0] if len(every) > 1 else float("inf"))
 
 
+@pytest.mark.parametrize("mark", "x-.#")
+@pytest.mark.parametrize("size", [255, 256, 300])
+def test_one_tie_rule_at_every_length(pieces, mark, size):
+    chunk = " " + mark * size
+    found = n_best(chunk, pieces, 4)
+    assert found[0] == best_and_loss(chunk, pieces)[0]
+    assert found == sorted(found, key=lambda p: (-p[0], p[1][::-1])) and len({ids for _, ids in found}) == 4
+    (texts,) = ChunkSegments(pieces, 4).segment([mark * size])
+    assert len({tuple(ids.tolist()) for _, ids, _ in texts}) == 4
+
+
+@pytest.mark.parametrize("chunk", [" " + "x" * 40, "-" * 33, " the" + "a" * 30, "漢" * 20 + ".." * 9, "   " * 9])
+def test_both_ways_to_the_best(pieces, chunk):
+    for n in (1, 2, 4, 30):
+        assert _n_best_by_node(chunk, pieces, n) == n_best(chunk, pieces, n)
+
+
 def slow_text(text, table, n):
     """All choices of all chunks, each chunk's in its own order."""
     combined = [(0.0, (), ())]
