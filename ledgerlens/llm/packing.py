@@ -86,13 +86,24 @@ def pack_group(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         n += 1
 
 
+def _folded(data: bytes) -> list[bytes]:
+    """Chunks between white space, those of ASCII only with small letters."""
+    if b"<|" in data:
+        return data.split()
+    if data.isascii():
+        return data.lower().split()
+    return [c.lower() if c.isascii() else c for c in data.split()]
+
+
 class ChunkTokens:
     """Token ids of texts by a public tokenizer, with the ids of frequent chunks kept.
 
     The tokenizer's normaliser and splitter never look across ASCII white
     space, so a text's ids are those of its chunks one after the other. It
-    lower-cases, so ASCII letters may be folded before a chunk is looked up,
-    unless a text may hold the name of a special token.
+    composes characters, then lower-cases, so chunks that are ASCII throughout
+    may be folded before they are looked up, unless a text may hold the name of
+    a special token. Other chunks are looked up as they stand: of J and a caron
+    only the small letter has a composed form.
     """
 
     def __init__(self, path: str, most: int = CACHED_CHUNKS):
@@ -123,7 +134,7 @@ class ChunkTokens:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         data = [(t or "").encode("utf-8", "replace") for t in texts]
-        chunks = [(d if b"<|" in d else d.lower()).split() for d in data]
+        chunks = [_folded(d) for d in data]
         fresh = list(set().union(*chunks).difference(self.known)) if chunks else []
         if fresh:
             if len(self.known) + len(fresh) > self.most:

@@ -32,6 +32,13 @@ def test_ids_are_the_tokenizers(most):
     assert [x.tolist() for x in tokens.encode(TEXTS)] == plain(TEXTS)
 
 
+def test_letters_that_only_compose_small():
+    texts = [f"one {a}{b} Two{a}{b}x" for a, b in ("J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a")] + ["E\u0301 \u0130 Z"]
+    tokens = ChunkTokens(PATH)
+    assert [x.tolist() for x in tokens.encode(texts)] == plain(texts)
+    assert [tokens.encode([t])[0].tolist() for t in texts] == plain(texts)
+
+
 def slow_differencing(sizes, n):
     """The textbook form, with whole vectors; gives the sums."""
     parts = [(size, i, [size] + [0] * (n - 1)) for i, size in enumerate(sizes)]
