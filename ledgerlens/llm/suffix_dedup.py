@@ -426,13 +426,19 @@ def covered(n: int, places: list[dict]) -> list[tuple[int, int]]:
 
 
 def suffix_dedup(
-    docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", group: int = GROUP
+    docs: DataFrame,
+    carry: tuple[str, ...] = (),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    group: int = GROUP,
+    decoded: bool = False,
 ) -> DataFrame:
     """(id, ``carry`` columns, n_bytes, n_removed, n_spans, kept): rows without their repeated bytes.
 
     A byte goes if a 200-byte string that covers it starts anywhere else as
     well, in another row or the same, overlapping itself or not, judged on the
-    texts as given. ``kept`` is binary, as a cut may fall inside a character.
+    texts as given. ``kept`` is binary, as a cut may fall inside a character;
+    ``decoded`` makes it text, without the bytes that a cut has broken.
     ``n_spans`` counts maximal runs of removed bytes.
 
     A missing text is empty. Texts of fewer than 200 bytes lose nothing.
@@ -450,7 +456,7 @@ def suffix_dedup(
     names = [id_col, *carry, "n_bytes", "n_removed", "n_spans", "kept"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string() if decoded else pa.binary())
 
         def settle(batch: pa.RecordBatch, start: int, out: list[tuple]) -> pa.RecordBatch:
             own = [batch.column(c).slice(start, len(out)) for c in (0, *range(3, 3 + len(carry)))]
@@ -463,7 +469,7 @@ def suffix_dedup(
                 spans = covered(len(data), places) if places else []
                 cuts = [0, *(x for s in spans for x in s), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
-                out.append((len(data), len(data) - len(kept), len(spans), kept))
+                out.append((len(data), len(data) - len(kept), len(spans), kept.decode(errors="ignore") if decoded else kept))
                 held += len(kept)
                 if held > 1 << 22:
                     yield settle(batch, start, out)
@@ -472,5 +478,5 @@ def suffix_dedup(
                 yield settle(batch, start, out)
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *carry)]
-    fields += ["n_bytes bigint", "n_removed bigint", "n_spans bigint", "kept binary"]
+    fields += ["n_bytes bigint", "n_removed bigint", "n_spans bigint", "kept string" if decoded else "kept binary"]
     return joined.select("_id", "_data", "_ranges", *(f"_c_{c}" for c in carry)).mapInArrow(cut, ", ".join(fields))
