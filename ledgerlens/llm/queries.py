@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.ann import nearest
 from ledgerlens.llm.common import Scratch, table
+from ledgerlens.llm.exact_dedup import exact_dedup
 from ledgerlens.llm.line_dedup import frequent_line_dedup
 from ledgerlens.llm.packing import pack_documents
 from ledgerlens.llm.quality import BASE, fit_quality, judge_quality
@@ -121,6 +122,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -174,6 +179,15 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
+OP11_SQL = """
+WITH texts AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g') AS norm FROM documents
+)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = min(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
+FROM texts WINDOW same AS (PARTITION BY norm)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -185,9 +199,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_segmentation": op8_segmentation,
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op6_url_filter": OP6_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_exact_dedup": OP11_SQL,
 }
