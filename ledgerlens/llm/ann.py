@@ -15,10 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import Scratch
+from ledgerlens.llm.common import Scratch, below
 
 _SPREAD = np.float32  # what the index compares in; scores are doubles
 
@@ -239,22 +240,21 @@ def nearest(
     if widths is None:
         return empty
     rows = rows.where(F.size("_v") == widths["_w"])
-    # The sample: the smallest hashes of the ids, a bounded number.
-    sample = _matrix(
-        rows.orderBy(F.xxhash64("_id"), "_id").limit(settings.sample).select("_v").toArrow().column(0)
-    )
+    # The sample: ids whose hash is below a bound that so many pass; the others never leave their tasks.
+    sample = _matrix(below(rows, settings.sample / widths["_n"], "_id").select("_id", "_v").orderBy("_id").toArrow().column(1))
     n = int(min(settings.max_centroids, max(1, widths["_n"] // settings.rows_per_list), max(1, len(sample) // 2)))
     graph = CentroidGraph.build(balanced_centroids(sample, n), settings.degree)
-    shared = spark.sparkContext.broadcast(graph)
+    # As bytes that carry the class along: workers need no copy of the package to read them.
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(graph))
     reach = Reach.fit(graph, sample, k, settings)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = settings
+        s, graph = settings, cloudpickle.loads(shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 x = _matrix(part.column(1)).astype(_SPREAD)
-                ids, near = lists_of(shared.value, x, s)
+                ids, near = lists_of(graph, x, s)
                 row, copy = np.nonzero(near)
                 yield pa.record_batch(
                     [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(ids[row, copy].astype(np.int32)), pa.array(copy == 0)],
@@ -268,23 +268,28 @@ def nearest(
     sizes = spark.sparkContext.broadcast(np.array([counts.get(i, (0, 0))[1] for i in range(len(graph.centre))]))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = cloudpickle.loads(shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                x = _matrix(part.column(1)).astype(_SPREAD)
-                ids, dist = shared.value.search(x, reach.lists, max(reach.lists, settings.beam))
-                within = (dist <= reach.ratio**2 * np.maximum(dist[:, :1], reach.least**2) + 1e-12) & np.isfinite(dist)
-                held = np.cumsum(sizes.value[ids], axis=1)
-                within[:, 1:] |= held[:, :-1] <= k
-                for r in np.flatnonzero((held[:, -1] <= k) | ~np.isfinite(dist).all(axis=1)):
-                    # The walk's lists hold too few rows: take all lists, nearest first, until there are enough.
-                    order = np.argsort(_distances(x[r : r + 1], shared.value.centre)[0], kind="stable")
-                    need = int(np.searchsorted(np.cumsum(sizes.value[order]), k, side="right")) + 1
-                    lists = order[: max(need, 1)]
-                    yield _choice(part.slice(int(r), 1), np.zeros(len(lists), np.int64), lists)
-                    within[r] = False
-                row, place = np.nonzero(within)
-                yield _choice(part, row, ids[row, place])
+                x, lists = _matrix(part.column(1)).astype(_SPREAD), reach.lists
+                while part.num_rows:
+                    ids, dist = graph.search(x, lists, max(lists, settings.beam))
+                    within = (dist <= reach.ratio**2 * np.maximum(dist[:, :1], reach.least**2) + 1e-12) & np.isfinite(dist)
+                    held = np.cumsum(sizes.value[ids], axis=1)
+                    # Where the last list found is still inside the ratio, there may be more: walk again, twice as far.
+                    further = within[:, -1] & (lists < len(graph.centre))
+                    within[:, 1:] |= held[:, :-1] <= k
+                    for r in np.flatnonzero(((held[:, -1] <= k) | ~np.isfinite(dist).all(axis=1)) & ~further):
+                        # The walk's lists hold too few rows: take all lists, nearest first, until there are enough.
+                        order = np.argsort(_distances(x[r : r + 1], graph.centre)[0], kind="stable")
+                        need = int(np.searchsorted(np.cumsum(sizes.value[order]), k, side="right")) + 1
+                        taken = order[: max(need, 1)]
+                        yield _choice(part.slice(int(r), 1), np.zeros(len(taken), np.int64), taken)
+                        within[r] = False
+                    row, place = np.nonzero(within & ~further[:, None])
+                    yield _choice(part, row, ids[row, place])
+                    part, x, lists = part.filter(pa.array(further)), x[further], min(2 * lists, len(graph.centre))
 
     def _choice(part: pa.RecordBatch, row: np.ndarray, lists: np.ndarray) -> pa.RecordBatch:
         take = pa.array(row)

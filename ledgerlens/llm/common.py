@@ -34,6 +34,11 @@ def two_hashes(*columns: Column | str) -> list[Column]:
     ]
 
 
+def below(df: DataFrame, share: float, *columns: Column | str) -> DataFrame:
+    """About this share of the rows, by the hash of ``columns``: a sample that is settled where rows are read."""
+    return df if share >= 1 else df.where(F.xxhash64(*columns) < int((share - 0.5) * 2**64))
+
+
 class Scratch:
     """Intermediate tables under the shared folder, dropped when nothing reads them any more."""
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import Scratch, key_runs
+from ledgerlens.llm.common import Scratch, below, key_runs
 
 WINDOW = 200
 REACH = 150  # positions of a window that may be its anchor
@@ -291,7 +291,9 @@ def _splitters(rows: DataFrame, n: int) -> list[bytes]:
     """Up to ``n - 1`` bounds between ranges of shared bytes, from a bounded sample of documents."""
     if n < 2:
         return []
-    sample = _compact(rows).orderBy(F.xxhash64("_id", "_tag")).limit(SAMPLE_DOCS).select(F.substring("_data", 1, 100_000).alias("_data"))
+    # Rows whose hash is below a bound that so many pass: other texts never leave their tasks.
+    share = SAMPLE_DOCS / max(1, rows.count())
+    sample = _compact(below(rows, share, "_id", "_tag")).select(F.substring("_data", 1, 100_000).alias("_data"))
     seen = sorted({d[p : p + SHARED] for d in sample.toArrow().column(0).to_pylist() for p in anchors(d)[0].tolist()})
     return [seen[len(seen) * i // n] for i in range(1, n)] if seen else []
 
