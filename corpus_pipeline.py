@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.line_dedup import frequent_line_dedup
-from ledgerlens.llm.near import near_components
 from ledgerlens.llm.packing import pack_documents
 from ledgerlens.llm.quality import fit_quality, judge_quality
 from ledgerlens.llm.queries import tokenizer_path
+from ledgerlens.llm.simhash import MAX_BITS, simhash_components
 from ledgerlens.llm.suffix_dedup import suffix_dedup
 from ledgerlens.session import materialise
 
@@ -31,18 +31,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id.
+    """One document of each group of near copies: fingerprints of four-word shingles, linked at four bits or fewer.
 
-    Near copies have 0.8 or more of their five-word shingles in common, of those that either has.
-    Rows that repeat an id are one document; of several, one stays. Rows without an id all stay.
+    The one with the smallest id stays; of rows that repeat an id, the one
+    with the smallest hash of its text, and of rows that are alike, one. Rows
+    without an id are documents too, behind all ids. Texts without words are
+    near copies of each other.
     """
-    groups = near_components(docs)
-    stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.select(*COLUMNS).join(stay, "doc_id", "left_semi")
-    least = F.min(F.struct(*COLUMNS[1:])).alias("_row")
-    return named.groupBy("doc_id").agg(least).select("doc_id", "_row.*").unionByName(
-        docs.where("doc_id IS NULL").select(*COLUMNS)
-    )
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    named = docs.select(*COLUMNS, key.alias("_key"))
+    groups = simhash_components(named, MAX_BITS, id_col="_key")
+    stay = groups.where(F.col("_key") == F.col("component_id")).select("_key").distinct()
+    least = F.min(F.struct(*COLUMNS)).alias("_row")
+    return named.join(stay, "_key", "left_semi").groupBy("_key").agg(least).select("_row.*")
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,35 +1,43 @@
 """Exact top-k of many queries over a large corpus without forming the pairs.
 
 A scorer turns a block of corpus rows and a block of queries into a score
-matrix inside a task; only the best ``k`` of a task leave it. The corpus is
-read in place, without a shuffle or a copy. Queries are broadcast, in parts of
-bounded size: the corpus is scanned once per part, and most inputs have one.
-
-The last step ranks the few rows that all tasks kept. The same scan also tells
-the scores and the exact ranks of given pairs, which a fusion of lists needs.
+matrix inside a task; only rows that can be among the best ``k`` of all leave
+it. The corpus is read in place, without a shuffle or a copy. Queries are
+broadcast, in parts of bounded size, one part at a time: the corpus is scanned
+once per part, and most inputs have one.
+
+Rows that leave a task must reach the k-th best score of a few splits, which
+are scored first. The last step ranks the few rows that all tasks kept. The
+same scan also tells the scores of given pairs, how scores are spread, and the
+exact ranks of given pairs, which a fusion of lists needs.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.operators.ranking import top_per_group
+from ledgerlens.session import materialise
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Sizes that bound a broadcast and the memory of a task."""
+    """Sizes that bound a broadcast and the memory of a task, and which splits are scored first."""
 
     broadcast_bytes: int = 64 << 20
     queries_per_block: int = 2048
     cells_per_step: int = 4_000_000
+    floor_every: int = 16  # the last of every so many splits; inputs of fewer splits have no floor
 
 
 @dataclass(frozen=True)
@@ -40,10 +48,18 @@ class QuerySize:
     bytes: int
 
 
-# (query block) -> ((corpus rows) -> scores[row, query]; -inf means "no match")
-Scorer = Callable[[pa.Table], Callable[[pa.Table], np.ndarray]]
+class Prepared(NamedTuple):
+    """Scores of corpus rows against a block of queries (``-inf`` is no match), and the span of each query's scores."""
+
+    score: Callable[[pa.Table], np.ndarray]
+    low: np.ndarray
+    high: np.ndarray
+
+
+Scorer = Callable[[pa.Table], Prepared]  # of a block of queries
 
 SCORE_DIGITS = 6
+BINS = 1024  # of a query's scores
 
 
 def rounded(scores: np.ndarray) -> np.ndarray:
@@ -52,18 +68,17 @@ def rounded(scores: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The best k rows per query seen so far, by rounded score and then id."""
+    """The best k rows per query seen so far, by rounded score and then id; rows below the floors are not kept."""
 
-    def __init__(self, k: int, n_queries: int):
+    def __init__(self, k: int, floor: np.ndarray):
         self.k = k
-        self.floor = np.full(n_queries, -np.inf)
+        self.floor = floor.copy()
         self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.waiting = 0
-        self.room = max(k * n_queries, 100_000)
+        self.room = max(k * len(floor), 100_000)
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
         # A score that is no number is no match; left in, it would crowd out those that are.
-        scores = rounded(scores)
         take = min(self.k, len(ids))
         kth = np.partition(scores, len(ids) - take, axis=0)[len(ids) - take]
         row, query = np.nonzero((scores >= np.maximum(kth, self.floor)) & (scores > -np.inf))
@@ -88,63 +103,117 @@ class _Best:
         return self.kept[0]
 
 
-def _blocks(queries: pa.Table, limits: Limits) -> Iterator[pa.Table]:
+class _Pairs:
+    """Given pairs of a block of queries, by corpus key."""
+
+    def __init__(self, keys: np.ndarray, query: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.query = keys[order], query[order]
+
+    def among(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, query) of the pairs whose key is one of ``ids``."""
+        first, last = np.searchsorted(self.keys, ids, "left"), np.searchsorted(self.keys, ids, "right")
+        n = last - first
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        return np.repeat(np.arange(len(ids)), n), self.query[at]
+
+
+def _blocks(queries: pa.Table, limits: Limits) -> Iterator[tuple[int, pa.Table]]:
     for start in range(0, queries.num_rows, limits.queries_per_block):
-        yield queries.slice(start, limits.queries_per_block).combine_chunks()
+        yield start, queries.slice(start, limits.queries_per_block).combine_chunks()
 
 
-def _steps(rows: pa.Table, n_queries: int, limits: Limits) -> Iterator[pa.Table]:
-    step = max(1, limits.cells_per_step // n_queries)
+def _steps(rows: pa.Table, width: int, limits: Limits) -> Iterator[pa.Table]:
+    step = max(1, limits.cells_per_step // max(width, 1))
     for start in range(0, rows.num_rows, step):
         yield rows.slice(start, step)
 
 
-def _scan(
-    queries: pa.Table, batches: Iterator[pa.Table], scorer: Scorer, k: int, schema: pa.Schema, limits: Limits
-) -> Iterator[pa.Table]:
-    """Score all rows against all queries, a block of queries at a time, and give the best."""
-    blocks = [(b.column(0), scorer(b), _Best(k, b.num_rows)) for b in _blocks(queries, limits)]
-    for rows in batches:
-        for query_ids, score, best in blocks:
+def over_parts(queries: DataFrame, size: QuerySize, limits: Limits, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` for parts of the queries that are as small as a broadcast may be, one after the other.
+
+    Parts are cut by the hash of the query key. Where there are several, the
+    result of each is written before the next one is collected, so the driver
+    holds one at a time.
+    """
+    n = max(1, -(-size.bytes // max(limits.broadcast_bytes, 1)))
+    n = min(n, max(1, size.count))
+    if n == 1:
+        return work(queries)
+    part = F.pmod(F.xxhash64(queries.columns[0]), F.lit(n))
+    return functools.reduce(DataFrame.unionByName, [materialise(work(queries.where(part == i)), "part") for i in range(n)])
+
+
+def _read(corpus: DataFrame, queries: pa.Table, fields: T.StructType, work) -> DataFrame:
+    """``work(queries, corpus batches)`` in every task of the corpus."""
+    shared = corpus.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if shared.value.num_rows:
+            for found in work(shared.value, (pa.Table.from_batches([b]) for b in batches if b.num_rows)):
+                yield from found.to_batches()
+
+    return corpus.mapInArrow(run, fields)
+
+
+def _fields(queries: pa.Table, corpus: DataFrame, *more: tuple[str, T.DataType]) -> tuple[T.StructType, pa.Schema]:
+    from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
+
+    key = queries.schema.field(0)
+    fields = T.StructType([T.StructField(key.name, from_arrow_type(key.type)), corpus.schema[0], *(T.StructField(n, t) for n, t in more)])
+    return fields, pa.schema([(f.name, to_arrow_type(f.dataType)) for f in fields])
+
+
+def _top_scan(queries: pa.Table, tables: Iterator[pa.Table], scorer: Scorer, k: int, floor: np.ndarray, schema: pa.Schema, limits: Limits):
+    """The best rows of the given ones for every query."""
+    blocks = [(b.column(0), scorer(b), _Best(k, floor[at : at + b.num_rows])) for at, b in _blocks(queries, limits)]
+    for rows in tables:
+        for query_ids, prepared, best in blocks:
             for part in _steps(rows, len(query_ids), limits):
-                best.add(part.column(0).to_numpy(), score(part))
+                best.add(part.column(0).to_numpy(), rounded(prepared.score(part)))
     for query_ids, _, best in blocks:
         settled = best.settle()
         if settled is not None:
             query, score, ids = settled
-            yield pa.table(
-                [query_ids.take(pa.array(query)), pa.array(ids), pa.array(score)],
-                names=schema.names,
-            ).cast(schema)
+            yield pa.table([query_ids.take(pa.array(query)), pa.array(ids), pa.array(score)], names=schema.names).cast(schema)
 
 
-def _over_parts(queries: DataFrame, corpus: DataFrame, size: QuerySize, limits: Limits, work, fields: T.StructType) -> DataFrame:
-    """``work(queries, corpus batches)`` in every task of the corpus, for each part of the queries in turn.
+def score_floors(queries: pa.Table, corpus: DataFrame, scorer: Scorer, k: int, limits: Limits) -> np.ndarray:
+    """For every query the exact k-th best score of a few splits, which the k-th best of all cannot fall short of.
 
-    Parts are cut by the hash of the query key; each is collected and
-    broadcast by itself, at most ``broadcast_bytes`` at a time.
+    Splits that are not chosen are not read. Where the chosen ones hold fewer
+    than ``k`` rows of a query, it has no floor.
     """
-    n = max(1, -(-size.bytes // max(limits.broadcast_bytes, 1)))
-    n = min(n, max(1, size.count))
-    out = None
-    for i in range(n):
-        part = queries if n == 1 else queries.where(F.pmod(F.xxhash64(queries.columns[0]), F.lit(n)) == i)
-        shared = queries.sparkSession.sparkContext.broadcast(part.toArrow())
+    fields, schema = _fields(queries, corpus, ("score", T.DoubleType()))
+    open_floor = np.full(queries.num_rows, -np.inf)
+
+    def some(part: pa.Table, tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
+        from pyspark import TaskContext
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            tables = (pa.Table.from_batches([b]) for b in batches if b.num_rows)
-            if shared.value.num_rows:
-                for found in work(shared.value, tables):
-                    yield from found.to_batches()
+        if TaskContext.get().partitionId() % limits.floor_every == limits.floor_every - 1:
+            yield from _top_scan(part, tables, scorer, k, open_floor, schema, limits)
 
-        one = corpus.mapInArrow(run, fields)
-        out = one if out is None else out.unionByName(one)
-    return out
+    key, corpus_key = fields[0].name, fields[1].name
+    kept = top_per_group(_read(corpus, queries, fields, some), key, [F.desc("score"), F.asc(corpus_key)], k)
+    # A row per query at most.
+    found = kept.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("score")).where(F.col("n") == k).toArrow()
+    at = pc.index_in(found.column(0).cast(queries.column(0).type), value_set=queries.column(0).combine_chunks()).to_numpy()
+    floor = open_floor.copy()
+    floor[at] = found.column("score").to_numpy()
+    return floor
 
 
-def _fields(queries: DataFrame, corpus: DataFrame, name: str, kind: T.DataType) -> tuple[T.StructType, pa.Schema]:
-    fields = T.StructType([queries.schema[0], corpus.schema[0], T.StructField(name, kind)])
-    return fields, pa.schema([(f.name, _arrow_type(f.dataType)) for f in fields])
+def topk_candidates(queries: pa.Table, corpus: DataFrame, scorer: Scorer, k: int, limits: Limits) -> DataFrame:
+    """(query key, corpus key, score): what leaves the tasks, at most k rows per query and task, none below the floor."""
+    fields, schema = _fields(queries, corpus, ("score", T.DoubleType()))
+    floor = score_floors(queries, corpus, scorer, k, limits)
+    return _read(corpus, queries, fields, lambda part, tables: _top_scan(part, tables, scorer, k, floor, schema, limits))
+
+
+def part_topk(queries: pa.Table, corpus: DataFrame, scorer: Scorer, k: int, limits: Limits = Limits()) -> DataFrame:
+    """(query key, corpus key, score, rank) of the best ``k`` corpus rows for each of one part of the queries."""
+    kept = topk_candidates(queries, corpus, scorer, k, limits)
+    return top_per_group(kept, kept.columns[0], [F.desc("score"), F.asc(kept.columns[1])], k)
 
 
 def blocked_topk(
@@ -153,101 +222,95 @@ def blocked_topk(
     """(query key, corpus key, score, rank) of the best ``k`` corpus rows per query.
 
     The first column of each input is its unique key; corpus keys are numbers.
-    The second corpus column is an array, the vector or the terms.
+    The other corpus columns are what the scorer reads.
     """
-    fields, arrow = _fields(queries, corpus, "score", T.DoubleType())
+    return over_parts(queries, size, limits, lambda part: part_topk(part.toArrow(), corpus, scorer, k, limits))
 
-    def best(part: pa.Table, tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
-        return _scan(part, tables, scorer, k, arrow, limits)
 
-    kept = _over_parts(queries, corpus, size, limits, best, fields)
-    return top_per_group(kept, queries.columns[0], [F.desc("score"), F.asc(corpus.columns[0])], k)
+def _bins(scores: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The bin of each score in its query's span; higher scores are in the same or a higher one."""
+    with np.errstate(invalid="ignore"):
+        share = (scores - low) / np.where(high > low, high - low, 1)
+    return np.clip(np.floor(np.nan_to_num(share, neginf=0) * BINS), 0, BINS - 1).astype(np.int64)
 
 
-def _with_lists(queries: DataFrame, pairs: DataFrame, *columns: str) -> tuple[DataFrame, int]:
-    """Queries that have pairs, with the pairs' columns as arrays at the end, and a pair's size."""
-    key = queries.columns[0]
-    lists = pairs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_pairs"))
-    return queries.join(lists, key).select(*queries.columns, *(f"_pairs.{c}" for c in columns)), 16 * len(columns)
+def top_and_spread(
+    queries: pa.Table, corpus: DataFrame, pairs: pa.Table, scorer: Scorer, k: int, limits: Limits = Limits()
+) -> DataFrame:
+    """(query key, corpus key, score, bin, rows) from one scan, for one part of the queries.
 
+    Three kinds of rows: the best ``k`` of each task (no bin), given pairs
+    (bin, no rows), and how many rows of the task each bin of a query holds
+    (no corpus key). ``pairs`` has (query number, corpus key).
+    """
+    fields, schema = _fields(queries, corpus, ("score", T.DoubleType()), ("bin", T.LongType()), ("rows", T.LongType()))
+    number, keys = pairs.column(0).to_numpy(), pairs.column(1).to_numpy()
 
-def blocked_scores(
-    queries: DataFrame, corpus: DataFrame, pairs: DataFrame, scorer: Scorer, size: QuerySize, limits: Limits = Limits()
-) -> DataFrame:
-    """(query key, corpus key, score) of the given pairs of keys; pairs that do not match are left out."""
-    corpus_key = corpus.columns[0]
-    asked, each = _with_lists(queries, pairs, corpus_key)
-    fields, arrow = _fields(queries, corpus, "score", T.DoubleType())
+    def table(query_ids: pa.Array, query: np.ndarray, ids=None, score=None, bin_=None, rows=None) -> pa.Table:
+        columns = [query_ids.take(pa.array(query))]
+        columns += [pa.nulls(len(query), f.type) if c is None else pa.array(c) for c, f in zip((ids, score, bin_, rows), list(schema)[1:])]
+        return pa.table(columns, names=schema.names).cast(schema)
 
-    def find(part: pa.Table, tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
+    def read(part: pa.Table, tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
         blocks = []
-        for block in _blocks(part, limits):
-            lists = block.column(block.num_columns - 1).combine_chunks()
-            wanted = lists.flatten().to_numpy()
-            query = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            order = np.argsort(wanted, kind="stable")
-            blocks.append((block.column(0), scorer(block), wanted[order], query[order]))
+        for at, b in _blocks(part, limits):
+            own = (number >= at) & (number < at + b.num_rows)
+            counts = np.zeros((b.num_rows, BINS), np.int64)
+            blocks.append((b.column(0), scorer(b), _Best(k, np.full(b.num_rows, -np.inf)), _Pairs(keys[own], number[own] - at), counts))
         for rows in tables:
-            for query_ids, score, wanted, query in blocks:
-                ids = rows.column(0).to_numpy()
-                first, last = np.searchsorted(wanted, ids, "left"), np.searchsorted(wanted, ids, "right")
-                hit = np.flatnonzero(last > first)
-                for part_ in _steps(rows.take(pa.array(hit)), len(query_ids), limits):
-                    own, scores = part_.column(0).to_numpy(), rounded(score(part_))
-                    a, b = np.searchsorted(wanted, own, "left"), np.searchsorted(wanted, own, "right")
-                    row = np.repeat(np.arange(len(own)), b - a)
-                    pair = np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
-                    value = scores[row, query[pair]]
-                    some = value > -np.inf
-                    yield pa.table([query_ids.take(pa.array(query[pair][some])), pa.array(own[row][some]), pa.array(value[some])], names=arrow.names).cast(arrow)
-
-    count = pairs.count()
-    return _over_parts(asked, corpus, QuerySize(size.count, size.bytes + each * count), limits, find, fields)
-
-
-def blocked_ranks(
-    queries: DataFrame, corpus: DataFrame, scored: DataFrame, scorer: Scorer, size: QuerySize, limits: Limits = Limits()
-) -> DataFrame:
-    """(query key, corpus key, rank): the exact rank of scored pairs among all corpus rows.
-
-    The scan counts the rows that beat each pair, by score and then by key;
-    only counts leave a task.
+            for query_ids, prepared, best, asked, counts in blocks:
+                for some in _steps(rows, len(query_ids), limits):
+                    ids, scores = some.column(0).to_numpy(), rounded(prepared.score(some))
+                    best.add(ids, scores)
+                    bins = _bins(scores, prepared.low, prepared.high)
+                    row, query = np.nonzero(scores > -np.inf)
+                    cell = query * BINS + bins[row, query]
+                    counts += np.bincount(cell, minlength=counts.size).reshape(counts.shape)
+                    row, query = asked.among(ids)
+                    found = scores[row, query] > -np.inf
+                    row, query = row[found], query[found]
+                    if len(row):
+                        yield table(query_ids, query, ids[row], scores[row, query], bins[row, query])
+        for query_ids, _, best, _, counts in blocks:
+            settled = best.settle()
+            if settled is not None:
+                yield table(query_ids, settled[0], settled[2], settled[1])
+            query, bin_ = np.nonzero(counts)
+            yield table(query_ids, query, bin_=bin_, rows=counts[query, bin_])
+
+    return _read(corpus, queries, fields, read)
+
+
+def part_ranks(queries: pa.Table, corpus: DataFrame, scored: pa.Table, scorer: Scorer, limits: Limits = Limits()) -> DataFrame:
+    """(query key, corpus key, rank): the exact rank of scored pairs among all corpus rows, for one part of the queries.
+
+    ``scored`` has (query number, corpus key, score). The scan counts the rows
+    that beat each pair, by score and then by key; only counts leave a task.
     """
-    query_key, corpus_key = queries.columns[0], corpus.columns[0]
-    asked, each = _with_lists(queries, scored, "score", corpus_key)
-    fields, arrow = _fields(queries, corpus, "_ahead", T.LongType())
+    fields, schema = _fields(queries, corpus, ("_ahead", T.LongType()))
+    number, keys, bars = (scored.column(i).to_numpy() for i in range(3))
 
     def count(part: pa.Table, tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
         blocks = []
-        for block in _blocks(part, limits):
-            bars = [block.column(block.num_columns - c).combine_chunks() for c in (2, 1)]
-            values, keys = (x.flatten().to_numpy() for x in bars)
-            blocks.append((block.column(0), scorer(block), bars[0].offsets.to_numpy(), values, keys, np.zeros(len(keys), np.int64)))
-        for rows in tables:
-            for query_ids, score, at, values, keys, ahead in blocks:
-                at0 = at - at[0]
-                for part_ in _steps(rows, len(query_ids), limits):
-                    ids, scores = part_.column(0).to_numpy(), rounded(score(part_))
-                    for q in range(len(query_ids)):
-                        low, high = at0[q], at0[q + 1]
-                        bars, own = values[low:high], scores[:, q]
-                        # Bars are in rising order: a row is ahead of all that lie below its score.
-                        above = np.bincount(np.searchsorted(bars, own, "left"), minlength=high - low + 1)
-                        ahead[low:high] += np.cumsum(above[::-1])[::-1][1:]
-                        for level in np.intersect1d(bars, own):
-                            tied = np.sort(ids[own == level])
-                            same = low + np.flatnonzero(bars == level)
-                            ahead[same] += np.searchsorted(tied, keys[same], "left")
-        for query_ids, _, at, _, keys, ahead in blocks:
-            query = np.repeat(np.arange(len(query_ids)), np.diff(at))
-            yield pa.table([query_ids.take(pa.array(query)), pa.array(keys), pa.array(ahead)], names=arrow.names).cast(arrow)
-
-    n = scored.count()
-    counts = _over_parts(asked, corpus, QuerySize(size.count, size.bytes + each * n), limits, count, fields)
-    return counts.groupBy(query_key, corpus_key).agg((F.sum("_ahead") + 1).alias("rank"))
-
-
-def _arrow_type(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
+        for at, b in _blocks(part, limits):
+            own = np.flatnonzero((number >= at) & (number < at + b.num_rows))
+            if not len(own):
+                continue
+            # Only queries that have pairs are scored.
+            asked, query = np.unique(number[own] - at, return_inverse=True)
+            few = b.take(pa.array(asked))
+            blocks.append((few.column(0), scorer(few), own, query, np.zeros(len(own), np.int64)))
+        # Nothing to count, nothing to read.
+        for rows in tables if blocks else ():
+            for _, prepared, own, query, ahead in blocks:
+                for some in _steps(rows, len(own), limits):
+                    ids, scores = some.column(0).to_numpy(), rounded(prepared.score(some))[:, query]
+                    ahead += (scores > bars[own]).sum(axis=0)
+                    row, pair = np.nonzero(scores == bars[own])
+                    before = ids[row] < keys[own][pair]
+                    ahead += np.bincount(pair[before], minlength=len(own))
+        for query_ids, _, own, query, ahead in blocks:
+            yield pa.table([query_ids.take(pa.array(query)), pa.array(keys[own]), pa.array(ahead)], names=schema.names).cast(schema)
+
+    counts = _read(corpus, queries, fields, count)
+    return counts.groupBy(*counts.columns[:2]).agg((F.sum("_ahead") + 1).alias("rank"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.blocked_topk import Limits, QuerySize, blocked_topk
+from ledgerlens.operators.blocked_topk import Limits, Prepared, QuerySize, blocked_topk
 
 
 def _matrix(rows: pa.Table) -> np.ndarray:
@@ -15,7 +15,7 @@ def _matrix(rows: pa.Table) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(np.float64)
 
 
-def _cosine(queries: pa.Table):
+def cosine(queries: pa.Table) -> Prepared:
     q = _matrix(queries)
     q /= np.linalg.norm(q, axis=1, keepdims=True)
 
@@ -23,7 +23,7 @@ def _cosine(queries: pa.Table):
         x = _matrix(rows)
         return (x @ q.T) / np.linalg.norm(x, axis=1, keepdims=True)
 
-    return score
+    return Prepared(score, np.full(len(q), -1.0), np.ones(len(q)))
 
 
 def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -64,4 +64,4 @@ def vector_topk(
     vectors of another length than the longest query.
     """
     q, c, size = prepared_vectors(queries, corpus, query_key, corpus_key, vector)
-    return blocked_topk(q, c, _cosine, k, size, limits)
+    return blocked_topk(q, c, cosine, k, size, limits)

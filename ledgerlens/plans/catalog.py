@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import routing, text
 from ledgerlens.functions.calendar import months_of_quarter
-from ledgerlens.operators import assembly, chunking, fusion, keyword_search, kpi, ranking
+from ledgerlens.operators import assembly, chunking, fusion, keyword_search, kpi, period_bitmaps, ranking
 from ledgerlens.operators.hybrid import hybrid_topk
+from ledgerlens.operators.inverted_index import index_topk, open_index, write_segment
 from ledgerlens.operators.lexical_search import bm25_topk
 from ledgerlens.operators.vector_search import vector_topk
 from ledgerlens.plans import answer, ingest, metrics, standins
 from ledgerlens.schemas import KPI_TABLES
 from ledgerlens.plans.standins import spread
 from ledgerlens.session import materialise, new_path, tune
-from ledgerlens.sources import chunk_store, files, pages
+from ledgerlens.sources import chunk_store, files, ledger, pages
+from ledgerlens.sources.chunk_table import ChunkTable
 from ledgerlens.sources.tables import table
-from ledgerlens.streaming import sync
+from ledgerlens.streaming import feed, snapshots, sync
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,6 +95,25 @@ def s6_reset_table(spark, d):
     return ingest.ingest_documents(spark, documents, target, "append", 100).select(*_CHUNK)
 
 
+def _chunks_of(documents, max_tokens=100):
+    return chunk_store.with_chunk_id(chunking.chunk_fixed(documents, max_tokens=max_tokens), "source_file", "doc_id")
+
+
+def _refreshed(spark, d):
+    """A chunk table with all documents, some of whose sources were loaded again."""
+    documents = standins.corpus(spark, d)
+    chunks = ChunkTable(spark, new_path(spark, "chunk-table"))
+    chunks.commit(_chunks_of(documents))
+    again = documents.where(F.col("source_file").endswith("3")).select("source_file")
+    chunks.commit(_chunks_of(standins.revised(documents, table(spark, d, "labels"))), again)
+    return chunks
+
+
+@query
+def s6_partial_refresh(spark, d):
+    return _refreshed(spark, d).scan().select(*_CHUNK)
+
+
 @query
 def s7_scan_chunks(spark, d):
     target = new_path(spark, "document_chunks")
@@ -112,6 +133,19 @@ def s8_ingest_summary(spark, d):
     return chunk_store.ingest_summary(documents, chunking.chunk_fixed(documents), "doc_id")
 
 
+@query
+def s8_ingest_ledger(spark, d):
+    """Chunks of all sources, some of which are blank, and a folder of CSV files, one of which clashes with another."""
+    target, folder = new_path(spark, "ingested"), new_path(spark, "csv-folder")
+    blank = F.when(~F.col("source_file").endswith("3"), F.col("text")).otherwise("")
+    ledger.ingest_chunks(standins.corpus(spark, d).withColumn("text", blank), target, "first")
+    kpis = standins.kpi_tables(spark, d)
+    names = {f"{name}.csv": df for name, df in kpis.items()} | {"kyc-edd kpi.csv": kpis["kyc_edd_kpi"]}
+    standins.csv_folder(names, folder)
+    ledger.ingest_tables(spark, folder, target, "first")
+    return ledger.read_ledger(spark, target).drop("error")
+
+
 # --- chunking and text preparation -----------------------------------------
 
 
@@ -317,6 +351,18 @@ def k10_high_risk_customers(spark, d):
     return kpi.high_risk_customers(standins.kyc_edd(spark, d))
 
 
+@query
+def k10_customers_by_period(spark, d):
+    """From stored months, one of which is loaded again."""
+    path, group = new_path(spark, "months"), ("c_nationkey",)
+    bitmaps = period_bitmaps.month_bitmaps(standins.high_risk_orders(spark, d), group, "month", "c_custkey")
+    period_bitmaps.write_months(bitmaps, path)
+    period_bitmaps.write_months(bitmaps.where(F.col("month") == MONTH), path)
+    counts = period_bitmaps.customers_by_period(period_bitmaps.stored_months(spark, path, bitmaps.schema), group)
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("bank_name"))
+    return counts.join(nation, "c_nationkey").select("bank_name", "period", "customers")
+
+
 @query
 def k11_quarterly_volumes(spark, d):
     return kpi.quarterly_volumes(standins.str_filing(spark, d))
@@ -373,6 +419,16 @@ def v4_bm25_topk(spark, d):
     return bm25_topk(table(spark, d, "benchmark"), standins.corpus(spark, d), query_key="item_id")
 
 
+@query
+def v4_bm25_index(spark, d):
+    """From a stored index of two segments: the labelled documents, then the others."""
+    path, documents = new_path(spark, "index"), standins.corpus(spark, d)
+    labelled = table(spark, d, "labels").select("doc_id").distinct()
+    write_segment(documents.join(labelled, "doc_id", "left_semi"), path, 0)
+    write_segment(documents.join(labelled, "doc_id", "left_anti"), path, 1)
+    return index_topk(table(spark, d, "benchmark"), open_index(spark, path), query_key="item_id")
+
+
 @query
 def v5_hybrid_topk(spark, d):
     return hybrid_topk(
@@ -505,6 +561,18 @@ def t1_sync_chunks(spark, d):
     return chunks.select("doc_id", "source", "lang", "chunk_ord", "chunk_text")
 
 
+@query
+def t1_change_feed(spark, d):
+    """An index that follows a table's feed: all sources, some loaded again, some removed."""
+    target, checkpoint = new_path(spark, "chunk-index"), new_path(spark, "feed")
+    chunks = _refreshed(spark, d)
+    feed.sync_index(chunks, target, checkpoint)
+    gone = standins.corpus(spark, d).where(F.col("source_file").endswith("7")).select("source_file")
+    chunks.commit(chunks.scan().where("false"), gone)
+    feed.sync_index(chunks, target, checkpoint)
+    return feed.current_index(spark, target).select(*_CHUNK, "version")
+
+
 @query
 def t2_upsert_chunks(spark, d):
     """All documents, then new texts for the labelled ones, then the toxic ones deleted."""
@@ -539,3 +607,16 @@ def t3_changed_documents(spark, d):
         "text", text.clean_text(F.col("text"))
     )
     return sync.changed_documents(before, after)
+
+
+@query
+def t3_changed_chunks(spark, d):
+    """Chunks of all documents, and of the documents after some sources were loaded again."""
+    documents = standins.corpus(spark, d)
+    revised = standins.revised(documents, table(spark, d, "labels"))
+    after = documents.where(~F.col("source_file").endswith("3")).unionByName(revised)
+    paths, keys = [], ("doc_id", "chunk_ord")
+    for state in (documents, after):
+        paths.append(new_path(spark, "snapshot"))
+        snapshots.write_snapshot(chunking.chunk_fixed(state, max_tokens=100), paths[-1], keys, ("chunk_text", "file_type"))
+    return snapshots.changed_rows(spark, *paths, keys, ("chunk_text", "file_type"))

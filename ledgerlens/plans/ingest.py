@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerlens.operators.chunking import MAX_TOKENS, chunk_fixed
 from ledgerlens.schemas import KPI_TABLES
 from ledgerlens.sources.chunk_store import scan_chunks, with_chunk_id, write_chunks
-from ledgerlens.sources.files import Loaded, discover_files, load_csv, with_table_names
+from ledgerlens.sources.csv_folder import load_csv_folder
+from ledgerlens.sources.files import Loaded, load_csv
 
 
 def ingest_documents(
@@ -36,20 +36,8 @@ def ingest_kpi_csv(spark: SparkSession, csv_path: str, name: str, target: str) -
 def ingest_csv_folder(spark: SparkSession, directory: str, target: str) -> dict[str, Loaded]:
     """Load every CSV of a flat folder as a table; what became of each file, by file name.
 
-    Only file names come to the driver. A file that cannot be read does not
-    stop the others. Known tables get their declared schema. Of files whose
-    names give the same table, the first loads and the others are refused.
+    A file that cannot be read does not stop the others. Known tables get
+    their declared schema. Of files whose names give the same table, the first
+    loads and the others are refused.
     """
-    listed = with_table_names(discover_files(spark, directory).where(F.col("file_type") == "CSV"))
-    loaded: dict[str, Loaded] = {}
-    owner: dict[str, str] = {}
-    for row in listed.orderBy("file_name").toLocalIterator():
-        first = owner.setdefault(row.table_name, row.file_name)
-        if first != row.file_name:
-            loaded[row.file_name] = Loaded(error=f"{first} is loaded as {row.table_name} already")
-            continue
-        path = f"{directory.rstrip('/')}/{row.file_name}"
-        loaded[row.file_name] = load_csv(
-            spark, path, KPI_TABLES.get(row.table_name), f"{target}/{row.table_name}"
-        )
-    return loaded
+    return {name: loaded for name, (_, loaded) in load_csv_folder(spark, directory, target, KPI_TABLES).items()}

@@ -342,3 +342,30 @@ def embedded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return items.join(vectors, "query_id")
+
+
+def csv_folder(tables: dict[str, DataFrame], folder: str) -> None:
+    """Stand-in for a folder of CSV files: each table as one file with a header, under the given file name."""
+    for name, df in tables.items():
+        spark, draft = df.sparkSession, f"{folder}/_{name}"
+        df.coalesce(1).write.option("header", True).csv(draft)
+        files = spark._jvm.org.apache.hadoop.fs
+        place = files.Path(draft)
+        store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        part = next(f.getPath() for f in store.listStatus(place) if f.getPath().getName().startswith("part-"))
+        store.rename(part, files.Path(f"{folder}/{name}"))
+        store.delete(place, True)
+
+
+def high_risk_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c_nationkey, month, c_custkey): orders of customers in debt."""
+    customers = table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey", "c_nationkey")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), month_number(F.col("o_orderdate")).alias("_month"))
+    return orders.distinct().join(customers, "c_custkey").select("c_nationkey", month_label(F.col("_month")).alias("month"), "c_custkey")
+
+
+def revised(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents of the sources whose name ends in 3, with new texts and without the toxic ones."""
+    toxic = labels.where("toxic = 1").select("doc_id")
+    some = documents.where(F.col("source_file").endswith("3")).join(toxic, "doc_id", "left_anti")
+    return some.withColumn("text", F.concat(F.lit("Revised. "), F.col("text")))

@@ -525,6 +525,17 @@ VERSIONS = """latest AS (
          CASE WHEN l.doc_id IS NULL THEN text ELSE 'Revised. ' || text END AS text
   FROM documents LEFT JOIN labels l USING (doc_id) WHERE coalesce(toxic, 0) <> 1
 )"""
+STATE = """state AS (
+  SELECT corpus.* REPLACE (CASE WHEN source_file LIKE '%3' THEN 'Revised. ' || text ELSE text END AS text)
+  FROM corpus LEFT JOIN labels USING (doc_id) WHERE source_file NOT LIKE '%3' OR coalesce(toxic, 0) <> 1
+)"""
+
+
+def named_windows(name: str, source: str) -> str:
+    """CTE of that name: windows of 100 words."""
+    return windows(source, DOC_KEYS, "text", 100).replace("chunk_words", f"{name}_words").replace("chunks AS", f"{name} AS")
+
+
 CHUNK_COLUMNS = "source_file, file_type, chunk_ord, chunk_text, n_tokens"
 
 ORACLES: dict[str, str] = {
@@ -542,6 +553,8 @@ FROM (SELECT source || ' ' || lang || '-' || doc_id || '.csv' AS file_name FROM
     + f"SELECT {CHUNK_COLUMNS}, 1 AS id_count FROM chunks",
     "s6_reset_table": with_(CORPUS, windows("corpus", DOC_KEYS, "text", 100))
     + f"SELECT {CHUNK_COLUMNS} FROM chunks",
+    "s6_partial_refresh": with_(CORPUS, STATE, windows("state", DOC_KEYS, "text", 100))
+    + f"SELECT {CHUNK_COLUMNS} FROM chunks",
     "s7_scan_chunks": with_(CORPUS, DOMAIN, windows("domain", DOC_KEYS, "text", 500))
     + "SELECT source_file, chunk_ord, n_tokens FROM chunks",
     "s8_ingest_summary": with_(BLANKED, windows("blanked", "doc_id, file_type", "text", 500))
@@ -549,6 +562,23 @@ FROM (SELECT source || ' ' || lang || '-' || doc_id || '.csv' AS file_name FROM
        CAST(coalesce(sum(n), 0) AS BIGINT) AS chunks_stored
 FROM blanked LEFT JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) USING (doc_id)
 GROUP BY file_type""",
+    "s8_ingest_ledger": with_(
+        CORPUS, LINES, STR, CTR, KYC, SANCTIONS, TRAINING,
+        "blanked AS (SELECT * REPLACE (CASE WHEN source_file LIKE '%3' THEN '' ELSE text END AS text) FROM corpus)",
+        windows("blanked", DOC_KEYS, "text", 500),
+        """csvs AS (
+  SELECT 'str_filing_kpi' AS t, count(*) AS n FROM str_kpi UNION ALL SELECT 'ctr_reporting_kpi', count(*) FROM ctr_kpi
+  UNION ALL SELECT 'kyc_edd_kpi', count(*) FROM kyc_kpi UNION ALL SELECT 'sanctions_screening_kpi', count(*) FROM sanctions_kpi
+  UNION ALL SELECT 'training_compliance_kpi', count(*) FROM training_kpi
+)""",
+    )
+    + """SELECT 'first' AS run, source_file AS file_name, file_type, CASE WHEN n > 0 THEN 'loaded' ELSE 'empty' END AS status,
+       CASE WHEN n > 0 THEN 'chunks' END AS table_name, CAST(0 AS BIGINT) AS rows, CAST(0 AS BIGINT) AS bad_values,
+       coalesce(n, 0) AS chunks
+FROM (SELECT DISTINCT source_file, file_type FROM corpus)
+LEFT JOIN (SELECT source_file, file_type, count(*) AS n FROM chunks GROUP BY ALL) USING (source_file, file_type)
+UNION ALL SELECT 'first', CASE t WHEN 'kyc_edd_kpi' THEN 'kyc-edd kpi.csv' ELSE t || '.csv' END, 'CSV', 'loaded', t, n, 0, 0 FROM csvs
+UNION ALL SELECT 'first', 'kyc_edd_kpi.csv', 'CSV', 'failed', NULL, 0, 0, 0""",
     "c1_chunk_fixed": with_(CORPUS, windows("corpus", DOC_KEYS, "text", 500))
     + f"SELECT {DOC_KEYS}, chunk_ord, chunk_text, n_tokens FROM chunks",
     "c2_chunk_greedy": packed(60, [(PARAGRAPH, False)], hard=True),
@@ -626,6 +656,11 @@ FROM str_kpi WHERE avg_str_filing_days IS NOT NULL GROUP BY bank_name""",
     "k10_high_risk_customers": with_(KYC)
     + """SELECT bank_name, "month", CAST(sum(high_risk_customers) AS BIGINT) AS high_risk_customers
 FROM kyc_kpi GROUP BY bank_name, "month\"""",
+    "k10_customers_by_period": """SELECT n_name AS bank_name, period, count(DISTINCT c_custkey) AS customers
+FROM (SELECT n_name, c_custkey, unnest([strftime(o_orderdate, '%Y-%m'),
+             strftime(o_orderdate, '%Y') || '-Q' || quarter(o_orderdate), 'all']) AS period
+      FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal < 0)
+GROUP BY ALL""",
     "k11_quarterly_volumes": with_(LINES, STR)
     + """SELECT bank_name,
        left("month", 4) || '-Q' || ((CAST("month"[6:7] AS INTEGER) + 2) // 3) AS "quarter",
@@ -654,6 +689,7 @@ ORDER BY doc_id, chunk_ord LIMIT 3""",
     )
     + ")",
     "v4_bm25_topk": with_(bm25("benchmark", "item_id", "documents", 5)) + "SELECT * FROM lexical",
+    "v4_bm25_index": with_(bm25("benchmark", "item_id", "documents", 5)) + "SELECT * FROM lexical",
     "v5_hybrid_topk": with_(
         CORPUS,
         DOMAIN,
@@ -743,9 +779,16 @@ FROM routed LEFT JOIN (
     "t1_sync_chunks": with_(windows("documents", "doc_id, source, lang", "text", 500))
     + f"""SELECT * FROM (SELECT doc_id, source, lang, chunk_ord, {clean('chunk_text')} AS chunk_text FROM chunks)
 WHERE chunk_text <> ''""",
+    "t1_change_feed": with_(CORPUS, STATE, named_windows("was", "corpus"), named_windows("is_now", "state"))
+    + """SELECT n.source_file, n.file_type, n.chunk_ord, n.chunk_text, n.n_tokens,
+       CASE WHEN w.chunk_text = n.chunk_text AND w.n_tokens = n.n_tokens THEN 1 ELSE 2 END::BIGINT AS version
+FROM is_now n LEFT JOIN was w USING (doc_id, chunk_ord) WHERE n.source_file NOT LIKE '%7'""",
     "t2_upsert_chunks": with_(VERSIONS, windows("latest", "doc_id, version", "text", 500))
     + "SELECT doc_id, version, chunk_ord, chunk_text FROM chunks",
     "t3_changed_documents": f"""SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'new'
   WHEN toxic = 1 THEN 'removed' WHEN {clean('text')} <> text THEN 'changed' ELSE 'unchanged' END AS status
 FROM documents LEFT JOIN labels l USING (doc_id)""",
+    "t3_changed_chunks": with_(CORPUS, STATE, named_windows("was", "corpus"), named_windows("is_now", "state"))
+    + """SELECT doc_id, chunk_ord, CASE WHEN w.source_file IS NULL THEN 'new' WHEN n.source_file IS NULL THEN 'removed' ELSE 'changed' END AS status
+FROM was w FULL JOIN is_now n USING (doc_id, chunk_ord) WHERE w.chunk_text IS DISTINCT FROM n.chunk_text""",
 }
