@@ -17,6 +17,7 @@ import heapq
 import os
 import sys
 import types
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ MAX_PIECE = 256
 WINDOWS_PER_GROUP = 128
 SLACK = 0.005  # of a group's capacity, left free for what differencing cannot even out
 CACHED_CHUNKS = 400_000
+CACHED_BYTES = 32 << 20
+JOINED = 256  # new chunks that are given to the tokenizer as one text
 
 
 def difference_partition(sizes: list[int], n: int) -> list[list[int]]:
@@ -95,6 +98,26 @@ def _folded(data: bytes) -> list[bytes]:
     return [c.lower() if c.isascii() else c for c in data.split()]
 
 
+def _unchanged(chunk: bytes) -> bool:
+    """Does the tokenizer's normaliser leave a chunk as it is? What it does is checked all the same."""
+    if chunk.isascii():
+        # Folded already, unless the name of a special token may be in it.
+        return b"<|" not in chunk
+    text = chunk.decode()
+    return text == text.lower() and unicodedata.is_normalized("NFC", text)
+
+
+def _spellings(vocabulary: dict[str, int]) -> list[bytes]:
+    """The bytes that each id stands for; a word's end is none."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+    spelt = [b""] * (max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
+        spelt[i] = bytes(letters.get(c, 0) for c in token.removesuffix("</w>"))
+    return spelt
+
+
 class ChunkTokens:
     """Token ids of texts by a public tokenizer, with the ids of frequent chunks kept.
 
@@ -106,16 +129,19 @@ class ChunkTokens:
     only the small letter has a composed form.
     """
 
-    def __init__(self, path: str, most: int = CACHED_CHUNKS):
+    def __init__(self, path: str, most: int = CACHED_CHUNKS, most_bytes: int = CACHED_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.most_bytes = Tokenizer.from_file(path), most, most_bytes
+        self.spelt = _spellings(self.tokenizer.get_vocab(with_added_tokens=True))
+        self.lengths = np.fromiter(map(len, self.spelt), np.int64, len(self.spelt))
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.held = 0  # bytes of the known chunks
         self.ids = np.empty(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
         self.uses = np.zeros(0, np.int64)  # texts that used a chunk
@@ -123,30 +149,67 @@ class ChunkTokens:
     def _shrink(self) -> None:
         """Keep the chunks that came up again; most are seen once."""
         keep = self.uses > 1
-        if keep.sum() > self.most // 2:
+        held = sum(len(c) for c, i in self.known.items() if keep[i])
+        if keep.sum() > self.most // 2 or held > self.most_bytes // 2:
             return self._clear()
         size = np.diff(self.starts)
         self.ids = self.ids[np.repeat(keep, size)]
         self.starts = np.r_[0, np.cumsum(size[keep])]
         place = np.cumsum(keep) - 1
         self.known = {c: int(place[i]) for c, i in self.known.items() if keep[i]}
+        self.held = held
         self.uses = np.zeros(len(self.known), np.int64)
 
+    def _alone(self, chunks: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+
+    def _fresh(self, chunks: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Chunks in some order, their ids one after the other, and how many each has.
+
+        Chunks that the tokenizer does not change go to it many at a time,
+        with spaces between them: their ids spell them byte for byte, so the
+        bytes tell where each begins. Where they do not, and for all others,
+        it is asked chunk by chunk.
+        """
+        plain = [c for c in chunks if _unchanged(c)]
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        single = [c for c in chunks if not _unchanged(c)]
+        order: list[bytes] = []
+        ids, sizes = [], []
+        for group, found in zip(groups, self._alone([b" ".join(g) for g in groups]) if groups else ()):
+            if b"".join(map(self.spelt.__getitem__, found)) != b"".join(group):
+                single += group
+                continue
+            own = np.array(found, np.uint32)
+            ends = np.cumsum(self.lengths[own])
+            bounds = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)))
+            order += group
+            ids.append(own)
+            sizes.append(np.diff(np.searchsorted(ends, bounds, "right"), prepend=0))
+        if single:
+            found = self._alone(single)
+            order += single
+            ids.append(np.fromiter((i for x in found for i in x), np.uint32))
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        return order, np.concatenate(ids), np.concatenate(sizes)
+
+    def _append(self, chunks: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
+        self.held += sum(map(len, chunks))
+        self.ids = np.concatenate([self.ids, flat])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(chunks), np.int64)])
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         data = [(t or "").encode("utf-8", "replace") for t in texts]
         chunks = [_folded(d) for d in data]
-        fresh = list(set().union(*chunks).difference(self.known)) if chunks else []
+        every = set().union(*chunks)
+        fresh = every.difference(self.known)
         if fresh:
-            if len(self.known) + len(fresh) > self.most:
+            if self.known and (len(self.known) + len(fresh) > self.most or self.held > self.most_bytes):
                 self._shrink()
-                fresh = list(set().union(*chunks).difference(self.known))
-            new = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in fresh], add_special_tokens=False)]
-            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-            sizes = np.fromiter(map(len, new), np.int64, len(new))
-            flat = np.fromiter((i for ids in new for i in ids), np.uint32, int(sizes.sum()))
-            self.ids = np.concatenate([self.ids, flat])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+                fresh = every.difference(self.known)
+            self._append(*self._fresh(list(fresh)))
         return [self._gather(c) for c in chunks]
 
     def _gather(self, chunks: list[bytes]) -> np.ndarray:
