@@ -11,7 +11,8 @@ from ledgerlens.llm.common import fold, two_hashes
 
 WORDS_PER_BLOCK = 4  # a block of the filter: four words of 64 bits, one bit set in each
 BITS_PER_URL = 16
-MAX_BLOCKS = 1 << 16  # 65,536 blocks of 36 bytes: what is broadcast stays below 3 MB
+BLOCK_BYTES = 36
+BROADCAST_BYTES = 64 << 20  # of the filter: some thirty million URLs
 
 
 @dataclass(frozen=True)
@@ -76,14 +77,16 @@ def _bits(h1: str, h2: str, n_blocks: int) -> list[Column]:
     return [block, *(F.call_function("shiftleft", one, p).alias(f"_w{i}") for i, p in enumerate(place))]
 
 
-def bloom_filter(hashes: DataFrame, max_blocks: int = MAX_BLOCKS) -> tuple[DataFrame, int]:
+def bloom_filter(hashes: DataFrame, max_blocks: int | None = None) -> tuple[DataFrame, int]:
     """(block, words) of a blocked Bloom filter over the columns ``_h1`` and ``_h2``, and its number of blocks.
 
-    At least sixteen bits per URL, up to ``max_blocks`` blocks. A longer list
-    fills the blocks and lets more URLs pass to the exact join, which stays right.
+    At least sixteen bits per URL, however long the list is, unless a caller
+    sets ``max_blocks``: then more URLs pass to the exact join, which stays right.
     """
     wanted = hashes.count() * BITS_PER_URL // (64 * WORDS_PER_BLOCK) + 1
-    n_blocks = min(max_blocks, 1 << (wanted - 1).bit_length())
+    n_blocks = 1 << (wanted - 1).bit_length()
+    if max_blocks is not None:
+        n_blocks = min(max_blocks, n_blocks)
     words = [f"_w{i}" for i in range(WORDS_PER_BLOCK)]
     rows = hashes.select(*_bits("_h1", "_h2", n_blocks))
     return rows.groupBy("_block").agg(*(F.bit_or(w).alias(f"_set{w}") for w in words)), n_blocks
@@ -98,8 +101,9 @@ def judge_urls(
     canonical URL is among those of ``listed`` (column ``url``), else allowed.
 
     The list enters a blocked Bloom filter: a URL's bits lie in one block, so
-    the filter is a small table that joins by block number, and its size is
-    bounded whatever the list's. Only rows whose bits are all set go on to the
+    the filter is a table that joins by block number. While its blocks, whose
+    number follows from the list's, are within ``BROADCAST_BYTES`` they are
+    broadcast; beyond that they meet the rows by a shuffle. Only rows whose bits are all set go on to the
     exact join with the list, so hardly any row without a match is shuffled;
     that join compares canonical URLs and removes the false positives.
 
@@ -112,6 +116,7 @@ def judge_urls(
         listed.select(canonical_url(F.col("url")).alias("_listed_url")).where("_listed_url != ''").distinct()
     )
     blocks, n_blocks = bloom_filter(exact.select(*two_hashes("_listed_url")))
+    small = F.broadcast(blocks) if n_blocks * BLOCK_BYTES <= BROADCAST_BYTES else blocks
     host, path = url_host(F.col(url_col)), url_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("_id"), F.coalesce(host, F.lit("")).alias("host"),
                         F.coalesce(path, F.lit("")).alias("path"), F.coalesce(canonical_url(F.col(url_col)), F.lit("")).alias("_canonical"))
@@ -119,7 +124,7 @@ def judge_urls(
     rows = rows.withColumn("rule", name).withColumn("_ruled", verdict)
     words = [f"_w{i}" for i in range(WORDS_PER_BLOCK)]
     hashed = rows.select("*", *two_hashes("_canonical"))
-    tested = hashed.select(*rows.columns, *_bits("_h1", "_h2", n_blocks)).join(F.broadcast(blocks), "_block", "left")
+    tested = hashed.select(*rows.columns, *_bits("_h1", "_h2", n_blocks)).join(small, "_block", "left")
     all_set = F.lit(True)
     for w in words:
         all_set = all_set & F.coalesce(F.col(w).bitwiseAND(F.col(f"_set{w}")) != 0, F.lit(False))

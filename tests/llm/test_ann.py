@@ -69,3 +69,25 @@ def test_few_candidates_and_none(spark):
     assert [i for i, _ in near[3]] == [1, 2]
     assert nearest(vectors.where("vec_id = 1"), lambda i: i == 1).count() == 0
     assert nearest(vectors.limit(0), lambda i: i == 1).count() == 0
+
+
+def test_walks_go_on_while_the_last_list_is_inside_the_ratio(spark, data, monkeypatch):
+    from dataclasses import replace
+
+    vectors, settings = spark.read.parquet(f"{data}/embeddings.parquet"), Settings(rows_per_list=16, beam=8)
+    whole = found(nearest(vectors, lambda i: i % 20 == 0, settings=settings).collect())
+    fit = ann.Reach.fit
+    monkeypatch.setattr(ann.Reach, "fit", staticmethod(lambda *a: replace(fit(*a), lists=1)))
+    again = found(nearest(vectors, lambda i: i % 20 == 0, settings=settings).collect())
+    hits = sum(len(set(again[q]) & set(whole[q])) for q in whole)
+    assert hits >= 0.98 * sum(map(len, whole.values()))
+
+
+def test_the_sample_is_settled_where_rows_are_read(spark):
+    from ledgerlens.llm.common import below
+
+    rows = spark.range(20_000).repartition(4)
+    some = below(rows, 0.1, "id")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert 1700 < some.count() < 2300 and "TakeOrdered" not in plan and "Limit" not in plan
+    assert below(rows, 1.0, "id").count() == 20_000 and below(rows, 7, "id").count() == 20_000

@@ -65,6 +65,15 @@ def test_full_filter_changes_nothing(spark, monkeypatch):
     assert {r["page_id"] for r in found if r["listed"]} == set(range(0, 600, 3)) and len(found) == 600
 
 
+def test_a_filter_that_is_too_large_for_a_broadcast(spark, monkeypatch):
+    from ledgerlens.llm import url_filter
+
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 0)
+    pages = spark.range(600).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.com/"), F.col("id").cast("string")).alias("url"))
+    found = judge_urls(pages, pages.where("page_id % 3 = 0").select("url"), queries.URL_RULES).collect()
+    assert {r["page_id"] for r in found if r["listed"]} == set(range(0, 600, 3)) and len(found) == 600
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_sql(spark, data, name):
     assert differences(queries.QUERIES[name](spark, data), connect(data), queries.ORACLES[name]) is None
