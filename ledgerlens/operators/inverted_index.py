@@ -6,7 +6,7 @@ Layout under the index folder, written in segments so that documents can be adde
   documents, partitioned by a bucket of terms and sorted by term.
 * ``impacts``: (bucket, segment, term, block, df, impacts), the same rows without documents: how
   many there are, and the pairs of frequency and length that no other pair of the block beats.
-* ``documents``: (segment, docs, words), a row per segment.
+* ``documents``: (segment, docs, words, key), a row per segment, with the type of the keys.
 
 A term that most documents hold is many rows, one per block, and no task holds more than
 one block's documents. Bounds come from the impacts, so they hold for all parameters and
@@ -102,7 +102,8 @@ def write_segment(
     impacts = rows.select("bucket", "term", "block", F.size("docs").cast("bigint").alias("df"), best.alias("_best")).select(
         "bucket", "term", "block", "df", F.filter("_best", lambda x: ~beaten(x)).alias("impacts")
     )
-    summary = spark.createDataFrame([(total["docs"], total["words"])], "docs bigint, words bigint")
+    kind = docs.schema[key].dataType.simpleString()
+    summary = spark.createDataFrame([(total["docs"], total["words"], kind)], "docs bigint, words bigint, key string")
     for name, frame in zip(_PARTS, (rows, impacts, summary)):
         folder = f"{path}/{name}/segment={segment}"
         if name == "documents":
@@ -125,8 +126,11 @@ class Index:
 
 def open_index(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Index:
     """All segments under ``path``; ``buckets`` as they were written."""
-    total = spark.read.parquet(f"{path}/documents").agg(F.sum("docs"), F.sum("words")).first()
-    postings, impacts = (spark.read.parquet(f"{path}/{name}") for name in _PARTS[:2])
+    total = spark.read.parquet(f"{path}/documents").agg(F.sum("docs"), F.sum("words"), F.max("key")).first()
+    # Declared: an index of no documents has no file to infer from.
+    place = "term string, block int, segment int, bucket int"
+    postings = spark.read.schema(f"docs array<{total[2]}>, tfs array<int>, lengths array<int>, {place}").parquet(f"{path}/postings")
+    impacts = spark.read.schema(f"df bigint, impacts array<struct<tf:int,length:int>>, {place}").parquet(f"{path}/impacts")
     return Index(postings, impacts, total[0] or 0, (total[1] or 0) / max(total[0] or 0, 1), buckets)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +30,17 @@ def routed(questions: DataFrame) -> DataFrame:
 
 
 def document_hits(
-    questions: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int = NEIGHBOURS
+    questions: DataFrame,
+    vectors: DataFrame,
+    chunks: DataFrame | Callable[[DataFrame], DataFrame],
+    k: int = NEIGHBOURS,
 ) -> DataFrame:
     """Vector hits of the questions that use documents: all chunks of each winner, with metadata.
 
     Vectors belong to documents; ``chunks`` has a row per chunk of at most 500
-    words. ``place`` orders the chunks of a question, by rank and then by
-    their order in the document.
+    words, or is a function that gives those of certain documents, as where
+    chunks are not stored and only winners are to be cut. ``place`` orders the
+    chunks of a question, by rank and then by their order in the document.
 
     The ranking sees keys and vectors. The winners are written first: their
     size is then known, and while it is small they are broadcast and the texts
@@ -46,10 +52,13 @@ def document_hits(
     winners = materialise(vector_topk(wanting, vectors, k, query_key="conv_id"), "winners")
     keys = winners.select("doc_id").distinct()
     # A key and its place in a hash table take some 40 bytes, a winner some 80.
+    few_keys = 40 * keys.count() <= BROADCAST_BYTES
+    if callable(chunks):
+        chunks = chunks(F.broadcast(keys) if few_keys else keys)
+    elif few_keys and 80 * winners.count() > BROADCAST_BYTES:
+        chunks = chunks.join(F.broadcast(keys), "doc_id", "left_semi")
     if 80 * winners.count() <= BROADCAST_BYTES:
         return _placed(chunks.join(F.broadcast(winners), "doc_id"))
-    if 40 * keys.count() <= BROADCAST_BYTES:
-        chunks = chunks.join(F.broadcast(keys), "doc_id", "left_semi")
     return _placed(winners.join(chunks, "doc_id"))
 
 
@@ -74,8 +83,8 @@ def answer_questions(
 ) -> DataFrame:
     """(conv_id, route, context) for questions (conv_id, question, embedding).
 
-    ``vectors`` has (doc_id, embedding), ``chunks`` the chunked texts with
-    their metadata, ``tables`` the KPI tables by name.
+    ``vectors`` has (doc_id, embedding), ``chunks`` the stored chunks with
+    their metadata, read three times; ``tables`` the KPI tables by name.
     """
     asked = materialise(routed(questions), "questions")  # four branches read it
     metrics = metric_answers(asked.where("needs_sql"), tables, "conv_id").select("conv_id", "block")

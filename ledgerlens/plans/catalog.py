@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import routing, text
 from ledgerlens.functions.calendar import months_of_quarter
-from ledgerlens.operators import assembly, chunking, fusion, keyword_search, kpi, period_bitmaps, ranking
+from ledgerlens.operators import assembly, chunking, fusion, keyword_search, kpi, period_bitmaps, ranking, rule_search
 from ledgerlens.operators.hybrid import hybrid_topk
 from ledgerlens.operators.inverted_index import index_topk, open_index, write_segment
 from ledgerlens.operators.lexical_search import bm25_topk
@@ -414,6 +414,15 @@ def v3_keyword_batch(spark, d):
     ).select("conv_id", "rank", "doc_id", "chunk_ord", "chunk_text")
 
 
+@query
+def v3_rule_table(spark, d):
+    """The same from rules that are a table."""
+    hits = rule_search.rule_batch(
+        standins.questions(spark, d), _domain_chunks(spark, d), rule_search.rule_tables(spark), ["doc_id", "chunk_ord"], "conv_id"
+    )
+    return hits.select("conv_id", "rank", "doc_id", "chunk_ord", "chunk_text")
+
+
 @query
 def v4_bm25_topk(spark, d):
     return bm25_topk(table(spark, d, "benchmark"), standins.corpus(spark, d), query_key="item_id")
@@ -441,17 +450,19 @@ def _asked(spark, d):
 
 
 def _document_hits(spark, d, asked):
+    """Only the texts of winners are cut into chunks."""
+    texts = standins.domain_corpus(spark, d)
     return answer.document_hits(
-        asked, standins.corpus_vectors(spark, d), standins.domain_chunks(spark, d)
+        asked, standins.corpus_vectors(spark, d), lambda keys: chunking.chunk_fixed(texts.join(keys, "doc_id", "left_semi"))
     )
 
 
 @query
 def v6_concat_retrieval(spark, d):
-    asked = _asked(spark, d)
+    asked, chunks = _asked(spark, d), standins.stored_chunks(spark, d)
     return fusion.concat_retrieval(
-        _document_hits(spark, d, asked),
-        answer.keyword_hits(asked, standins.domain_chunks(spark, d)),
+        answer.document_hits(asked, standins.corpus_vectors(spark, d), chunks),
+        answer.keyword_hits(asked, chunks),
         "conv_id",
         "doc_id",
         "chunk_ord",
@@ -523,7 +534,7 @@ def q8_assemble_context(spark, d):
     return answer.answer_questions(
         standins.embedded_questions(spark, d),
         standins.corpus_vectors(spark, d),
-        standins.domain_chunks(spark, d),
+        standins.stored_chunks(spark, d),
         standins.kpi_tables(spark, d),
     )
 

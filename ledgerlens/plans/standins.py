@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.calendar import in_months, month_label, month_number, quarter_of_month
 from ledgerlens.operators.chunking import chunk_fixed
+from ledgerlens.session import materialise
 from ledgerlens.sources.tables import table
 
 # Stand-in limits, chosen so that about a tenth of the rows passes.
@@ -228,9 +229,11 @@ def training_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def monthly_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The four monthly tables. Both line tables select from one pass over the lines."""
+def monthly_tables(spark: SparkSession, sf_dir: str, stored: bool = False) -> dict[str, DataFrame]:
+    """The four monthly tables. Both line tables select from one pass over the lines, written first if ``stored``."""
     lines = line_kpis(spark, sf_dir)
+    if stored:
+        lines = materialise(lines, "line-kpis")
     keys = ["bank_name", "branch", "month"]
     return {
         "str_filing_kpi": lines.select(*keys, *_STR_MEASURES),
@@ -241,8 +244,8 @@ def monthly_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def kpi_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All five KPI tables."""
-    return monthly_tables(spark, sf_dir) | {"training_compliance_kpi": training_compliance(spark, sf_dir)}
+    """All five KPI tables, for readers that scan them together."""
+    return monthly_tables(spark, sf_dir, True) | {"training_compliance_kpi": training_compliance(spark, sf_dir)}
 
 
 def line_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,6 +306,11 @@ def domain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_fixed(domain_corpus(spark, sf_dir))
 
 
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table of the domain corpus, written once: what answers are made from."""
+    return materialise(domain_chunks(spark, sf_dir), "document-chunks")
+
+
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns with the domain's words put in."""
     return table(spark, sf_dir, "conversations").withColumn(

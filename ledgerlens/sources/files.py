@@ -25,7 +25,8 @@ def discover_files(
     """(file_name, file_type, length) of the recognised files.
 
     Only the listing is read: ``content`` is never selected, so the scan
-    prunes it. A missing directory is an error; no match gives no rows.
+    prunes it. A missing directory is an error; no match gives no rows. Scans
+    leave out files without a byte, so those are taken from the listing.
     """
     files = (
         spark.read.format("binaryFile")
@@ -33,6 +34,9 @@ def discover_files(
         .load(directory)
         .select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
     )
+    empty = _empty_files(spark, directory)
+    if empty:
+        files = files.unionByName(spark.createDataFrame([(name, 0) for name in empty], files.schema))
     kind = F.coalesce(
         *[
             F.when(F.endswith("file_name", F.lit(s)), F.lit(s.removeprefix(".").upper()))
@@ -42,6 +46,14 @@ def discover_files(
     return files.withColumn("file_type", kind).where(F.col("file_type").isNotNull())
 
 
+def _empty_files(spark: SparkSession, directory: str) -> list[str]:
+    """Names of the files of a flat folder that have no byte, but for hidden ones."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = [f for f in store.listStatus(place) if f.getLen() == 0 and f.isFile()]
+    return [n for n in (f.getPath().getName() for f in listed) if n[0] not in "._"]
+
+
 class BadHeader(ValueError):
     """A declared column is not in the file's header."""
 

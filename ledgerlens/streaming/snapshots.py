@@ -8,9 +8,11 @@ from the root down, and only buckets whose leaves differ are read.
 from __future__ import annotations
 
 import functools
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 FANOUT = 16
 LEVELS = 2  # below the root: 256 buckets
@@ -29,8 +31,11 @@ def write_snapshot(
     """Write ``rows`` by bucket with their tree; ``keys`` tell a row, ``values`` are what may change."""
     n = fanout**levels
     bucket = F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int").alias("bucket")
-    rows.select(*keys, *values, bucket).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/rows")
-    written = rows.sparkSession.read.parquet(f"{path}/rows")
+    spark, dealt = rows.sparkSession, rows.select(*keys, *values, bucket)
+    dealt.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/rows")
+    # Declared: a snapshot of no rows has no file to infer from.
+    spark.createDataFrame([(dealt.schema.json(),)], "fields string").write.parquet(f"{path}/schema")
+    written = _rows(spark, path)
     total = F.concat_ws(":", *[F.col(c).cast("string") for c in ("rows", "a", "b")])
     node = written.groupBy(F.col("bucket").alias("node")).agg(*_digest(keys, values)).select(
         F.lit(levels).alias("level"), "node", F.sha2(total, 256).alias("digest")
@@ -46,6 +51,11 @@ def write_snapshot(
     functools.reduce(DataFrame.unionByName, tree).coalesce(1).write.parquet(f"{path}/tree")
 
 
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    fields = spark.read.parquet(f"{path}/schema").first()[0]
+    return spark.read.schema(StructType.fromJson(json.loads(fields))).parquet(f"{path}/rows")
+
+
 def differing_buckets(spark: SparkSession, before: str, after: str, levels: int = LEVELS, fanout: int = FANOUT) -> list[int]:
     """Buckets whose rows are not the same in both snapshots; equal parts of the trees are not looked at."""
     trees = [spark.read.parquet(f"{p}/tree") for p in (before, after)]
@@ -82,7 +92,7 @@ def changed_rows(
     buckets = differing_buckets(spark, before, after, levels, fanout)
     sides = []
     for path, name in ((before, "_old"), (after, "_new")):
-        rows = spark.read.parquet(f"{path}/rows").where(F.col("bucket").isin(buckets))
+        rows = _rows(spark, path).where(F.col("bucket").isin(buckets))
         sides.append(rows.select("bucket", *keys, F.sha2(F.to_json(F.struct(*values), {"ignoreNullFields": "false"}), 256).alias(name)))
     status = F.when(F.col("_old").isNull(), "new").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "changed")
     joined = sides[0].join(sides[1], ["bucket", *keys], "full_outer")

@@ -417,37 +417,44 @@ METRIC_WORDS = [
     (" from ", " staff training below 95% at branch_7 "),
     (" by ", " count of everything in 1997-02 "),
 ]
-# Per KPI table the words that ask for it and three measures.
+# Per KPI table the words that ask for it, its measures, and its figure.
 METRICS = {
-    "ctr_reporting_kpi": (("ctr", "cash transaction"), ("ctrs_unreported", "ctrs_filed", "txns_above_threshold")),
-    "kyc_edd_kpi": (("kyc", "edd", "due diligence"), ("edd_pending", "edd_completed", "high_risk_customers")),
-    "sanctions_screening_kpi": (("sanction", "screening"), ("sla_breaches", "sanctions_hits_flagged", "transactions_screened")),
-    "training_compliance_kpi": (("training", "trained"), ("staff_untrained", "staff_trained_aml_cft", "staff_total")),
-    "str_filing_kpi": (("str", "suspicious transaction"), ("str_sla_breaches", "str_filed_count", "str_late_or_filed")),
+    "ctr_reporting_kpi": (("ctr", "cash transaction"), ("ctrs_unreported", "ctrs_filed", "txns_above_threshold"), "filing_rate"),
+    "kyc_edd_kpi": (("kyc", "edd", "due diligence"), ("edd_pending", "edd_completed", "high_risk_customers"), "completion_rate"),
+    "sanctions_screening_kpi": (("sanction", "screening"), ("sla_breaches", "sanctions_hits_flagged", "transactions_screened"), "breach_rate"),
+    "training_compliance_kpi": (("training", "trained"), ("staff_untrained", "staff_trained_aml_cft", "staff_total"), "training_rate"),
+    "str_filing_kpi": (("str", "suspicious transaction"), ("str_sla_breaches", "str_filed_count"), "avg_str_filing_days"),
 }
 
 
 def metric_ctes(source: str, key: str) -> list[str]:
     """CTEs up to ``answers`` (key, table, bank, branch, period, block) for (key, question)."""
-    which = " ".join(f"WHEN {mentions('question', *words)} THEN '{t}'" for t, (words, _) in METRICS.items())
+    edge = "[^\\p{L}\\p{N}]"
+    which = " ".join(
+        f"WHEN regexp_matches(lower(question), '(^|{edge})({'|'.join(words)})s?($|{edge})') THEN '{t}'" for t, (words, _, _) in METRICS.items()
+    )
     month_quarter = "left(\"month\", 4) || '-Q' || ((CAST(\"month\"[6:7] AS INTEGER) + 2) // 3)"
 
-    def part(name: str, cte: str, a: str, b: str, c: str) -> str:
-        return f"SELECT '{name}' AS tab, bank_name, branch, \"month\" AS m, {month_quarter} AS q, {a} AS a, {b} AS b, {c} AS c FROM {cte}"
+    def part(name: str, cte: str, a: str, b: str, c: str, num: str, den: str) -> str:
+        return (f"SELECT '{name}' AS tab, bank_name, branch, \"month\" AS m, {month_quarter} AS q, {a} AS a, {b} AS b, {c} AS c, "
+                f"CAST({num} AS DOUBLE) AS num, CAST({den} AS DOUBLE) AS den FROM {cte}")
 
     heads = " ".join(
         f"WHEN '{t}' THEN '" + " | ".join(cols) + "' || chr(10) || '" + "-+-".join("-" * len(x) for x in cols) + "'"
-        for t, (_, own) in METRICS.items()
-        for cols in [("bank_name", "branch", *own)]
+        for t, (_, own, figure) in METRICS.items()
+        for cols in [("bank_name", "branch", *own, figure)]
+    )
+    several = lambda kind: (
+        f"(SELECT list(name ORDER BY pos) FROM (SELECT name, min(pos) AS pos FROM found f WHERE f.{key} = s.{key} AND f.kind = '{kind}' GROUP BY name))"
     )
-    slot = lambda kind: f"(SELECT min_by(name, pos) FROM found f WHERE f.{key} = s.{key} AND f.kind = '{kind}')"
     return [
         "facts AS (" + " UNION ALL ".join([
-            part("ctr_reporting_kpi", "ctr_kpi", "ctrs_unreported", "ctrs_filed", "txns_above_threshold"),
-            part("kyc_edd_kpi", "kyc_kpi", "edd_pending", "edd_completed", "high_risk_customers"),
-            part("sanctions_screening_kpi", "sanctions_kpi", "sla_breaches", "sanctions_hits_flagged", "transactions_screened"),
-            part("str_filing_kpi", "str_kpi", "str_sla_breaches", "str_filed_count", "str_sla_breaches + str_filed_count"),
-            "SELECT 'training_compliance_kpi', bank_name, branch, NULL, \"quarter\", staff_total - trained, trained, staff_total FROM training_kpi",
+            part("ctr_reporting_kpi", "ctr_kpi", "ctrs_unreported", "ctrs_filed", "txns_above_threshold", "ctrs_filed", "ctrs_filed + ctrs_unreported"),
+            part("kyc_edd_kpi", "kyc_kpi", "edd_pending", "edd_completed", "high_risk_customers", "edd_completed", "edd_completed + edd_pending"),
+            part("sanctions_screening_kpi", "sanctions_kpi", "sla_breaches", "sanctions_hits_flagged", "transactions_screened", "sla_breaches", "transactions_screened"),
+            part("str_filing_kpi", "str_kpi", "str_sla_breaches", "str_filed_count", "NULL::BIGINT", "avg_str_filing_days * str_filed_count",
+                 "CASE WHEN avg_str_filing_days IS NOT NULL THEN str_filed_count END"),
+            "SELECT 'training_compliance_kpi', bank_name, branch, NULL, \"quarter\", staff_total - trained, trained, staff_total, trained, staff_total FROM training_kpi",
         ]) + ")",
         "names AS (SELECT DISTINCT 'bank' AS kind, bank_name AS name FROM facts UNION SELECT DISTINCT 'branch', branch FROM facts)",
         f"""found AS (
@@ -457,34 +464,51 @@ def metric_ctes(source: str, key: str) -> list[str]:
   JOIN names ON lower(name) = word
 )""",
         f"""asked AS (
-  SELECT {key}, CASE {which} END AS tab, {slot('bank')} AS bank, {slot('branch')} AS branch,
-         nullif(upper(regexp_extract(question, '(?i)\\b([0-9]{{4}}-(?:q[1-4]|[0-9]{{2}}))\\b', 1)), '') AS period
+  SELECT {key}, CASE {which} END AS tab, {several('bank')} AS banks, {several('branch')} AS branches,
+         list_transform(regexp_extract_all(question, '(?i)\\b([0-9]{{4}}-(?:q[1-4]|[0-9]{{2}}))\\b', 1), lambda p: upper(p)) AS named
   FROM {source} s
 )""",
+        # Periods once each, in the order they are first named.
         """told AS (
-  SELECT *, tab || ', bank ' || coalesce(bank, '*') || ', branch ' || coalesce(branch, '*') || ', period ' || coalesce(period, '*') AS statement
-  FROM asked
+  SELECT * EXCLUDE (named), list_filter(named, lambda p, i: list_position(named, p) = i) AS periods FROM asked
+)""",
+        f"""each_key AS (
+  SELECT {key}, tab, ib, ir, ip, bank, branch, period,
+         tab || ', bank ' || bank || ', branch ' || branch || ', period ' || period AS statement
+  FROM (SELECT {key}, tab, bank, ib, branch, ir, unnest(p) AS period, generate_subscripts(p, 1) AS ip
+        FROM (SELECT *, unnest(r) AS branch, generate_subscripts(r, 1) AS ir
+              FROM (SELECT *, unnest(b) AS bank, generate_subscripts(b, 1) AS ib
+                    FROM (SELECT {key}, tab, CASE WHEN len(banks) > 0 THEN banks ELSE ['*'] END AS b,
+                                 CASE WHEN len(branches) > 0 THEN branches ELSE ['*'] END AS r,
+                                 CASE WHEN len(periods) > 0 THEN periods ELSE ['*'] END AS p
+                          FROM told WHERE tab IS NOT NULL))))
 )""",
         """summed AS (
-  SELECT statement, s.tab, f.bank_name, f.branch, sum(a) AS a, sum(b) AS b, sum(c) AS c
-  FROM (SELECT DISTINCT tab, bank, branch, period, statement FROM told WHERE tab IS NOT NULL) s
-  JOIN facts f ON f.tab = s.tab AND f.bank_name = coalesce(s.bank, f.bank_name)
-    AND f.branch = coalesce(s.branch, f.branch) AND (s.period IS NULL OR s.period = f.m OR s.period = f.q)
+  SELECT statement, s.tab, f.bank_name, f.branch, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(num) / nullif(sum(den), 0) AS figure
+  FROM (SELECT DISTINCT tab, bank, branch, period, statement FROM each_key) s
+  JOIN facts f ON f.tab = s.tab AND s.bank IN ('*', f.bank_name) AND s.branch IN ('*', f.branch)
+    AND (s.period = '*' OR s.period = f.m OR s.period = f.q)
   GROUP BY ALL HAVING s.tab <> 'training_compliance_kpi' OR sum(b) < 0.95 * sum(c)
 )""",
         f"""blocks AS (
   SELECT statement, {NL2} || 'Results:' || chr(10) || CASE any_value(tab) {heads} END || chr(10)
-    || string_agg(concat_ws(' | ', bank_name, branch, CAST(a AS VARCHAR), CAST(b AS VARCHAR), CAST(c AS VARCHAR)), chr(10) ORDER BY n) FILTER (WHERE n <= 50)
+    || string_agg(concat_ws(' | ', bank_name, branch, CAST(a AS VARCHAR), CAST(b AS VARCHAR), CAST(c AS VARCHAR),
+         coalesce(CAST(CAST(round(figure, 4) AS DECIMAL(18,4)) AS VARCHAR), 'NULL')), chr(10) ORDER BY n) FILTER (WHERE n <= 50)
     || CASE WHEN count(*) > 50 THEN chr(10) || '(Showing first 50 of ' || count(*) || ' rows)' ELSE '' END
     || {NL2} || 'Total rows: ' || count(*) AS found
   FROM (SELECT *, row_number() OVER (PARTITION BY statement ORDER BY a DESC, bank_name, branch) AS n FROM summed)
   WHERE n <= 100 GROUP BY statement
+)""",
+        f"""bodies AS (
+  SELECT {key}, string_agg('SQL Query Executed:' || chr(10) || statement || coalesce(found, {NL2} || 'No results found for this query.'),
+         {NL2} ORDER BY ib, ir, ip) AS body
+  FROM each_key LEFT JOIN blocks USING (statement) GROUP BY {key}
 )""",
         f"""answers AS (
-  SELECT {key}, tab AS kpi_table, bank, branch, period,
-         CASE WHEN tab IS NULL THEN 'No results found for this query.'
-              ELSE 'SQL Query Executed:' || chr(10) || statement || coalesce(found, {NL2} || 'No results found for this query.') END AS block
-  FROM told LEFT JOIN blocks USING (statement)
+  SELECT {key}, tab AS kpi_table, nullif(array_to_string(banks, ', '), '') AS bank, nullif(array_to_string(branches, ', '), '') AS branch,
+         nullif(array_to_string(periods, ', '), '') AS period,
+         CASE WHEN tab IS NULL THEN 'No results found for this query.' ELSE body END AS block
+  FROM told LEFT JOIN bodies USING ({key})
 )""",
     ]
 
@@ -792,3 +816,5 @@ FROM documents LEFT JOIN labels l USING (doc_id)""",
     + """SELECT doc_id, chunk_ord, CASE WHEN w.source_file IS NULL THEN 'new' WHEN n.source_file IS NULL THEN 'removed' ELSE 'changed' END AS status
 FROM was w FULL JOIN is_now n USING (doc_id, chunk_ord) WHERE w.chunk_text IS DISTINCT FROM n.chunk_text""",
 }
+# Rules as a table give what the rules as code give.
+ORACLES["v3_rule_table"] = ORACLES["v3_keyword_batch"]

@@ -155,3 +155,41 @@ def test_fusion_and_concatenation(spark):
     assert got == [(1, 1, 11, round(1 / 61 + 1 / 62, 6)), (1, 2, 10, round(1 / 61, 6))]
     both = concat_retrieval(a, b, "query_id", "doc_id")
     assert both.count() == 4  # document 11 stays twice
+
+
+def test_tasks_send_fewer_than_k_rows_per_query(spark):
+    """With many splits the k-th score of a few of them keeps most rows in their tasks."""
+    from ledgerlens.operators.blocked_topk import topk_candidates
+    from ledgerlens.operators.vector_search import cosine, prepared_vectors
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(6400)]
+    corpus = spark.createDataFrame(rows, "doc_id long, embedding array<double>").repartition(64)
+    queries = spark.createDataFrame([(q, rng.normal(size=8).tolist()) for q in range(4)], "query_id long, embedding array<double>")
+    q, c, _ = prepared_vectors(queries, corpus, "query_id", "doc_id", "embedding")
+    sent = {n: topk_candidates(q.toArrow(), c, cosine, 10, Limits(floor_every=n)).count() for n in (4, 10_000)}
+    assert sent[10_000] == 64 * 4 * 10 and sent[4] < sent[10_000] / 8
+    assert listed(vector_topk(queries, corpus, 10, limits=Limits(floor_every=4))) == listed(vector_topk(queries, corpus, 10))
+
+
+def test_hybrid_reads_texts_once_and_vectors_twice(spark):
+    rng = np.random.default_rng(6)
+    words = ["alpha", "beta", "gamma", "delta", "rho"]
+    texts, vectors = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(total):
+        def run(batches):
+            for b in batches:
+                total.add(b.num_rows)
+                yield b
+
+        return run
+
+    rows = [(i, " ".join(rng.choice(words, 6)), rng.normal(size=3).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, embedding array<double>").repartition(3)
+    corpus = df.select("doc_id", "text").mapInArrow(counted(texts), "doc_id long, text string")
+    dense = df.select("doc_id", "embedding").mapInArrow(counted(vectors), "doc_id long, embedding array<double>")
+    asked = [(q, " ".join(rng.choice(words, 2)), rng.normal(size=3).tolist()) for q in range(5)]
+    queries = spark.createDataFrame(asked, "query_id long, text string, embedding array<double>")
+    assert hybrid_topk(queries, dense, corpus, 5).count() == 25
+    assert texts.value == 300 and vectors.value <= 600
