@@ -101,5 +101,9 @@ def test_the_corpus_is_not_copied_per_part_of_queries(spark, data):
     from ledgerlens.operators.vector_search import vector_topk
 
     vectors = standins.corpus_vectors(spark, data)
-    text = plan(vector_topk(vectors.withColumnRenamed("doc_id", "query_id"), vectors, limits=Limits(broadcast_bytes=40_000)))
-    assert "Generate" not in text and text.count("MapInArrow") > 1
+    queries = vectors.withColumnRenamed("doc_id", "query_id")
+    # One part: the corpus is scored where it is read. Several: each is written before the next is collected.
+    text = plan(vector_topk(queries, vectors))
+    assert "Generate" not in text and text.count("MapInArrow") == 1
+    parts = plan(vector_topk(queries, vectors, limits=Limits(broadcast_bytes=40_000)))
+    assert "Union" in parts and parts.count("FileScan") > 1 and "Generate" not in parts and "Exchange" not in parts
