@@ -17,7 +17,6 @@ import heapq
 import os
 import sys
 import types
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,24 +88,19 @@ def pack_group(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         n += 1
 
 
+# The lead bytes of U+0300 to U+036F in UTF-8: all marks that compose with an ASCII letter are among those.
+_MARKS = (b"\xcc", b"\xcd")
+
+
 def _folded(data: bytes) -> list[bytes]:
-    """Chunks between white space, those of ASCII only with small letters."""
+    """Chunks between white space, A-Z in lower case where that changes no id."""
     if b"<|" in data:
         return data.split()
-    if data.isascii():
+    if data.isascii() or not any(m in data for m in _MARKS):
         return data.lower().split()
     return [c.lower() if c.isascii() else c for c in data.split()]
 
 
-def _unchanged(chunk: bytes) -> bool:
-    """Does the tokenizer's normaliser leave a chunk as it is? What it does is checked all the same."""
-    if chunk.isascii():
-        # Folded already, unless the name of a special token may be in it.
-        return b"<|" not in chunk
-    text = chunk.decode()
-    return text == text.lower() and unicodedata.is_normalized("NFC", text)
-
-
 def _spellings(vocabulary: dict[str, int]) -> list[bytes]:
     """The bytes that each id stands for; a word's end is none."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -123,10 +117,10 @@ class ChunkTokens:
 
     The tokenizer's normaliser and splitter never look across ASCII white
     space, so a text's ids are those of its chunks one after the other. It
-    composes characters, then lower-cases, so chunks that are ASCII throughout
-    may be folded before they are looked up, unless a text may hold the name of
-    a special token. Other chunks are looked up as they stand: of J and a caron
-    only the small letter has a composed form.
+    composes characters, then lower-cases, so A-Z may be folded before a chunk
+    is looked up, unless a text may hold the name of a special token. Beside
+    combining marks only chunks that are ASCII throughout are folded: of J and
+    a caron only the small letter has a composed form.
     """
 
     def __init__(self, path: str, most: int = CACHED_CHUNKS, most_bytes: int = CACHED_BYTES):
@@ -160,34 +154,39 @@ class ChunkTokens:
         self.held = held
         self.uses = np.zeros(len(self.known), np.int64)
 
-    def _alone(self, chunks: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+    def _alone(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _fresh(self, chunks: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Chunks in some order, their ids one after the other, and how many each has.
 
-        Chunks that the tokenizer does not change go to it many at a time,
-        with spaces between them: their ids spell them byte for byte, so the
-        bytes tell where each begins. Where they do not, and for all others,
-        it is asked chunk by chunk.
+        Chunks go to the tokenizer many at a time, with spaces between them.
+        Its ids spell what its normaliser makes of a text byte for byte, so
+        the bytes tell where each chunk begins. Where they do not, or where a
+        chunk has become several, it is asked chunk by chunk.
         """
-        plain = [c for c in chunks if _unchanged(c)]
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        single = [c for c in chunks if not _unchanged(c)]
+        single = [c for c in chunks if b"<|" in c]
+        # ASCII chunks are folded already, and stay as they are.
+        groups = []
+        for kind in (True, False):
+            some = [c for c in chunks if c.isascii() == kind and b"<|" not in c]
+            groups += [some[i : i + JOINED] for i in range(0, len(some), JOINED)]
+        texts = [b" ".join(g).decode() for g in groups]
         order: list[bytes] = []
         ids, sizes = [], []
-        for group, found in zip(groups, self._alone([b" ".join(g) for g in groups]) if groups else ()):
-            if b"".join(map(self.spelt.__getitem__, found)) != b"".join(group):
+        for group, text, found in zip(groups, texts, self._alone(texts)):
+            normal = group if text.isascii() else self.tokenizer.normalizer.normalize_str(text).encode().split(b" ")
+            if len(normal) != len(group) or b"".join(map(self.spelt.__getitem__, found)) != b"".join(normal):
                 single += group
                 continue
             own = np.array(found, np.uint32)
             ends = np.cumsum(self.lengths[own])
-            bounds = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)))
+            bounds = np.cumsum(np.fromiter(map(len, normal), np.int64, len(normal)))
             order += group
             ids.append(own)
             sizes.append(np.diff(np.searchsorted(ends, bounds, "right"), prepend=0))
         if single:
-            found = self._alone(single)
+            found = self._alone([c.decode() for c in single])
             order += single
             ids.append(np.fromiter((i for x in found for i in x), np.uint32))
             sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
