@@ -1,9 +1,9 @@
 """Quality rules: statistics of a text, fixed floors, and an isolation forest.
 
-The forest (Liu, Ting and Zhou, "Isolation Forest", 2008) is grown on a bounded
-sample of labelled rows: each tree splits 256 of the good ones at random until
-they stand alone. Texts that are alone after few splits are unlike good texts.
-How few is calibrated on all labelled rows of the sample.
+The forest (Liu, Ting and Zhou, "Isolation Forest", 2008) learns from all labelled
+rows: each tree splits its own 256 of the good ones at random until they stand
+alone, as the method has it. Texts that are alone after few splits are unlike good
+texts. How few is calibrated on the scores of all labelled rows, counted in Spark.
 """
 
 from __future__ import annotations
@@ -19,11 +19,17 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.session import materialise
+
 # The symbols of the contract, and what separates words.
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
 _WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]")
 
+# How many rows the trees split, and the digits of a score, which bound how many scores there are to count.
+TREES, ROWS_PER_TREE = 100, 256
+SCORE_DIGITS = 5
+
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _NOT_CONTINUATION = np.zeros(256, bool)
 _NOT_CONTINUATION[[b for b in range(256) if b & 0xC0 != 0x80]] = True
@@ -115,12 +121,15 @@ def _average_path(n: int) -> float:
     return 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
 
-def grow_forest(x: np.ndarray, trees: int = 100, rows_per_tree: int = 256, seed: int = 7) -> IsolationForest:
+def grow_forest(
+    x: np.ndarray, trees: int = TREES, rows_per_tree: int = ROWS_PER_TREE, seed: int = 7, span: np.ndarray | None = None
+) -> IsolationForest:
     """Trees over random rows of ``x``, each split at a random place of a random feature.
 
-    A split is drawn from the feature's range in the node, widened by half of
-    the sample's range on both sides: good texts leave some features at zero
-    throughout, and only a split beyond them can set other values apart.
+    Where ``x`` has rows for all trees, no two share one. A split is drawn from
+    the feature's range in the node, widened on both sides by half of ``span``,
+    that of all good rows: good texts leave some features at zero throughout,
+    and only a split beyond them can set other values apart.
     """
     rng = np.random.default_rng(seed)
     size = min(rows_per_tree, len(x))
@@ -129,9 +138,11 @@ def grow_forest(x: np.ndarray, trees: int = 100, rows_per_tree: int = 256, seed:
     feature = np.full((trees, nodes), -1)
     split = np.zeros((trees, nodes))
     length = np.zeros((trees, nodes))
-    spread = np.maximum(np.ptp(x, axis=0), 0.05) / 2
+    spread = np.maximum(np.ptp(x, axis=0) if span is None else span, 0.05) / 2
+    dealt = rng.permutation(len(x)) if len(x) >= trees * size else None
     for t in range(trees):
-        todo = [(0, 0, x[rng.choice(len(x), size, replace=False)], np.full(x.shape[1], -np.inf), np.full(x.shape[1], np.inf))]
+        own = rng.choice(len(x), size, replace=False) if dealt is None else dealt[t * size : (t + 1) * size]
+        todo = [(0, 0, x[own], np.full(x.shape[1], -np.inf), np.full(x.shape[1], np.inf))]
         while todo:
             node, at, part, low, high = todo.pop()
             if at == depth or len(part) < 2:
@@ -150,17 +161,22 @@ def grow_forest(x: np.ndarray, trees: int = 100, rows_per_tree: int = 256, seed:
     return IsolationForest(feature, split, length, depth, max(_average_path(size), 1.0))
 
 
-def calibrate(score: np.ndarray, good: np.ndarray, cost: float) -> float:
-    """The bound on labelled rows beyond which a row is rejected.
+def calibrate(score: np.ndarray, good: np.ndarray, cost: float, rows: np.ndarray | None = None) -> float:
+    """The bound on labelled rows beyond which a row is rejected; ``rows`` says how many rows each score stands for.
 
     It makes the share of bad rows caught less ``cost`` times the share of good
     rows lost as large as it gets, and lies in the middle between the last row
     kept and the first one rejected. Without bad rows nothing is rejected that
     is no worse than all good ones.
     """
-    bounds = np.unique(score)
-    above = lambda s: 1 - np.searchsorted(np.sort(s), bounds, side="right") / max(len(s), 1)
-    gain = above(score[~good]) * bool((~good).any()) - cost * above(score[good])
+    bounds, at = np.unique(score, return_inverse=True)
+    rows = np.ones(len(score)) if rows is None else rows
+
+    def above(kind: np.ndarray) -> np.ndarray:
+        n = np.bincount(at[kind], rows[kind], len(bounds))
+        return 1 - np.cumsum(n) / max(n.sum(), 1)
+
+    gain = above(~good) * bool((~good).any()) - cost * above(good)
     best = len(gain) - 1 - int(np.argmax(gain[::-1]))
     return float(bounds[best] if best + 1 == len(bounds) else (bounds[best] + bounds[best + 1]) / 2)
 
@@ -171,46 +187,63 @@ class QualityModel:
     bound: float
 
     def anomaly(self, stats: np.ndarray) -> np.ndarray:
-        return self.forest.score(features(stats)) if self.forest else np.zeros(len(stats))
+        return np.round(self.forest.score(features(stats)), SCORE_DIGITS) if self.forest else np.zeros(len(stats))
+
+
+def _rows_statistics(batch: pa.RecordBatch, column: int) -> np.ndarray:
+    return np.array([base_statistics(t) for t in batch.column(column).to_pylist()], np.int64).reshape(-1, 5)
 
 
 def fit_quality(
-    docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, cost: float = 20.0,
-    id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, labels: DataFrame, cost: float = 20.0, id_col: str = "doc_id", text_col: str = "text"
 ) -> QualityModel:
-    """Forest and bound from at most ``max_labelled`` labelled rows, those with the smallest hashes of their id.
+    """Forest and bound from all labelled rows.
 
     Ids with several labels count as good only if all say so; missing ids and
     labels are ignored. Without good rows that pass the floors there is no
-    forest, and only the floors reject.
+    forest, and only the floors reject. Statistics are taken where the texts
+    lie, and only those meet the labels. The driver gets the rows that the
+    trees split and a count per score.
     """
-    chosen = (
-        labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull())
-        .groupBy(id_col).agg(F.min("quality").alias("_quality"))
-        .orderBy(F.xxhash64(id_col), id_col).limit(max_labelled)
-    )
-    # Bounded by max_labelled rows of 12 bytes, so the broadcast is too.
-    known = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
+    numbers = ", ".join(f"{c} bigint" for c in BASE)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = np.array([base_statistics(t) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, 5)
-            yield pa.record_batch([batch.column(0), batch.column(2), *map(pa.array, stats.T)], ["_id", "_quality", *BASE])
-
-    schema = f"_id {kind}, _quality int, " + ", ".join(f"{c} bigint" for c in BASE)
-    known = known.select(id_col, text_col, F.col("_quality").cast("int")).mapInArrow(run, schema)
-    # Repeated rows count once, so the sample stays within its bound.
-    rows = known.groupBy("_id").agg(F.min(F.struct(*known.columns)).alias("_row")).select("_row.*")
-    sample = rows.toArrow().sort_by("_id")
-    stats = np.column_stack([sample.column(c).to_numpy() for c in BASE]).reshape(-1, 5)
-    passed = ~base_failed(stats)
-    stats, good = stats[passed], sample.column("_quality").to_numpy()[passed] > 0
-    if not good.any():
+            yield pa.record_batch([batch.column(0), *map(pa.array, _rows_statistics(batch, 1).T)], ["_id", *BASE])
+
+    chosen = (
+        labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull())
+        .groupBy(F.col(id_col).alias("_id")).agg((F.min("quality") > 0).alias("_good"))
+    )
+    measured = docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(measure, f"_id {kind}, {numbers}")
+    # Repeated rows count once.
+    known = measured.join(chosen, "_id").groupBy("_id").agg(F.min(F.struct(*BASE)).alias("_row"), F.any_value("_good").alias("_good"))
+    known = materialise(known.select("_id", "_good", "_row.*").where("n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words"), "labelled")
+    good = known.where("_good")
+    # The smallest hashes of all good rows: as many as the trees split.
+    drawn = good.orderBy(F.xxhash64(F.lit("tree"), "_id"), "_id").limit(TREES * ROWS_PER_TREE).toArrow().sort_by("_id")
+    if not drawn.num_rows:
         return QualityModel(None, np.inf)
-    x = features(stats)
-    forest = grow_forest(x[good])
-    return QualityModel(forest, calibrate(forest.score(x), good, cost))
+    words = F.greatest("n_words", F.lit(1))
+    rates = [F.col(c) / words for c in BASE[1:]]
+    span = np.array(good.agg(*[F.max(r) - F.min(r) for r in rates]).first())
+    stats = lambda rows: np.column_stack([rows.column(c).to_numpy() for c in BASE])
+    model = QualityModel(grow_forest(features(stats(drawn)), span=span), np.inf)
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grown = cloudpickle.loads(shared.value)
+        for batch in batches:
+            anomaly = grown.anomaly(np.column_stack([batch.column(c).to_numpy() for c in BASE]))
+            yield pa.record_batch([pa.array(anomaly), batch.column("_good")], ["score", "_good"])
+
+    scored = known.select("_good", *BASE).mapInArrow(score, "score double, _good boolean")
+    # A row per score at most, and of those there are 10 ** SCORE_DIGITS.
+    found = scored.groupBy("score", "_good").agg(F.count(F.lit(1)).alias("rows")).toArrow()
+    at, kept, rows = (found.column(c).to_numpy() for c in ("score", "_good", "rows"))
+    return QualityModel(model.forest, calibrate(at, kept.astype(bool), cost, rows))
 
 
 def judge_quality(
@@ -230,7 +263,7 @@ def judge_quality(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = cloudpickle.loads(shared.value)
         for batch in batches:
-            stats = np.array([base_statistics(t) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, 5)
+            stats = _rows_statistics(batch, 1)
             failed, anomaly = base_failed(stats), forest.anomaly(stats)
             kept = ~failed & (anomaly <= forest.bound)
             own = [batch.column(batch.schema.get_field_index(c)) for c in (id_col, *carry)]

@@ -75,3 +75,20 @@ def test_odd_rows(spark):
     assert quality.fit_quality(docs, labels.limit(0)).forest is None
     assert quality.fit_quality(docs.limit(0), labels).forest is None
     assert quality.judge_quality(docs.limit(0), model).count() == 0
+
+
+def test_the_bound_comes_from_all_labelled_rows(spark):
+    """25,000 good rows and a bad one, which is not among the 20,000 of the smallest hashes."""
+    plain = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("w"), (F.col("doc_id") * 100 + i).cast("string"))))
+    odd = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("#" * 40), i.cast("string"))))
+    ids = spark.range(25_000).select(F.col("id").alias("doc_id"))
+    late = ids.orderBy(F.desc(F.xxhash64("doc_id"))).first()[0]
+    bad = F.col("doc_id") == late
+    docs = ids.withColumn("text", F.when(bad, odd).otherwise(plain))
+    labels = ids.withColumn("quality", F.when(bad, 0).otherwise(1))
+    model = quality.fit_quality(docs, labels)
+    judged = quality.judge_quality(docs.where(bad | (F.col("doc_id") % 100 == 0)), model)
+    assert [r["doc_id"] for r in judged.where("not kept").collect()] == [late]
+    # All good rows count, drawn for a tree or not.
+    counted = quality.calibrate(np.array([0.3, 0.5]), np.array([True, False]), 20, np.array([10, 1]))
+    assert counted == quality.calibrate(np.array([0.3] * 10 + [0.5]), np.arange(11) < 10, 20)
