@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 # Runtime settings the plans count on. A key that holds a large part of a join's
-# rows is split even where that costs one more shuffle.
+# rows is split even where that costs one more shuffle. What a task reads of a
+# shuffle is bounded, and with it what it sorts and groups in memory: shuffles are
+# cut fine, and adjacent parts are read together up to 16 MB. Whatever the session's
+# own number of partitions is, more input gives more tasks, not larger ones, up to
+# 16 GB a shuffle; beyond that raise the number of parts.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16MB",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
