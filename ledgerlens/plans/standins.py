@@ -353,10 +353,13 @@ def embedded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_folder(tables: dict[str, DataFrame], folder: str) -> None:
-    """Stand-in for a folder of CSV files: each table as one file with a header, under the given file name."""
+    """Stand-in for a folder of CSV files: each table as one file with a header, under the given file name.
+
+    One task writes a file, but only what comes out: the table is made by all tasks.
+    """
     for name, df in tables.items():
         spark, draft = df.sparkSession, f"{folder}/_{name}"
-        df.coalesce(1).write.option("header", True).csv(draft)
+        df.repartition(1).write.option("header", True).csv(draft)
         files = spark._jvm.org.apache.hadoop.fs
         place = files.Path(draft)
         store = place.getFileSystem(spark._jsc.hadoopConfiguration())

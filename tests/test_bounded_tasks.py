@@ -34,3 +34,18 @@ def test_a_bound_is_set_whatever_the_session_has(spark):
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1GB")
     tune(spark)
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16MB"
+
+
+def test_one_csv_file_is_not_made_by_one_task(small, tmp_path):
+    """The table behind a file is made by several tasks; only its rows come together."""
+
+    def task(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        for batch in batches:
+            yield pa.record_batch([pa.array([TaskContext.get().stageId()] * batch.num_rows, pa.int64()), pa.array([TaskContext.get().partitionId()] * batch.num_rows, pa.int64())], ["stage", "part"])
+
+    standins.csv_folder({"a.csv": small.range(0, 1000, 1, 4).mapInArrow(task, "stage bigint, part bigint")}, f"file://{tmp_path}/csv")
+    rows = [line.strip().split(",") for line in open(tmp_path / "csv/a.csv")][1:]
+    assert len(rows) == 1000 and len({r[1] for r in rows}) == 4
