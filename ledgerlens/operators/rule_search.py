@@ -1,8 +1,9 @@
 """Keyword search by rules that are a table: thousands of them, without a longer plan.
 
 A LIKE pattern can match only a text that holds all its literal pieces, so each pattern is indexed
-by one trigram of its longest piece, the one that is rarest in a sample of the texts. A text's
-trigrams are met with those in an equi-join, and LIKE is tried on the pairs that meet.
+by one trigram of its longest piece, the one that is rarest in a sample of the texts. A few hundred
+trigrams are looked for in each text one by one; where there are more, a text's trigrams are met with
+those in an equi-join. LIKE is tried on the pairs that meet.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from ledgerlens.operators.ranking import top_per_group
 from ledgerlens.session import materialise
 
 BROADCAST_BYTES = 64 << 20
+FEW = 256  # grams that are looked for one by one: a pass over the text each, cheaper than all the text's trigrams
 SAMPLE = 16  # one text in so many tells which trigrams are rare; that decides speed, not results
 
 
@@ -59,7 +61,8 @@ def like_matches(texts: DataFrame, key: list[str], text: str, patterns: DataFram
 
     Patterns without a literal piece are tried on every text. Patterns are
     measured: while they are small the texts are read in place and only pairs
-    that meet leave the scan; beyond that keys and trigrams are shuffled, and
+    that meet leave the scan, those of at most ``FEW`` grams by plain tests for
+    these instead of the trigrams of every text; beyond that keys and trigrams are shuffled, and
     texts are fetched for the pairs that meet. A missing text matches nothing.
     """
     low = texts.select(*key, F.lower(text).alias("_low")).where("_low IS NOT NULL")
@@ -71,18 +74,25 @@ def like_matches(texts: DataFrame, key: list[str], text: str, patterns: DataFram
         return low.where("false").select(*key, F.lit("").alias("pattern"))
     every = [_grams(F.col("_low"), n) if n else F.array(F.lit("")) for n in lengths]
     grams = F.flatten(F.array(*every))
-    small = listed.agg(F.coalesce(F.sum(F.octet_length("_gram") + 48), F.lit(0))).first()[0] <= BROADCAST_BYTES
-    if small:
-        grams = F.array_intersect(grams, listed.agg(F.collect_set("_gram")).scalar())
-    sample = low.where(F.pmod(F.xxhash64(*key), F.lit(SAMPLE)) == 0).select(F.explode(grams).alias("_gram"))
+    n_bytes, n_listed = listed.agg(F.coalesce(F.sum(F.octet_length("_gram") + 48), F.lit(0)), F.count(F.lit(1))).first()
+    small = n_bytes <= BROADCAST_BYTES
+
+    def held(texts: DataFrame, some: DataFrame, n: int) -> DataFrame:
+        """(key, _low, _gram): which of ``some`` grams the texts hold."""
+        these = texts.withColumn("_these", some.agg(F.collect_set("_gram")).scalar())
+        found = F.filter("_these", lambda g: F.contains(F.col("_low"), g)) if n <= FEW else F.array_intersect(grams, F.col("_these"))
+        return these.select(*key, "_low", F.explode(found).alias("_gram"))
+
+    sample = low.where(F.pmod(F.xxhash64(*key), F.lit(SAMPLE)) == 0)
+    sample = held(sample, listed, n_listed) if small else sample.select(F.explode(grams).alias("_gram"))
     rare = sample.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     ranked = own.select("pattern", F.explode("_grams").alias("_gram")).join(rare, "_gram", "left")
     least = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_least")
     anchors = materialise(ranked.groupBy("pattern").agg(least).select("pattern", F.col("_least._gram").alias("_gram")), "anchors")
     fits = F.like(F.col("_low"), F.col("pattern"))
     if small:
-        held = F.array_intersect(grams, anchors.agg(F.collect_set("_gram")).scalar())
-        met = low.select(*key, "_low", F.explode(held).alias("_gram")).join(F.broadcast(anchors), "_gram")
+        n_anchors = anchors.select("_gram").distinct().count()
+        met = held(low, anchors, n_anchors).join(F.broadcast(anchors), "_gram")
         return met.where(fits).select(*key, "pattern")
     met = low.select(*key, F.explode(grams).alias("_gram")).join(anchors, "_gram").select(*key, "pattern")
     return met.join(low, key).where(fits).select(*key, "pattern")

@@ -416,9 +416,10 @@ def v3_keyword_batch(spark, d):
 
 @query
 def v3_rule_table(spark, d):
-    """The same from rules that are a table."""
+    """The same from rules that are a table; the chunks are stored, as they are read three times."""
+    chunks = materialise(_domain_chunks(spark, d), "rule-chunks")
     hits = rule_search.rule_batch(
-        standins.questions(spark, d), _domain_chunks(spark, d), rule_search.rule_tables(spark), ["doc_id", "chunk_ord"], "conv_id"
+        standins.questions(spark, d), chunks, rule_search.rule_tables(spark), ["doc_id", "chunk_ord"], "conv_id"
     )
     return hits.select("conv_id", "rank", "doc_id", "chunk_ord", "chunk_text")
 
