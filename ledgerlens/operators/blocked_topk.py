@@ -36,7 +36,7 @@ class Limits:
 
     broadcast_bytes: int = 64 << 20
     queries_per_block: int = 2048
-    cells_per_step: int = 4_000_000
+    cells_per_step: int = 1_000_000
     floor_every: int = 16  # the last of every so many splits; inputs of fewer splits have no floor
 
 
@@ -67,24 +67,41 @@ def rounded(scores: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(scores), -np.inf, scores)
 
 
+def _bar(floor: np.ndarray) -> np.ndarray:
+    """What no score falls short of that reaches its floor when rounded; below all numbers where there is no floor."""
+    return np.maximum(floor - 2 * 10.0**-SCORE_DIGITS, np.finfo(np.float64).min)
+
+
 class _Best:
-    """The best k rows per query seen so far, by rounded score and then id; rows below the floors are not kept."""
+    """The best k rows per query seen so far, by rounded score and then id; rows below the floors are not kept.
+
+    Most scores fall short of the floors. They are compared once, as they
+    come, and only what may reach a floor is rounded.
+    """
 
     def __init__(self, k: int, floor: np.ndarray):
         self.k = k
         self.floor = floor.copy()
+        self.bar = _bar(self.floor)
         self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.waiting = 0
-        self.room = max(k * len(floor), 100_000)
+        self.room = max(k * len(floor), 10_000)
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        # A score that is no number is no match; left in, it would crowd out those that are.
-        take = min(self.k, len(ids))
-        kth = np.partition(scores, len(ids) - take, axis=0)[len(ids) - take]
-        row, query = np.nonzero((scores >= np.maximum(kth, self.floor)) & (scores > -np.inf))
-        self.kept.append((query, scores[row, query], ids[row]))
-        self.waiting += len(row)
-        if self.waiting > self.room:
+        # A score that is no number reaches no floor.
+        hit = scores >= self.bar
+        many = np.count_nonzero(hit) > self.room
+        if many:
+            # Floors are not known yet; of the k best of these rows no other can be ahead.
+            take = min(self.k, len(ids))
+            kth = np.partition(np.where(np.isnan(scores), -np.inf, scores), len(ids) - take, axis=0)[len(ids) - take]
+            hit &= scores >= kth - 2 * 10.0**-SCORE_DIGITS
+        row, query = np.nonzero(hit)
+        score = np.round(scores[row, query], SCORE_DIGITS)
+        fine = score >= self.floor[query]
+        self.kept.append((query[fine], score[fine], ids[row[fine]]))
+        self.waiting += np.count_nonzero(fine)
+        if many or self.waiting > self.room:
             self.settle()
 
     def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
@@ -98,6 +115,7 @@ class _Best:
         keep = place < self.k
         last = place == self.k - 1
         self.floor[query[last]] = score[last]
+        self.bar = _bar(self.floor)
         self.kept = [(query[keep], score[keep], ids[keep])]
         self.waiting = 0
         return self.kept[0]
@@ -170,7 +188,7 @@ def _top_scan(queries: pa.Table, tables: Iterator[pa.Table], scorer: Scorer, k:
     for rows in tables:
         for query_ids, prepared, best in blocks:
             for part in _steps(rows, len(query_ids), limits):
-                best.add(part.column(0).to_numpy(), rounded(prepared.score(part)))
+                best.add(part.column(0).to_numpy(), prepared.score(part))
     for query_ids, _, best in blocks:
         settled = best.settle()
         if settled is not None:

@@ -21,7 +21,9 @@ def cosine(queries: pa.Table) -> Prepared:
 
     def score(rows: pa.Table) -> np.ndarray:
         x = _matrix(rows)
-        return (x @ q.T) / np.linalg.norm(x, axis=1, keepdims=True)
+        scores = x @ q.T
+        scores /= np.linalg.norm(x, axis=1, keepdims=True)
+        return scores
 
     return Prepared(score, np.full(len(q), -1.0), np.ones(len(q)))
 
