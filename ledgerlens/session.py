@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 # shuffle is bounded, and with it what it sorts and groups in memory: shuffles are
 # cut fine, and adjacent parts are read together up to 16 MB. Whatever the session's
 # own number of partitions is, more input gives more tasks, not larger ones, up to
-# 16 GB a shuffle; beyond that raise the number of parts.
+# 16 GB a shuffle; beyond that raise the number of parts. A Python worker is given
+# at most 8 MB of rows at a time, however long their texts are.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1000",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16MB",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8MB",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }

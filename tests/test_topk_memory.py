@@ -5,9 +5,11 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.operators.blocked_topk import Limits, _Best, _top_scan, rounded
 from ledgerlens.operators.vector_search import cosine
+from ledgerlens.session import tune
 
 SCHEMA = pa.schema([("q", pa.int64()), ("d", pa.int64()), ("score", pa.float64())])
 
@@ -47,3 +49,12 @@ def test_the_best_are_those_of_a_sort(k, digits):
         order = [i for i in np.lexsort((ids, -whole[:, q])) if whole[i, q] > -np.inf][:k]
         assert found[query == q].tolist() == ids[order].tolist()
         assert score[query == q].tolist() == whole[order, q].tolist()
+
+
+def test_long_texts_come_to_workers_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], ["n"])
+
+    rows = tune(spark).range(0, 4000, 1, 1).select(F.split(F.repeat(F.lit("word "), 1000), " ").alias("t"))
+    assert rows.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 12 << 20
