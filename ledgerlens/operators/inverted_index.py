@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.functions.text import terms
 from ledgerlens.operators.blocked_topk import SCORE_DIGITS, Limits
@@ -32,31 +33,90 @@ from ledgerlens.operators.ranking import top_per_group
 from ledgerlens.session import materialise
 
 DOCS_PER_BLOCK = 1024
+WORDS_PER_BLOCK = 1_000_000  # a block of longer documents has fewer; bounds the memory of a task
 BUCKETS = 64
 QUERIES_PER_TASK = 2048
 _PARTS = ("postings", "impacts", "documents")
 
 
-def term_frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, length): every distinct term of every document that has a text; nothing is shuffled."""
+def _impacts(code: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Places of the pairs that no other pair of their term beats: by term, the most frequent first."""
+    order = np.lexsort((length, -tf, code))
+    # Later terms lie below all earlier ones, so the running least is that of the term.
+    low = length[order] - code[order] * (length.max(initial=0) + 1)
+    return order[np.r_[True, low[1:] < np.minimum.accumulate(low)[:-1]][: len(order)]]
+
+
+def posting_blocks(docs: DataFrame, key: str, text: str, docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
+    """(term, block, docs, tfs, lengths, df, impacts) of the documents that have a text, and per task how many there are.
+
+    A block is a run of documents of one task, cut earlier where they have
+    very many words, so lists are made where the texts are read and nothing
+    is shuffled. The rows that count documents and words have no term.
+    """
+
+    def build(block: int, keys: pa.Array, lists: pa.ListArray) -> Iterator[pa.RecordBatch]:
+        order = pc.sort_indices(keys)
+        keys, lists = keys.take(order), lists.take(order)
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        cell, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(sizes) + np.repeat(np.arange(len(sizes)), sizes), return_counts=True)
+        code, doc = np.divmod(cell, len(sizes))
+        length = sizes[doc]
+        best = _impacts(code, tf, length)
+        of = np.arange(len(words.dictionary) + 1)
+        cuts, best_cuts = pa.array(np.searchsorted(code, of), pa.int32()), pa.array(np.searchsorted(code[best], of), pa.int32())
+        pairs = pa.StructArray.from_arrays([pa.array(tf[best], pa.int32()), pa.array(length[best], pa.int32())], ["tf", "length"])
+        lists = [pa.ListArray.from_arrays(cuts, x) for x in (keys.take(pa.array(doc)), pa.array(tf, pa.int32()), pa.array(length, pa.int32()))]
+        n = len(words.dictionary)
+        made = pa.table(
+            [words.dictionary, pa.array(np.full(n, block)), *lists, pa.array(np.diff(cuts), pa.int64()), pa.ListArray.from_arrays(best_cuts, pairs), *[pa.nulls(n, pa.int64())] * 2],
+            names=names,
+        )
+        yield from made.to_batches(max_chunksize=10_000)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, total, n_words = TaskContext.get().partitionId() << 32, 0, 0
+        waiting, rows, words = [], 0, 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            return build(block, table.column(0).combine_chunks(), table.column(1).combine_chunks())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            words = lists.flatten().dictionary_encode()
-            n = max(len(words.dictionary), 1)
-            cell = np.repeat(np.arange(len(lengths)), lengths) * n + words.indices.to_numpy()
-            cell, tf = np.unique(cell, return_counts=True)
-            doc, code = np.divmod(cell, n)
-            yield pa.record_batch(
-                [batch.column(0).take(pa.array(doc)), words.dictionary.take(pa.array(code)), pa.array(tf, pa.int32()), pa.array(lengths[doc], pa.int32())],
-                [key, "term", "tf", "length"],
-            )
+            ends = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+            start, before = 0, 0
+            while start < batch.num_rows:
+                # As many documents as the block still takes, one at least.
+                fit = int(np.searchsorted(ends, before + WORDS_PER_BLOCK - words, "right")) - start
+                take = min(batch.num_rows - start, docs_per_block - rows, max(fit, 0 if rows else 1))
+                if take:
+                    waiting.append(batch.slice(start, take))
+                    start, rows = start + take, rows + take
+                    words, before = words + int(ends[start - 1]) - before, int(ends[start - 1])
+                if start < batch.num_rows or rows == docs_per_block:
+                    yield from close()
+                    block, total, n_words = block + 1, total + rows, n_words + words
+                    waiting, rows, words = [], 0, 0
+        if rows:
+            yield from close()
+            total, n_words = total + rows, n_words + words
+        if total:
+            nothing = [pa.nulls(1, f.type) for f in schema][:-2]
+            yield pa.record_batch([*nothing, pa.array([total]), pa.array([n_words])], names)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     kind = docs.schema[key].dataType.simpleString()
+    fields = T.StructType.fromDDL(
+        f"term string, block bigint, docs array<{kind}>, tfs array<int>, lengths array<int>, df bigint, "
+        "impacts array<struct<tf:int,length:int>>, _docs bigint, _words bigint"
+    )
+    schema, names = to_arrow_schema(fields), fields.names
     rows = docs.select(key, terms(F.col(text)).alias("_terms")).where("_terms IS NOT NULL")
-    return rows.mapInArrow(count, f"`{key}` {kind}, term string, tf int, length int")
+    return rows.mapInArrow(blocks, fields)
 
 
 def write_segment(
@@ -70,38 +130,17 @@ def write_segment(
 ) -> None:
     """Index ``docs`` as one segment; a segment that is there already is replaced, others stay as they are.
 
-    Keys are unique over all segments. Documents are dealt to blocks by the
-    hash of their key, so blocks are of one size whatever the keys are.
-    Documents without a text are not indexed.
+    Keys are unique over all segments. Each text is read and cut into terms
+    once, and its task makes the lists; only finished rows of many documents
+    are shuffled, to their bucket. Documents without a text are not indexed.
     """
     spark = docs.sparkSession
-    counted = docs.select(key, F.size(terms(F.col(text))).alias("_n")).where("_n >= 0")
-    total = counted.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("words")).first()
-    blocks = max(1, -(-total["docs"] // docs_per_block))
-    entry = F.struct(F.col(key).alias("doc"), "tf", "length")
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    block = F.pmod(F.xxhash64(F.lit("block"), key), F.lit(blocks)).cast("int")
-    lists = (
-        term_frequencies(docs, key, text)
-        .select(bucket.alias("bucket"), "term", block.alias("block"), entry.alias("_e"))
-        .groupBy("bucket", "term", "block")
-        .agg(F.array_sort(F.collect_list("_e")).alias("_es"))
-    )
-    rows = materialise(
-        lists.select("bucket", "term", "block", F.col("_es.doc").alias("docs"), F.col("_es.tf").alias("tfs"), F.col("_es.length").alias("lengths")),
-        "postings",
-    )
-    best = F.transform(
-        F.array_distinct("tfs"),
-        lambda tf: F.struct(
-            tf.alias("tf"),
-            F.array_min(F.filter(F.zip_with("tfs", "lengths", lambda t, n: F.when(t == tf, n)), lambda n: n.isNotNull())).alias("length"),
-        ),
-    )
-    beaten = lambda x: F.exists("_best", lambda y: (y["tf"] > x["tf"]) & (y["length"] <= x["length"]))
-    impacts = rows.select("bucket", "term", "block", F.size("docs").cast("bigint").alias("df"), best.alias("_best")).select(
-        "bucket", "term", "block", "df", F.filter("_best", lambda x: ~beaten(x)).alias("impacts")
-    )
+    made = materialise(posting_blocks(docs, key, text, docs_per_block), "postings")
+    total = made.agg(F.coalesce(F.sum("_docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("_words"), F.lit(0)).alias("words")).first()
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+    made = made.where("term IS NOT NULL")
+    rows = made.select(bucket, "term", "block", "docs", "tfs", "lengths")
+    impacts = made.select(bucket, "term", "block", "df", "impacts")
     kind = docs.schema[key].dataType.simpleString()
     summary = spark.createDataFrame([(total["docs"], total["words"], kind)], "docs bigint, words bigint, key string")
     for name, frame in zip(_PARTS, (rows, impacts, summary)):
@@ -128,7 +167,7 @@ def open_index(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Index:
     """All segments under ``path``; ``buckets`` as they were written."""
     total = spark.read.parquet(f"{path}/documents").agg(F.sum("docs"), F.sum("words"), F.max("key")).first()
     # Declared: an index of no documents has no file to infer from.
-    place = "term string, block int, segment int, bucket int"
+    place = "term string, block bigint, segment int, bucket int"
     postings = spark.read.schema(f"docs array<{total[2]}>, tfs array<int>, lengths array<int>, {place}").parquet(f"{path}/postings")
     impacts = spark.read.schema(f"df bigint, impacts array<struct<tf:int,length:int>>, {place}").parquet(f"{path}/impacts")
     return Index(postings, impacts, total[0] or 0, (total[1] or 0) / max(total[0] or 0, 1), buckets)
