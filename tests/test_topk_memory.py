@@ -51,6 +51,18 @@ def test_the_best_are_those_of_a_sort(k, digits):
         assert score[query == q].tolist() == whole[order, q].tolist()
 
 
+def test_scores_below_known_floors_are_compared_only(monkeypatch):
+    def partition(*_, **__):
+        raise AssertionError("scores were partitioned")
+
+    best = _Best(3, np.full(50, 10.0))
+    monkeypatch.setattr(np, "partition", partition)
+    scores = np.zeros((100, 50))
+    scores[7, 4] = 11
+    best.add(np.arange(100), scores)
+    assert [x.tolist() for x in best.settle()] == [[4], [11.0], [7]]
+
+
 def test_long_texts_come_to_workers_in_small_batches(spark):
     def sizes(batches):
         for batch in batches:
