@@ -14,7 +14,9 @@ Nothing is shuffled; a group is bounded, so memory is as well.
 from __future__ import annotations
 
 import heapq
+import json
 import os
+import re
 import sys
 import types
 from collections.abc import Iterator
@@ -88,6 +90,12 @@ def pack_group(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         n += 1
 
 
+# What the splitter of a public tokenizer does, and the same for texts of printable ASCII and small Latin letters.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LATIN = "\u00df-\u00f6\u00f8-\u00ff"
+_PLAIN = re.compile(f"[ -@\\[-~{_LATIN}]+")
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^ a-z0-9{_LATIN}]+")
+
 # The lead bytes of U+0300 to U+036F in UTF-8: all marks that compose with an ASCII letter are among those.
 _MARKS = (b"\xcc", b"\xcd")
 
@@ -101,17 +109,35 @@ def _folded(data: bytes) -> list[bytes]:
     return [c.lower() if c.isascii() else c for c in data.split()]
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in the vocabulary."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
 def _spellings(vocabulary: dict[str, int]) -> list[bytes]:
     """The bytes that each id stands for; a word's end is none."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+    letters = {c: b for b, c in enumerate(_byte_letters())}
     spelt = [b""] * (max(vocabulary.values()) + 1)
     for token, i in vocabulary.items():
         spelt[i] = bytes(letters.get(c, 0) for c in token.removesuffix("</w>"))
     return spelt
 
 
+class _Numbered(dict):
+    """Numbers of chunks; what is asked for and not there gets the next one and is listed."""
+
+    def __init__(self, *given):
+        super().__init__(*given)
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, chunk: bytes) -> int:
+        self[chunk] = n = len(self)
+        self.fresh.append(chunk)
+        return n
+
+
 class ChunkTokens:
     """Token ids of texts by a public tokenizer, with the ids of frequent chunks kept.
 
@@ -121,6 +147,11 @@ class ChunkTokens:
     is looked up, unless a text may hold the name of a special token. Beside
     combining marks only chunks that are ASCII throughout are folded: of J and
     a caron only the small letter has a composed form.
+
+    Most of the tokenizer's time on a short chunk is its normaliser's and its
+    splitter's. Chunks whose normal form is printable ASCII and small Latin
+    letters are split here, and a tokenizer with the same merges and neither of
+    the two gets their pieces.
     """
 
     def __init__(self, path: str, most: int = CACHED_CHUNKS, most_bytes: int = CACHED_BYTES):
@@ -131,14 +162,24 @@ class ChunkTokens:
         self.tokenizer, self.most, self.most_bytes = Tokenizer.from_file(path), most, most_bytes
         self.spelt = _spellings(self.tokenizer.get_vocab(with_added_tokens=True))
         self.lengths = np.fromiter(map(len, self.spelt), np.int64, len(self.spelt))
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        splits = [x.get("pattern", {}).get("Regex") for x in (settings["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.merges = None
+        if splits == [_SPLIT, None]:
+            bare = settings | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+            self.merges = Tokenizer.from_str(json.dumps(bare))
+        letters = _byte_letters()
+        self.latin = [(c, "".join(letters[b] for b in c.encode())) for c in map(chr, range(0xDF, 0x100)) if _PLAIN.match(c)]
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Numbered()
         self.held = 0  # bytes of the known chunks
         self.ids = np.empty(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
-        self.uses = np.zeros(0, np.int64)  # texts that used a chunk
+        self.starts = np.empty(0, np.int64)
+        self.sizes = np.empty(0, np.int64)
+        self.uses = np.empty(0, np.int64)  # texts that used a chunk
 
     def _shrink(self) -> None:
         """Keep the chunks that came up again; most are seen once."""
@@ -146,38 +187,89 @@ class ChunkTokens:
         held = sum(len(c) for c, i in self.known.items() if keep[i])
         if keep.sum() > self.most // 2 or held > self.most_bytes // 2:
             return self._clear()
-        size = np.diff(self.starts)
-        self.ids = self.ids[np.repeat(keep, size)]
-        self.starts = np.r_[0, np.cumsum(size[keep])]
+        self.ids = self._gather(np.flatnonzero(keep))
+        self.sizes = self.sizes[keep]
+        self.starts = np.cumsum(self.sizes) - self.sizes
         place = np.cumsum(keep) - 1
-        self.known = {c: int(place[i]) for c, i in self.known.items() if keep[i]}
+        self.known = _Numbered({c: int(place[i]) for c, i in self.known.items() if keep[i]})
         self.held = held
         self.uses = np.zeros(len(self.known), np.int64)
 
     def _alone(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fresh(self, chunks: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Chunks in some order, their ids one after the other, and how many each has.
+    def _fresh(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the chunks in some order, their ids one after the other, and how many each has."""
+        named = np.fromiter((b"<|" in c for c in chunks), bool, len(chunks))
+        folded = np.fromiter(map(bytes.isascii, chunks), bool, len(chunks))
+        simple: list[int] = []
+        normal: list[str] = []
+        other: list[int] = []
+        # ASCII chunks are normal once they are folded.
+        for kind in (True, False):
+            places = np.flatnonzero((folded == kind) & ~named).tolist()
+            for i in range(0, len(places), JOINED):
+                own = places[i : i + JOINED]
+                text = b" ".join([chunks[p] for p in own]).decode()
+                text = text.lower() if kind else self.tokenizer.normalizer.normalize_str(text)
+                forms = text.split(" ")
+                if self.merges is None or len(forms) != len(own):
+                    other += own
+                elif _PLAIN.fullmatch(text):
+                    simple += own
+                    normal += forms
+                else:
+                    for place, form in zip(own, forms):
+                        if _PLAIN.fullmatch(form):
+                            simple.append(place)
+                            normal.append(form)
+                        else:
+                            other.append(place)
+        merged = self._merged(normal)
+        if merged is None:
+            other, simple, merged = simple + other, [], self._merged([])
+        order, ids, sizes = self._joined(chunks, other, np.flatnonzero(named).tolist())
+        return np.array(simple + order, np.int64), np.concatenate([merged[0], ids]), np.concatenate([merged[1], sizes])
+
+    def _merged(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of plain chunks one after the other, and how many each has; none if ids do not cover the chunks' bytes."""
+        texts = []
+        for i in range(0, len(chunks), JOINED):
+            text = " ".join(_PIECE.findall(" ".join(chunks[i : i + JOINED])))
+            if not text.isascii():
+                for letter, spelt in self.latin:
+                    text = text.replace(letter, spelt)
+            texts.append(text)
+        if not texts:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        found = self.merges.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+        ends = np.cumsum(self.lengths[ids])
+        bounds = np.cumsum(np.fromiter(map(len, map(str.encode, chunks)), np.int64, len(chunks)))
+        if not len(ends) or ends[-1] != bounds[-1]:
+            return None
+        return ids, np.diff(np.searchsorted(ends, bounds, "right"), prepend=0)
+
+    def _joined(self, chunks: list[bytes], places: list[int], single: list[int]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The same for the chunks at any places, by the whole tokenizer.
 
         Chunks go to the tokenizer many at a time, with spaces between them.
         Its ids spell what its normaliser makes of a text byte for byte, so
         the bytes tell where each chunk begins. Where they do not, or where a
-        chunk has become several, it is asked chunk by chunk.
+        chunk has become several, it is asked chunk by chunk, like ``single``.
         """
-        single = [c for c in chunks if b"<|" in c]
         # ASCII chunks are folded already, and stay as they are.
         groups = []
         for kind in (True, False):
-            some = [c for c in chunks if c.isascii() == kind and b"<|" not in c]
+            some = [p for p in places if chunks[p].isascii() == kind]
             groups += [some[i : i + JOINED] for i in range(0, len(some), JOINED)]
-        texts = [b" ".join(g).decode() for g in groups]
-        order: list[bytes] = []
-        ids, sizes = [], []
+        texts = [b" ".join([chunks[p] for p in g]).decode() for g in groups]
+        order: list[int] = []
+        ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         for group, text, found in zip(groups, texts, self._alone(texts)):
-            normal = group if text.isascii() else self.tokenizer.normalizer.normalize_str(text).encode().split(b" ")
+            normal = (text if text.isascii() else self.tokenizer.normalizer.normalize_str(text)).encode().split(b" ")
             if len(normal) != len(group) or b"".join(map(self.spelt.__getitem__, found)) != b"".join(normal):
-                single += group
+                single = single + group
                 continue
             own = np.array(found, np.uint32)
             ends = np.cumsum(self.lengths[own])
@@ -186,39 +278,44 @@ class ChunkTokens:
             ids.append(own)
             sizes.append(np.diff(np.searchsorted(ends, bounds, "right"), prepend=0))
         if single:
-            found = self._alone([c.decode() for c in single])
+            found = self._alone([chunks[p].decode() for p in single])
             order += single
             ids.append(np.fromiter((i for x in found for i in x), np.uint32))
             sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
         return order, np.concatenate(ids), np.concatenate(sizes)
 
-    def _append(self, chunks: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
+    def _append(self, chunks: list[bytes]) -> None:
+        """Ids of the chunks that were numbered since the last time."""
+        place, flat, sizes = self._fresh(chunks)
+        own, starts = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        own[place], starts[place] = sizes, len(self.ids) + np.cumsum(sizes) - sizes
         self.held += sum(map(len, chunks))
         self.ids = np.concatenate([self.ids, flat])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.starts = np.concatenate([self.starts, starts])
+        self.sizes = np.concatenate([self.sizes, own])
         self.uses = np.concatenate([self.uses, np.zeros(len(chunks), np.int64)])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        data = [(t or "").encode("utf-8", "replace") for t in texts]
-        chunks = [_folded(d) for d in data]
-        every = set().union(*chunks)
-        fresh = every.difference(self.known)
-        if fresh:
-            if self.known and (len(self.known) + len(fresh) > self.most or self.held > self.most_bytes):
-                self._shrink()
-                fresh = every.difference(self.known)
-            self._append(*self._fresh(list(fresh)))
-        return [self._gather(c) for c in chunks]
-
-    def _gather(self, chunks: list[bytes]) -> np.ndarray:
-        if not chunks:
-            return np.empty(0, np.uint32)
-        which = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-        self.uses[which] += 1
-        begin, size = self.starts[which], self.starts[which + 1] - self.starts[which]
+        """The ids of each text. Beyond its bounds the memory holds the chunks of one call at most."""
+        if len(self.known) > self.most or self.held > self.most_bytes:
+            self._shrink()
+        number = self.known.__getitem__
+        which = []
+        for text in texts:
+            chunks = _folded((text or "").encode("utf-8", "replace"))
+            which.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
+        if self.known.fresh:
+            fresh, self.known.fresh = self.known.fresh, []
+            self._append(fresh)
+        for own in which:
+            self.uses[own] += 1
+        return [self._gather(own) for own in which]
+
+    def _gather(self, which: np.ndarray) -> np.ndarray:
+        """The ids of numbered chunks, one after the other."""
+        size = self.sizes[which]
         ends = np.cumsum(size)
-        return self.ids[np.repeat(begin - ends + size, size) + np.arange(ends[-1])]
+        return self.ids[np.repeat(self.starts[which] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def _tokens(path: str) -> ChunkTokens:

@@ -39,6 +39,21 @@ def test_letters_that_only_compose_small():
     assert [tokens.encode([t])[0].tolist() for t in texts] == plain(texts)
 
 
+def test_plain_words_need_no_normaliser_or_splitter(monkeypatch):
+    rng = random.Random(7)
+    letters = "abcstvreldmXYZ\u00df\u00e9\u00f1\u00fc\u00c9\u00ff'\"''0189.,!-_$<|>^~`@[ \t\n"
+    words = ["".join(rng.choices(letters, k=rng.randrange(1, 12))) for _ in range(4_000)]
+    texts = [" ".join(words[i : i + 100]).replace("<|", "<") for i in range(0, len(words), 100)]
+    tokens, asked = ChunkTokens(PATH), []
+    whole = tokens._alone
+    monkeypatch.setattr(tokens, "_alone", lambda some: asked.extend(some) or whole(some))
+    assert [x.tolist() for x in tokens.encode(texts)] == plain(texts)
+    assert not asked
+    odd = [t + " \u6f22 a\u00d7b\u00f7\u00e9 x\x1cy \u0391\u03a3 e\u0301 \u00aa\u00b5 \u2019s<|endoftext|> \U0001f600." for t in texts]
+    assert [x.tolist() for x in tokens.encode(odd)] == plain(odd)
+    assert asked
+
+
 def slow_differencing(sizes, n):
     """The textbook form, with whole vectors; gives the sums."""
     parts = [(size, i, [size] + [0] * (n - 1)) for i, size in enumerate(sizes)]
