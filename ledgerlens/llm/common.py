@@ -39,6 +39,11 @@ def below(df: DataFrame, share: float, *columns: Column | str) -> DataFrame:
     return df if share >= 1 else df.where(F.xxhash64(*columns) < int((share - 0.5) * 2**64))
 
 
+PAGE_BITS = 1 << 15  # of a bitmap that Spark makes
+BITS_PER_KEY = 16
+MAX_PAGES = 1 << 14  # 64 MB
+
+
 class Scratch:
     """Intermediate tables under the shared folder, dropped when nothing reads them any more."""
 
@@ -57,6 +62,32 @@ class Scratch:
         place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def key_bitmaps(keys: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(_page, _map): a bit for the hash of each row, one in sixteen or fewer set; and the number of pages, 1 or more.
+
+    Pages are bounded by what a broadcast may be. Beyond that more bits are set, and less can be told apart.
+    """
+    pages = min(MAX_PAGES, max(1, -(-keys.count() * BITS_PER_KEY // PAGE_BITS)))
+    page, bit = _bit_place(pages, *keys.columns)
+    bits = keys.select(page.alias("_page"), bit.alias("_bit")).repartition("_page")
+    return scratch.save(bits.groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_map")))[0], pages
+
+
+def _bit_place(pages: int, *columns: Column | str) -> tuple[Column, Column]:
+    place = F.pmod(F.xxhash64(*columns), F.lit(pages * PAGE_BITS))
+    return F.floor(place / PAGE_BITS).cast("int"), (place % PAGE_BITS).cast("int")
+
+
+def with_maybe(rows: DataFrame, bitmaps: tuple[DataFrame, int], *columns: str) -> DataFrame:
+    """``rows`` with ``_maybe``: false only where no key of the bitmaps has these values. No row is shuffled."""
+    maps, pages = bitmaps
+    page, bit = _bit_place(pages, *columns)
+    byte = F.conv(F.hex(F.substr("_map", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.call_function("shiftright", byte, bit % 8).bitwiseAND(1) == 1
+    joined = rows.withColumn("_at_page", page).join(F.broadcast(maps), F.col("_at_page") == F.col("_page"), "left")
+    return joined.select(*rows.columns, F.coalesce(found, F.lit(False)).alias("_maybe"))
+
+
 def key_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Whole runs of the first column from batches sorted by it.
 

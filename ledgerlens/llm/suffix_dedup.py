@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import Scratch, below, key_runs
+from ledgerlens.llm.common import Scratch, below, key_bitmaps, key_runs, with_maybe
 
 WINDOW = 200
 REACH = 150  # positions of a window that may be its anchor
@@ -339,7 +339,7 @@ def _ends_of_repeats(rows: DataFrame, places: DataFrame, n: int, scratch: Scratc
                         [pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["_ctx", "_seg", "_offsets"]
                     )
 
-    runs = _with_texts(rows, places).mapInArrow(sort, "_range int, _run binary")
+    runs = _with_texts(rows, places, scratch).mapInArrow(sort, "_range int, _run binary")
     merged = runs.repartition("_range").sortWithinPartitions("_range").mapInArrow(merge, "_ctx bigint, _seg bigint, _offsets array<int>")
     return scratch.save(merged)[0]
 
@@ -359,7 +359,7 @@ def _crowded_repeats(rows: DataFrame, places: DataFrame, scratch: Scratch) -> Da
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], ["_hash", "_ctx", "_seg", "_offset", "_once"])
 
     schema = "_hash binary, _ctx bigint, _seg bigint, _offset int, _once tinyint"
-    windows, _ = scratch.save(_with_texts(rows, places).mapInArrow(hashes, schema))
+    windows, _ = scratch.save(_with_texts(rows, places, scratch).mapInArrow(hashes, schema))
     # Repeated rows bring a stretch twice; only different stretches share a window.
     shared, _ = scratch.save(
         windows.groupBy("_hash").agg(F.min("_seg").alias("_a"), F.max("_seg").alias("_b")).where("_a != _b").select("_hash")
@@ -368,14 +368,17 @@ def _crowded_repeats(rows: DataFrame, places: DataFrame, scratch: Scratch) -> Da
     return hit.groupBy("_ctx", "_seg").agg(F.collect_set("_offset").alias("_offsets"))
 
 
-def _with_texts(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """(_data, _places): texts with the places of theirs that are asked for."""
-    by_row = places.groupBy("_id", F.shiftrightunsigned("_at", 47).alias("_tag")).agg(
+def _with_texts(rows: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
+    """(_data, _places): texts with the places of theirs that are asked for. Hardly any others are shuffled."""
+    tag = F.shiftrightunsigned("_at", 47).alias("_tag")
+    by_row = places.groupBy("_id", tag).agg(
         F.collect_list(F.struct("_ctx", "_seg", "_at", F.col("_once").cast("tinyint").alias("_once"))).alias("_places")
     )
     by_row = by_row.select(F.col("_id").alias("_id2"), F.col("_tag").alias("_tag2"), "_places")
+    asked, _ = scratch.save(places.select("_id", tag).distinct())
+    some = with_maybe(_compact(rows), key_bitmaps(asked, scratch), "_id", "_tag").where("_maybe")
     same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_tag") == F.col("_tag2"))
-    return _compact(rows).join(by_row, same).select("_data", "_places")
+    return some.join(by_row, same).select("_data", "_places")
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
@@ -449,12 +452,17 @@ def suffix_dedup(
     are treated like others. An empty table gives an empty table. Other
     columns are ignored unless carried.
     """
-    ranges = repeated_ranges(docs, id_col, text_col, group).withColumnsRenamed({"_id": "_id2", "_tag": "_tag2"})
+    ranges = repeated_ranges(docs, id_col, text_col, group)
+    bitmaps = key_bitmaps(ranges.select("_id", "_tag"), Scratch(docs.sparkSession, "suffix-dedup"))
+    ranges = ranges.withColumnsRenamed({"_id": "_id2", "_tag": "_tag2"})
     rows = docs.select(
         F.col(id_col).alias("_id"), _tag(F.col(text_col)).alias("_tag"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_data"), *(F.col(c).alias(f"_c_{c}") for c in carry),
     )
-    joined = rows.join(ranges, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_tag") == F.col("_tag2")), "left")
+    # Texts that surely lose nothing stay where they are.
+    rows = with_maybe(rows, bitmaps, "_id", "_tag")
+    joined = rows.where("_maybe").join(ranges, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_tag") == F.col("_tag2")), "left")
+    joined = joined.unionByName(rows.where("NOT _maybe"), allowMissingColumns=True)
     names = [id_col, *carry, "n_bytes", "n_removed", "n_spans", "kept"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.llm import common
 from ledgerlens.llm import suffix_dedup as sd
 
 W = sd.WINDOW
@@ -61,6 +62,37 @@ def test_matches_plain_count(spark, monkeypatch, seed, group, run_bytes):
     assert [tuple(r)[1:] for r in found] == [(a, b, c, bytearray(k)) for a, b, c, k in plain(texts)]
 
 
+def test_texts_without_repeats_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(11)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = prose(300)
+    texts = [prose(400) for _ in range(2_000)] + [prose(50) + shared + prose(k) for k in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    told, frames = sd.with_maybe, []
+    monkeypatch.setattr(sd, "with_maybe", lambda *given: frames.append(told(*given)) or frames[-1])
+    found = {r[0]: r[2] for r in sd.suffix_dedup(docs).collect()}
+    assert {i for i, n in found.items() if n} == {2_000, 2_001, 2_002} and len(found) == len(texts)
+    assert len(frames) == 2  # where the ends of repeats are sorted, and where texts are cut
+    for frame in frames:
+        asked = {r[0]: r[1] for r in frame.select("_id", "_maybe").collect()}
+        assert len(asked) == len(texts) and all(asked[i] for i in (2_000, 2_001, 2_002))
+        assert sum(asked.values()) < 100
+
+
+def test_bitmaps_miss_no_key(spark, monkeypatch):
+    key = F.when(F.col("id") > 10, F.col("id")).alias("a")
+    keys = spark.range(0, 20_000, 2).select(key, F.lit(3).alias("b"))
+    rows = spark.range(20_000).select(key, F.lit(3).alias("b"), "id")
+    for pages in (1, 2, common.MAX_PAGES):
+        monkeypatch.setattr(common, "MAX_PAGES", pages)
+        marked = common.with_maybe(rows, common.key_bitmaps(keys, common.Scratch(spark, "bitmaps")), "a", "b")
+        found = {r[0]: r[1] for r in marked.select("id", "_maybe").collect()}
+        assert len(found) == 20_000 and all(found[i] for i in range(0, 20_000, 2))
+        wrong = sum(found[i] for i in range(11, 20_000, 2))
+        assert wrong < (1_000 if pages > 2 else 4_000)
+        assert "hashpartitioning" not in marked._jdf.queryExecution().toString()
+
+
 def test_repeated_rows_and_missing_ids(spark):
     rng = random.Random(9)
     one, two = ("".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(2))
