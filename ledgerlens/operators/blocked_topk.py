@@ -49,11 +49,18 @@ class QuerySize:
 
 
 class Prepared(NamedTuple):
-    """Scores of corpus rows against a block of queries (``-inf`` is no match), and the span of each query's scores."""
+    """Scores of corpus rows against a block of queries (``-inf`` is no match), and the span of each query's scores.
+
+    A scorer may have a faster way to scores in single precision, which are at
+    most ``error`` off; it then also scores given pairs, by row and query.
+    """
 
     score: Callable[[pa.Table], np.ndarray]
     low: np.ndarray
     high: np.ndarray
+    rough: Callable[[pa.Table], np.ndarray] | None = None
+    pairs: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray] | None = None
+    error: float = 0.0
 
 
 Scorer = Callable[[pa.Table], Prepared]  # of a block of queries
@@ -76,7 +83,9 @@ class _Best:
     """The best k rows per query seen so far, by rounded score and then id; rows below the floors are not kept.
 
     Most scores fall short of the floors. They are compared once, as they
-    come, and only what may reach a floor is rounded.
+    come, and only what may reach a floor is rounded. Once all queries have a
+    floor, a scorer's rough scores tell which pairs may reach it, and only
+    those are scored exactly.
     """
 
     def __init__(self, k: int, floor: np.ndarray):
@@ -96,14 +105,32 @@ class _Best:
             take = min(self.k, len(ids))
             kth = np.partition(np.where(np.isnan(scores), -np.inf, scores), len(ids) - take, axis=0)[len(ids) - take]
             hit &= scores >= kth - 2 * 10.0**-SCORE_DIGITS
-        row, query = np.nonzero(hit)
-        score = np.round(scores[row, query], SCORE_DIGITS)
-        fine = score >= self.floor[query]
-        self.kept.append((query[fine], score[fine], ids[row[fine]]))
-        self.waiting += np.count_nonzero(fine)
+        row, query = np.divmod(np.flatnonzero(hit), hit.shape[1])
+        self._keep(ids[row], query, scores[row, query])
         if many or self.waiting > self.room:
             self.settle()
 
+    def add_rough(self, rows: pa.Table, prepared: Prepared) -> bool:
+        """The same by rough scores; false if that needs floors that are not there yet, or tells too little."""
+        if prepared.rough is None or not len(self.floor) or self.floor.min() == -np.inf:
+            return False
+        # What is no number as a rough score is scored as well.
+        short = prepared.rough(rows) < (self.bar - prepared.error).astype(np.float32)
+        cells = np.flatnonzero(~short)
+        if len(cells) > self.room:
+            return False
+        row, query = np.divmod(cells, short.shape[1])
+        self._keep(rows.column(0).to_numpy()[row], query, prepared.pairs(rows, row, query))
+        if self.waiting > self.room:
+            self.settle()
+        return True
+
+    def _keep(self, ids: np.ndarray, query: np.ndarray, scores: np.ndarray) -> None:
+        score = np.round(scores, SCORE_DIGITS)
+        fine = score >= self.floor[query]
+        self.kept.append((query[fine], score[fine], ids[fine]))
+        self.waiting += np.count_nonzero(fine)
+
     def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         """Rank what is kept, drop what cannot win, and raise the floors."""
         if not self.kept:
@@ -188,7 +215,8 @@ def _top_scan(queries: pa.Table, tables: Iterator[pa.Table], scorer: Scorer, k:
     for rows in tables:
         for query_ids, prepared, best in blocks:
             for part in _steps(rows, len(query_ids), limits):
-                best.add(part.column(0).to_numpy(), prepared.score(part))
+                if not best.add_rough(part, prepared):
+                    best.add(part.column(0).to_numpy(), prepared.score(part))
     for query_ids, _, best in blocks:
         settled = best.settle()
         if settled is not None:
